@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has batch jobs only (no stream source, watermark, window or state), so
+there is nothing to re-express with Structured Streaming. Every operator here is a
+plain DataFrame function and therefore also runs inside ``foreachBatch`` unchanged.
+"""
