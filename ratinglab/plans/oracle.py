@@ -81,7 +81,54 @@ def stats_sql() -> dict[str, str]:
     return q
 
 
+def _priors_cte(trusted_min: int) -> str:
+    return (f"SELECT p.item_id AS prior_id, p1, p2, p3, p4, p5, {_pmf_mean()} AS mean_q, {_pmf_std()} AS std_q "
+            f"FROM pmf p JOIN histogram h ON h.item_id = p.item_id WHERE h.n_raw > {trusted_min}")
+
+
+def _alpha_expr() -> str:
+    n = "(c1 + c2 + c3 + c4 + c5)"
+    return "(" + " + ".join(
+        f"CASE WHEN c{k} = 0 THEN 0.0 ELSE c{k} * ln(p{k} * {n} / c{k}) END" for k in range(1, 6)) + ")"
+
+
+def _post_cte() -> str:
+    """Reference form: every cold histogram against every prior, weights exp(alpha)."""
+    return (
+        "SELECT c1, c2, c3, c4, c5, sum(w) AS sum_w, sum(w * mean_q) AS sum_wm, sum(w * std_q) AS sum_ws, "
+        "count(*) AS n_q FROM (SELECT c.*, q.mean_q, q.std_q, exp(" + _alpha_expr() + ") AS w "
+        "FROM cold c CROSS JOIN priors q) GROUP BY c1, c2, c3, c4, c5")
+
+
+def posterior_sql() -> dict[str, str]:
+    seed = P.SEED
+    base = BASE + [("histogram", _histogram_cte(seed)), ("pmf", _pmf_cte()),
+                   ("priors", _priors_cte(P.TRUSTED_MIN)),
+                   ("cold", f"SELECT DISTINCT c1, c2, c3, c4, c5 FROM histogram "
+                            f"WHERE n_raw < {P.SAMPLE_MIN} OR n_kept = 0"),
+                   ("post", _post_cte())]
+    q: dict[str, str] = {}
+    q["posterior_moments"] = _with(*base) + (
+        f"SELECT c1, c2, c3, c4, c5, round(sum_wm / sum_w, {R6}) AS mean, round(sum_ws / sum_w, {R6}) AS std, "
+        f"round(least({float(P.ACCEPTS)!r} / (sum_w / n_q), {float(P.MAX_ITER)!r}), {R6}) AS expected_proposals, "
+        "n_q FROM post")
+    q["item_stats"] = _with(*base) + (
+        "SELECT item_id, round(CASE WHEN use_post THEN post_mean ELSE s_mean END, 6) AS mean, "
+        "round(CASE WHEN use_post THEN (CASE WHEN post_std = 0 THEN 1e-9 ELSE post_std END) ELSE s_std END, 6) AS std, "
+        "CASE WHEN NOT cold THEN 'plain' WHEN use_post THEN 'posterior' ELSE 'fallback' END AS source FROM ("
+        "SELECT h.item_id, (h.n_raw < " + str(P.SAMPLE_MIN) + " OR h.n_kept = 0) AS cold, "
+        "((h.n_raw < " + str(P.SAMPLE_MIN) + " OR h.n_kept = 0) AND p.sum_w > 0 AND "
+        f"(p.sum_w / p.n_q) * {float(P.MAX_ITER)!r} >= 1.0) AS use_post, "
+        "p.sum_wm / p.sum_w AS post_mean, p.sum_ws / p.sum_w AS post_std, "
+        "CASE WHEN h.n_kept > 0 THEN h.sum_r::DOUBLE / h.n_kept END AS s_mean, "
+        "sqrt(greatest(CASE WHEN h.n_kept > 0 THEN h.sum_r2::DOUBLE / h.n_kept - "
+        "(h.sum_r::DOUBLE / h.n_kept) * (h.sum_r::DOUBLE / h.n_kept) END, 0.0)) AS s_std "
+        "FROM histogram h LEFT JOIN post p USING (c1, c2, c3, c4, c5))")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stats_sql())
+    out.update(posterior_sql())
     return out

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratinglab.operators import splits, stats
+from ratinglab.operators import posterior, splits, stats
 from ratinglab.plans import params as P
 from ratinglab.sources import fixtures as fx
 
@@ -63,7 +63,27 @@ def stats_queries() -> dict[str, Query]:
     }
 
 
+def q_posterior_moments(spark, sf):
+    hist = _hist(spark, sf).cache()
+    priors = posterior.priors_table(hist, P.TRUSTED_MIN)
+    cold = hist.where((F.col("n_raw") < P.SAMPLE_MIN) | (F.col("n_kept") == 0))
+    pm = posterior.posterior_moments(cold, priors, P.ACCEPTS, P.MAX_ITER)
+    return pm.select(*stats.COUNT_COLS, r6("mean").alias("mean"), r6("std").alias("std"),
+                     r6("expected_proposals").alias("expected_proposals"), "n_q")
+
+
+def q_item_stats(spark, sf):
+    st = posterior.item_stats(fx.ratings(spark, sf), P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER,
+                              P.NOISE_SD, P.MIN_RATING)
+    return st.select("item_id", r6("mean").alias("mean"), r6("std").alias("std"), "source")
+
+
+def posterior_queries() -> dict[str, Query]:
+    return {"posterior_moments": q_posterior_moments, "item_stats": q_item_stats}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(stats_queries())
+    out.update(posterior_queries())
     return out
