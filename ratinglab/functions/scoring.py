@@ -75,6 +75,15 @@ def predict_rating(mean, std, dot_uv, rounding: str = "literal") -> Column:
     return F.least(F.greatest(raw, F.lit(1.0)), F.lit(5.0))
 
 
+def ln_jvm(x) -> Column:
+    """Natural log with the JVM's edge values (Spark's ``log`` gives NULL instead):
+    -inf at 0 and NaN below 0."""
+    x = _c(x)
+    return (F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf")))
+            .otherwise(F.lit(float("nan"))))
+
+
 def diversified_score(predicted, pdf, b: float = B_DEFAULT, epsilon: float = EPSILON) -> Column:
-    """predicted - B * ln(pdf + epsilon)."""
-    return _c(predicted) - F.lit(float(b)) * F.log(_c(pdf) + F.lit(float(epsilon)))
+    """predicted - B * ln(pdf + epsilon). The kernel dips just below 0 above the cutoff,
+    so ``pdf + epsilon`` can be negative: the score is then NaN, as in the reference."""
+    return _c(predicted) - F.lit(float(b)) * ln_jvm(_c(pdf) + F.lit(float(epsilon)))

@@ -100,6 +100,27 @@ def _post_cte() -> str:
         "FROM cold c CROSS JOIN priors q) GROUP BY c1, c2, c3, c4, c5")
 
 
+def _stats_raw() -> str:
+    return (
+        "SELECT h.item_id, (h.n_raw < " + str(P.SAMPLE_MIN) + " OR h.n_kept = 0) AS cold, "
+        "((h.n_raw < " + str(P.SAMPLE_MIN) + " OR h.n_kept = 0) AND p.sum_w > 0 AND "
+        f"(p.sum_w / p.n_q) * {float(P.MAX_ITER)!r} >= 1.0) AS use_post, "
+        "p.sum_wm / p.sum_w AS post_mean, p.sum_ws / p.sum_w AS post_std, "
+        "CASE WHEN h.n_kept > 0 THEN h.sum_r::DOUBLE / h.n_kept END AS s_mean, "
+        "sqrt(greatest(CASE WHEN h.n_kept > 0 THEN h.sum_r2::DOUBLE / h.n_kept - "
+        "(h.sum_r::DOUBLE / h.n_kept) * (h.sum_r::DOUBLE / h.n_kept) END, 0.0)) AS s_std "
+        "FROM histogram h LEFT JOIN post p USING (c1, c2, c3, c4, c5)")
+
+
+def posterior_base() -> list[tuple[str, str]]:
+    seed = P.SEED
+    return BASE + [("histogram", _histogram_cte(seed)), ("pmf", _pmf_cte()),
+                   ("priors", _priors_cte(P.TRUSTED_MIN)),
+                   ("cold", f"SELECT DISTINCT c1, c2, c3, c4, c5 FROM histogram "
+                            f"WHERE n_raw < {P.SAMPLE_MIN} OR n_kept = 0"),
+                   ("post", _post_cte()), ("stats_raw", _stats_raw())]
+
+
 def posterior_sql() -> dict[str, str]:
     seed = P.SEED
     base = BASE + [("histogram", _histogram_cte(seed)), ("pmf", _pmf_cte()),
@@ -112,18 +133,168 @@ def posterior_sql() -> dict[str, str]:
         f"SELECT c1, c2, c3, c4, c5, round(sum_wm / sum_w, {R6}) AS mean, round(sum_ws / sum_w, {R6}) AS std, "
         f"round(least({float(P.ACCEPTS)!r} / (sum_w / n_q), {float(P.MAX_ITER)!r}), {R6}) AS expected_proposals, "
         "n_q FROM post")
-    q["item_stats"] = _with(*base) + (
+    q["item_stats"] = _with(*posterior_base()) + (
         "SELECT item_id, round(CASE WHEN use_post THEN post_mean ELSE s_mean END, 6) AS mean, "
         "round(CASE WHEN use_post THEN (CASE WHEN post_std = 0 THEN 1e-9 ELSE post_std END) ELSE s_std END, 6) AS std, "
-        "CASE WHEN NOT cold THEN 'plain' WHEN use_post THEN 'posterior' ELSE 'fallback' END AS source FROM ("
-        "SELECT h.item_id, (h.n_raw < " + str(P.SAMPLE_MIN) + " OR h.n_kept = 0) AS cold, "
-        "((h.n_raw < " + str(P.SAMPLE_MIN) + " OR h.n_kept = 0) AND p.sum_w > 0 AND "
-        f"(p.sum_w / p.n_q) * {float(P.MAX_ITER)!r} >= 1.0) AS use_post, "
-        "p.sum_wm / p.sum_w AS post_mean, p.sum_ws / p.sum_w AS post_std, "
-        "CASE WHEN h.n_kept > 0 THEN h.sum_r::DOUBLE / h.n_kept END AS s_mean, "
-        "sqrt(greatest(CASE WHEN h.n_kept > 0 THEN h.sum_r2::DOUBLE / h.n_kept - "
-        "(h.sum_r::DOUBLE / h.n_kept) * (h.sum_r::DOUBLE / h.n_kept) END, 0.0)) AS s_std "
-        "FROM histogram h LEFT JOIN post p USING (c1, c2, c3, c4, c5))")
+        "CASE WHEN NOT cold THEN 'plain' WHEN use_post THEN 'posterior' ELSE 'fallback' END AS source FROM stats_raw")
+    return q
+
+
+
+
+# ------------------------------------------------------------------ vectors, ridge, inference
+
+def _iv_ctes() -> list[tuple[str, str]]:
+    return BASE + [("iv", sql_item_vectors(P.RANK)),
+                   ("rwv", "SELECT r.user_id, r.item_id, r.rating, v.item_vector, v.mean, v.std "
+                           "FROM ratings r JOIN iv v ON v.item_id = r.item_id"),
+                   ("nv", "SELECT item_id, item_vector, mean, std, list_transform(item_vector, lambda x: x / "
+                          "sqrt(list_dot_product(item_vector, item_vector))) AS unit FROM iv "
+                          "WHERE list_dot_product(item_vector, item_vector) > 0")]
+
+
+def _gram_cte(rank: int) -> str:
+    xs = ", ".join(f"item_vector[{i + 1}] AS x{i}" for i in range(rank))
+    sums = ["count(*) AS n"]
+    sums += [f"sum(x{i} * x{j}) AS a_{i}_{j}" for i in range(rank) for j in range(i, rank)]
+    sums += [f"sum(x{i} * z) AS b_{i}" for i in range(rank)]
+    sums += [f"sum(x{i}) AS s_{i}" for i in range(rank)]
+    sums += ["sum(z) AS sy", "sum(z * z) AS syy"]
+    return (f"SELECT user_id, {', '.join(sums)} FROM (SELECT user_id, {xs}, "
+            "CASE WHEN std = 0 THEN rating - mean ELSE (rating - mean) / std END AS z FROM rwv) GROUP BY user_id")
+
+
+def _ridge_ctes(rank: int, reg: float) -> list[tuple[str, str]]:
+    """Unrolled Cholesky solve of (X'X/n + reg/sd_y diag(var_x)) beta = X'y/n per user."""
+    m = []
+    for i in range(rank):
+        for j in range(i, rank):
+            e = f"a_{i}_{j} / n"
+            if i == j:
+                e += f" + ({reg!r} / sd_y) * greatest(a_{i}_{i} / n - (s_{i} / n) * (s_{i} / n), 0.0)"
+            m.append(f"{e} AS m_{i}_{j}")
+    rhs = [f"b_{i} / n AS r_{i}" for i in range(rank)]
+    ctes = [("sys0", "SELECT *, (syy / n - (sy / n) * (sy / n)) <= 1e-12 * greatest(syy / n, 2.2250738585072014e-308) "
+                     "AS degenerate FROM gram"),
+            ("sys1", "SELECT *, sqrt(CASE WHEN degenerate THEN 1.0 ELSE syy / n - (sy / n) * (sy / n) END) AS sd_y "
+                     "FROM sys0"),
+            ("sys2", f"SELECT user_id, degenerate, {', '.join(m + rhs)} FROM sys1")]
+    prev = "sys2"
+
+    def mm(i, j):
+        return f"m_{min(i, j)}_{max(i, j)}"
+    for j in range(rank):
+        diag = f"sqrt({mm(j, j)}" + "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j)) + ")"
+        ctes.append((f"chd{j}", f"SELECT *, {diag} AS l_{j}_{j} FROM {prev}"))
+        prev = f"chd{j}"
+        if j + 1 < rank:
+            cols = ", ".join(
+                f"({mm(i, j)}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j)) + f") / l_{j}_{j} AS l_{i}_{j}"
+                for i in range(j + 1, rank))
+            ctes.append((f"chl{j}", f"SELECT *, {cols} FROM {prev}"))
+            prev = f"chl{j}"
+    for i in range(rank):
+        e = f"(r_{i}" + "".join(f" - l_{i}_{k} * y_{k}" for k in range(i)) + f") / l_{i}_{i}"
+        ctes.append((f"fw{i}", f"SELECT *, {e} AS y_{i} FROM {prev}"))
+        prev = f"fw{i}"
+    for i in reversed(range(rank)):
+        e = f"(y_{i}" + "".join(f" - l_{k}_{i} * x_{k}" for k in range(i + 1, rank)) + f") / l_{i}_{i}"
+        ctes.append((f"bk{i}", f"SELECT *, {e} AS x_{i} FROM {prev}"))
+        prev = f"bk{i}"
+    us = ", ".join(f"CASE WHEN degenerate THEN 0.0 ELSE x_{i} END AS u{i}" for i in range(rank))
+    ctes.append(("uvec", f"SELECT user_id, degenerate, {us} FROM {prev}"))
+    return ctes
+
+
+def _g_sql(t: str) -> str:
+    from ratinglab.functions.scoring import INFERENCE_KERNEL
+    acc = f"{INFERENCE_KERNEL[-1]!r}"
+    for c in reversed(INFERENCE_KERNEL[:-1]):
+        acc = f"({acc} * {t} + {c!r})"
+    return acc
+
+
+def _pdf_ctes(cutoff: float) -> list[tuple[str, str]]:
+    return [("cnt", "SELECT user_id, count(*) AS n_u FROM rwv GROUP BY user_id"),
+            ("pairs", "SELECT rw.user_id, c.item_id, list_dot_product(a.unit, c.unit) AS d "
+                      "FROM rwv rw JOIN nv a ON a.item_id = rw.item_id CROSS JOIN nv c"),
+            ("pdfs", f"SELECT user_id, item_id, sum({_g_sql('d')}) AS gs FROM pairs WHERE d >= {cutoff!r} "
+                     "GROUP BY user_id, item_id")]
+
+
+def vectors_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    rank, reg = P.RANK, P.RIDGE_REG
+    ivc = _iv_ctes()
+    q["ratings_with_vectors"] = _with(*ivc) + (
+        f"SELECT user_id, item_id, rating, list_transform(item_vector, lambda x: round(x, {R6})) AS item_vector, "
+        f"round(mean, {R6}) AS mean, round(std, {R6}) AS std FROM rwv")
+    q["similar_items_exact"] = _with(*ivc) + (
+        f"SELECT left_id, right_id, round(d, {R6}) AS dot FROM (SELECT a.item_id AS left_id, b.item_id AS right_id, "
+        f"list_dot_product(a.unit, b.unit) AS d FROM nv a CROSS JOIN nv b) WHERE d > {P_CUTOFF!r}")
+    ucols = ["n"] + [f"a_{i}_{j}" for i in range(rank) for j in range(i, rank)]
+    q["user_gram"] = _with(*ivc, ("gram", _gram_cte(rank))) + (
+        "SELECT user_id, n, "
+        "[" + ", ".join(f"round(a_{i}_{j}, {R6})" for i in range(rank) for j in range(i, rank)) + "] AS xtx, "
+        "[" + ", ".join(f"round(b_{i}, {R6})" for i in range(rank)) + "] AS xty, "
+        "[" + ", ".join(f"round(s_{i}, {R6})" for i in range(rank)) + "] AS sx, "
+        f"round(sy, {R6}) AS sy, round(syy, {R6}) AS syy FROM gram")
+    del ucols
+    q["user_vectors"] = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg)) + (
+        "SELECT user_id, [" + ", ".join(f"round(u{i}, {R6})" for i in range(rank)) + "] AS user_vector, "
+        "degenerate FROM uvec")
+    q["user_item_pdf"] = _with(*ivc, *_pdf_ctes(P_CUTOFF)) + (
+        f"SELECT p.user_id, p.item_id, round(p.gs / c.n_u, {R6}) AS pdf FROM pdfs p JOIN cnt c USING (user_id) "
+        "WHERE NOT EXISTS (SELECT 1 FROM rwv r WHERE r.user_id = p.user_id AND r.item_id = p.item_id)")
+    for name, rounding in (("recommend", "literal"), ("recommend_half_star", "half_star")):
+        du = " + ".join(f"u.u{i} * c.item_vector[{i + 1}]" for i in range(rank))
+        if rounding == "literal":
+            pred = "least(greatest(floor(floor(mean + std * du * 2.0 + 0.5) / 2.0), 1.0), 5.0)"
+        else:
+            pred = "least(greatest(floor((mean + std * du) * 2.0 + 0.5) / 2.0, 1.0), 5.0)"
+        q[name] = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg), *_pdf_ctes(P_CUTOFF),
+                        ("items", sql_items()),
+                        ("grid", f"SELECT u.user_id, c.item_id, c.mean, c.std, {du} AS du FROM uvec u CROSS JOIN nv c "
+                                 "WHERE NOT EXISTS (SELECT 1 FROM rwv r WHERE r.user_id = u.user_id "
+                                 "AND r.item_id = c.item_id)"),
+                        ("scored", f"SELECT g.user_id, g.item_id, {pred} AS predicted, "
+                                   "coalesce(p.gs / n.n_u, 0.0) AS pdf FROM grid g JOIN cnt n USING (user_id) "
+                                   "LEFT JOIN pdfs p USING (user_id, item_id)"),
+                        ("fin", f"SELECT user_id, item_id, predicted - {P.B!r} * ln(pdf + 1e-05) AS score FROM scored"),
+                        ("ranked", "SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, "
+                                   "item_id) AS INTEGER) AS rank FROM fin")) + (
+            "SELECT r.user_id, r.rank, r.item_id, coalesce(i.title, '?') AS title, "
+            f"round(r.score, {R6}) AS score FROM ranked r LEFT JOIN items i ON i.item_id = r.item_id "
+            f"WHERE r.rank <= {P.N_PICKS}")
+    q["missing_users"] = _with(*BASE) + (
+        "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer "
+        "WHERE CAST(c_custkey AS INTEGER) NOT IN (SELECT user_id FROM ratings)")
+    return q
+
+
+P_CUTOFF = 0.4
+
+
+def normalize_sql() -> dict[str, str]:
+    """z-scores against ``item_stats`` and the user-mean-z predictor's test MSE."""
+    base = posterior_base()
+    st = ("st", "SELECT item_id, CASE WHEN use_post THEN post_mean ELSE s_mean END AS mean, "
+                "CASE WHEN use_post THEN (CASE WHEN post_std = 0 THEN 1e-9 ELSE post_std END) ELSE s_std END AS std "
+                "FROM stats_raw")
+    z = ("zs", "SELECT r.user_id, r.item_id, r.rating, CASE WHEN s.std = 0 THEN r.rating - s.mean "
+               "ELSE (r.rating - s.mean) / s.std END AS z, s.mean, s.std, "
+               f"{sql_hash_uniform(P.SEED, 'split', 'r.user_id', 'r.item_id')} < {P.TRAIN_RATIO!r} AS is_train "
+               "FROM ratings r LEFT JOIN st s ON s.item_id = r.item_id")
+    q: dict[str, str] = {}
+    q["zscore_ratings"] = _with(*base, st, z) + (
+        f"SELECT user_id, item_id, rating, round(z, {R6}) AS z, round(mean, {R6}) AS mean, round(std, {R6}) AS std "
+        "FROM zs")
+    q["zscore_mse"] = _with(*base, st, z, (
+        "pred", "SELECT t.*, coalesce(u.pz, 0.0) AS prediction FROM (SELECT * FROM zs WHERE NOT is_train) t "
+                "LEFT JOIN (SELECT user_id, avg(z) AS pz FROM zs WHERE is_train GROUP BY user_id) u "
+                "ON u.user_id = t.user_id")) + (
+        f"SELECT round(avg((rating - (prediction * std + mean)) * (rating - (prediction * std + mean))), {R6}) "
+        "AS mse, count(*) AS n_scored FROM pred")
     return q
 
 
@@ -131,4 +302,6 @@ def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stats_sql())
     out.update(posterior_sql())
+    out.update(vectors_sql())
+    out.update(normalize_sql())
     return out

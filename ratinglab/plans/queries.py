@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratinglab.operators import posterior, splits, stats
+from ratinglab.operators import als, normalize, posterior, recommend, similarity, splits, stats, users
 from ratinglab.plans import params as P
 from ratinglab.sources import fixtures as fx
 
@@ -82,8 +82,123 @@ def posterior_queries() -> dict[str, Query]:
     return {"posterior_moments": q_posterior_moments, "item_stats": q_item_stats}
 
 
+def _vec_inputs(spark, sf):
+    r = fx.ratings(spark, sf).cache()
+    return r, fx.item_vectors(spark, sf, P.RANK, r).cache()
+
+
+def q_ratings_with_vectors(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    j = similarity.ratings_with_vectors(r, iv)
+    return j.select("user_id", "item_id", "rating", F.transform("item_vector", lambda x: F.round(x, 6))
+                    .alias("item_vector"), r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+def q_similar_items_exact(spark, sf):
+    _, iv = _vec_inputs(spark, sf)
+    unit = similarity.normalized_vectors(iv)
+    pairs = similarity.similar_items_exact(unit, unit, 0.4, strict=True)
+    return pairs.select("left_id", "right_id", r6("dot").alias("dot"))
+
+
+def q_similar_items_lsh(spark, sf):
+    _, iv = _vec_inputs(spark, sf)
+    unit = similarity.normalized_vectors(iv)
+    pairs = similarity.similar_items_lsh(unit, unit, unit, 0.4, tables=5, seed=P.SEED)
+    return pairs.select("left_id", "right_id", r6("dot").alias("dot"))
+
+
+def _zrv(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    return users.zscored_with_vectors(similarity.ratings_with_vectors(r, iv))
+
+
+def q_user_gram(spark, sf):
+    g = users.user_gram(_zrv(spark, sf), P.RANK)
+    rnd = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return g.select("user_id", "n", rnd("xtx").alias("xtx"), rnd("xty").alias("xty"), rnd("sx").alias("sx"),
+                    r6("sy").alias("sy"), r6("syy").alias("syy"))
+
+
+def q_user_vectors(spark, sf):
+    v = users.user_vectors(users.user_gram(_zrv(spark, sf), P.RANK), P.RANK, P.RIDGE_REG)
+    return v.select("user_id", F.transform("user_vector", lambda x: F.round(x, 6)).alias("user_vector"),
+                    "degenerate")
+
+
+def q_user_item_pdf(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    return recommend.user_item_pdf(r, iv, 0.4).select("user_id", "item_id", r6("pdf").alias("pdf"))
+
+
+def _q_recommend(rounding):
+    def run(spark, sf):
+        r, iv = _vec_inputs(spark, sf)
+        rec = recommend.recommend(r, iv, fx.items(spark, sf), None, n=P.N_PICKS, b=P.B, rounding=rounding,
+                                  rank=P.RANK, reg=P.RIDGE_REG)
+        return rec.select("user_id", "rank", "item_id", "title", r6("score").alias("score"))
+    return run
+
+
+def q_missing_users(spark, sf):
+    customers = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("user_id"))
+    return users.missing_users(customers, fx.ratings(spark, sf))
+
+
+def _zscored(spark, sf):
+    r = fx.ratings(spark, sf).cache()
+    st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD,
+                              P.MIN_RATING)
+    return normalize.zscore_ratings(r, st)
+
+
+def q_zscore_ratings(spark, sf):
+    z = _zscored(spark, sf)
+    return z.select("user_id", "item_id", "rating", r6("z").alias("z"), r6("mean").alias("mean"),
+                    r6("std").alias("std"))
+
+
+def q_zscore_mse(spark, sf):
+    z = splits.hash_split(_zscored(spark, sf), P.TRAIN_RATIO, P.SEED)
+    pred = normalize.inverse_predictions(normalize.user_mean_z_predictions(z))
+    m = normalize.mse(pred, "rating", "raw_prediction")
+    return m.select(r6("mse").alias("mse"), "n_scored")
+
+
+def _q_als(mode):
+    def run(spark, sf):
+        r = fx.ratings(spark, sf).cache()
+        st = None
+        if mode == "normalized":
+            st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD,
+                                      P.MIN_RATING)
+        runs, _ = als.als_runs(r, mode=mode, rank=P.RANK, max_iter=25, runs=1, seed=P.SEED,
+                               train_ratio=P.TRAIN_RATIO, item_stats=st)
+        return runs
+    return run
+
+
+def vector_queries() -> dict[str, Query]:
+    return {
+        "ratings_with_vectors": q_ratings_with_vectors,
+        "similar_items_exact": q_similar_items_exact,
+        "similar_items_lsh": q_similar_items_lsh,
+        "user_gram": q_user_gram,
+        "user_vectors": q_user_vectors,
+        "user_item_pdf": q_user_item_pdf,
+        "recommend": _q_recommend("literal"),
+        "recommend_half_star": _q_recommend("half_star"),
+        "missing_users": q_missing_users,
+        "zscore_ratings": q_zscore_ratings,
+        "zscore_mse": q_zscore_mse,
+        "als_plain": _q_als("plain"),
+        "als_normalized": _q_als("normalized"),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(stats_queries())
     out.update(posterior_queries())
+    out.update(vector_queries())
     return out
