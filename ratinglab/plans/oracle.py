@@ -298,10 +298,63 @@ def normalize_sql() -> dict[str, str]:
     return q
 
 
+
+
+def study_sql() -> dict[str, str]:
+    seed = P.SEED
+    sizes = ", ".join(str(n) for n in P.STUDY_SIZES)
+    cum = ["p1", "p1 + p2", "p1 + p2 + p3", "p1 + p2 + p3 + p4"]
+    u = sql_hash_uniform(seed, "draw", "n", "item_id", "d")
+    bucket = ("CASE " + " ".join(f"WHEN u <= ({c}) THEN {k}" for k, c in enumerate(cum, start=1)) + " ELSE 5 END")
+    ctes = BASE + [
+        ("histogram", _histogram_cte(seed)), ("pmf", _pmf_cte()),
+        ("spmf", f"SELECT p.*, {sql_hash_uniform(seed, 'items', 'p.item_id')} < {P.TEST_RATIO!r} AS is_test, "
+                 f"{_pmf_mean()} AS true_mean, {_pmf_std()} AS true_std FROM pmf p JOIN histogram h "
+                 f"ON h.item_id = p.item_id WHERE h.n_raw > {P.TRUSTED_MIN}"),
+        ("priors", "SELECT item_id AS prior_id, p1, p2, p3, p4, p5, true_mean AS mean_q, true_std AS std_q "
+                   "FROM spmf WHERE NOT is_test"),
+        ("tests", "SELECT * FROM spmf WHERE is_test"),
+        ("grid", f"SELECT t.*, unnest([{sizes}]) AS n FROM tests t"),
+        ("draws", "SELECT n, item_id, p1, p2, p3, p4, p5, unnest(range(1, n + 1)) AS d FROM grid"),
+        ("buck", f"SELECT n, item_id, {bucket} AS b FROM (SELECT *, {u} AS u FROM draws)"),
+        ("counts", "SELECT n, item_id, " + ", ".join(f"count(CASE WHEN b = {k} THEN 1 END) AS c{k}"
+                                                     for k in range(1, 6)) + " FROM buck GROUP BY n, item_id"),
+        ("cold", "SELECT DISTINCT c1, c2, c3, c4, c5 FROM counts"),
+        ("post", _post_cte()),
+        ("j", "SELECT c.n, c.item_id, t.true_mean, t.true_std, "
+              "(c1 * 1 + c2 * 2 + c3 * 3 + c4 * 4 + c5 * 5)::DOUBLE / c.n AS sample_mean, "
+              "sqrt(" + " + ".join(
+                  f"c{k}::DOUBLE / c.n * ({k}.0 - hm) * ({k}.0 - hm)" for k in range(1, 6)) + ") AS sample_std, "
+              "p.sum_wm / p.sum_w AS post_mean, p.sum_ws / p.sum_w AS post_std, "
+              f"least({float(P.ACCEPTS)!r} / (p.sum_w / p.n_q), {float(P.MAX_ITER)!r}) AS expected_proposals "
+              "FROM (SELECT *, (" + " + ".join(f"c{k}::DOUBLE / n * {k}.0" for k in range(1, 6)) + ") AS hm "
+              "FROM counts) c JOIN tests t ON t.item_id = c.item_id "
+              "LEFT JOIN post p USING (c1, c2, c3, c4, c5)"),
+        ("errs", "SELECT n, item_id, 'mean' AS statistic, 'sample' AS estimator, sample_mean - true_mean AS err, "
+                 "expected_proposals FROM j UNION ALL "
+                 "SELECT n, item_id, 'mean', 'posterior', post_mean - true_mean, expected_proposals FROM j UNION ALL "
+                 "SELECT n, item_id, 'std', 'sample', sample_std - true_std, expected_proposals FROM j UNION ALL "
+                 "SELECT n, item_id, 'std', 'posterior', post_std - true_std, expected_proposals FROM j"),
+    ]
+    q: dict[str, str] = {}
+    q["multinomial_counts"] = _with(*ctes) + "SELECT n, item_id, c1, c2, c3, c4, c5 FROM counts"
+    q["study_errors"] = _with(*ctes) + (
+        f"SELECT CAST(n AS INTEGER) AS n, item_id, statistic, estimator, round(err, {R6}) AS err, "
+        f"round(expected_proposals, {R6}) AS expected_proposals FROM errs")
+    q["study_mse"] = _with(*ctes) + (
+        f"SELECT CAST(n AS INTEGER) AS n, statistic, estimator, round(avg(err * err), {R6}) AS mse FROM errs "
+        "GROUP BY n, statistic, estimator")
+    q["study_iterations"] = _with(*ctes) + (
+        f"SELECT CAST(n AS INTEGER) AS n, round(avg(expected_proposals), {R6}) AS avg_proposals, "
+        "CAST(floor(avg(expected_proposals) + 0.5) AS BIGINT) AS avg_proposals_rounded FROM j GROUP BY n")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stats_sql())
     out.update(posterior_sql())
     out.update(vectors_sql())
     out.update(normalize_sql())
+    out.update(study_sql())
     return out

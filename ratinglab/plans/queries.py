@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratinglab.operators import als, normalize, posterior, recommend, similarity, splits, stats, users
+from ratinglab.operators import als, normalize, posterior, recommend, similarity, splits, stats, study, users
 from ratinglab.plans import params as P
 from ratinglab.sources import fixtures as fx
 
@@ -196,9 +196,40 @@ def vector_queries() -> dict[str, Query]:
     }
 
 
+def _study_errors(spark, sf):
+    return study.study_errors(fx.ratings(spark, sf), P.SEED, P.TRUSTED_MIN, P.STUDY_SIZES, P.TEST_RATIO,
+                              P.ACCEPTS, P.MAX_ITER, P.NOISE_SD, P.MIN_RATING)
+
+
+def q_multinomial_counts(spark, sf):
+    pm = study.study_pmfs(fx.ratings(spark, sf), P.SEED, P.TRUSTED_MIN, P.TEST_RATIO, P.NOISE_SD, P.MIN_RATING)
+    return study.multinomial_counts(pm.where(F.col("is_test")), P.STUDY_SIZES, P.SEED)
+
+
+def q_study_errors(spark, sf):
+    e = _study_errors(spark, sf)
+    return e.select("n", "item_id", "statistic", "estimator", r6("err").alias("err"),
+                    r6("expected_proposals").alias("expected_proposals"))
+
+
+def q_study_mse(spark, sf):
+    return study.study_mse(_study_errors(spark, sf)).select("n", "statistic", "estimator", r6("mse").alias("mse"))
+
+
+def q_study_iterations(spark, sf):
+    it = study.study_iterations(_study_errors(spark, sf))
+    return it.select("n", r6("avg_proposals").alias("avg_proposals"), "avg_proposals_rounded")
+
+
+def study_queries() -> dict[str, Query]:
+    return {"multinomial_counts": q_multinomial_counts, "study_errors": q_study_errors,
+            "study_mse": q_study_mse, "study_iterations": q_study_iterations}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(stats_queries())
     out.update(posterior_queries())
     out.update(vector_queries())
+    out.update(study_queries())
     return out
