@@ -350,6 +350,54 @@ def study_sql() -> dict[str, str]:
     return q
 
 
+
+
+def _kde_ctes() -> list[tuple[str, str]]:
+    seed = P.SEED
+    return _iv_ctes() + [
+        ("topu", f"SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id ORDER BY n DESC, user_id "
+                 f"LIMIT {P.N_USERS}"),
+        ("vs", "SELECT r.user_id, CAST(row_number() OVER (PARTITION BY r.user_id ORDER BY r.item_id) AS INTEGER) "
+               "AS pos, r.item_id, v.unit FROM ratings r JOIN nv v ON v.item_id = r.item_id "
+               "WHERE r.user_id IN (SELECT user_id FROM topu)"),
+        ("us", "SELECT user_id, row_number() OVER (ORDER BY "
+               f"{sql_hash_uniform(seed, 'kuser', 'user_id')}, user_id) <= floor(count(*) OVER () * 4 / 5.0) "
+               "AS is_fit_user FROM (SELECT DISTINCT user_id FROM vs)"),
+        ("sp", "SELECT v.*, u.is_fit_user, CASE WHEN u.is_fit_user THEN row_number() OVER (PARTITION BY v.user_id "
+               f"ORDER BY {sql_hash_uniform(seed, 'kfit', 'v.user_id', 'v.item_id')}, v.item_id) "
+               "<= floor(count(*) OVER (PARTITION BY v.user_id) * 9 / 10.0) "
+               "ELSE v.pos <= floor(count(*) OVER (PARTITION BY v.user_id) * 4 / 5.0) END AS is_ref "
+               "FROM vs v JOIN us u ON u.user_id = v.user_id"),
+        ("kp", "SELECT h.user_id, h.item_id, list_dot_product(h.unit, r.unit) AS d, "
+               "h.is_fit_user FROM sp h JOIN sp r ON r.user_id = h.user_id AND r.is_ref WHERE NOT h.is_ref"),
+    ]
+
+
+def kernel_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    ctes = _kde_ctes()
+    q["top_users"] = _with(*BASE) + (
+        f"SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id ORDER BY n DESC, user_id LIMIT {P.N_USERS}")
+    q["vector_sets"] = _with(*ctes) + (
+        f"SELECT user_id, pos, item_id, list_transform(unit, lambda x: round(x, {R6})) AS unit_vector FROM vs")
+    # Chebyshev features, reference form: mean over reference vectors of [d > c] T_k(d)
+    cheb = {0: "1.0", 1: "d"}
+    for k in range(2, 6):
+        cheb[k] = f"(2.0 * d * {cheb[k - 1]} - {cheb[k - 2]})"
+    sel = " UNION ALL ".join(
+        f"SELECT user_id, item_id, {c!r} AS cutoff, {k} AS k, avg(CASE WHEN d > {c!r} THEN {cheb[k]} ELSE 0.0 END) "
+        "AS phi FROM kp WHERE is_fit_user GROUP BY user_id, item_id" for c in P.KDE_CUTOFFS for k in range(6))
+    q["kernel_features"] = _with(*ctes) + (
+        f"SELECT user_id, item_id, cutoff, CAST(k AS INTEGER) AS k, round(phi, {R6}) AS phi FROM ({sel})")
+    g = _g_sql("least(d, 1.0)")
+    q["kde_nll"] = _with(*ctes) + (
+        f"SELECT 0.4 AS cutoff, round(sum(user_nll) / (SELECT count(DISTINCT user_id) FROM sp WHERE NOT is_fit_user), "
+        f"{R6}) AS nll FROM (SELECT user_id, avg(-ln(greatest(f, 1e-10))) AS user_nll FROM ("
+        f"SELECT user_id, item_id, avg(CASE WHEN d > 0.4 THEN {g} ELSE 0.0 END) AS f FROM kp "
+        "WHERE NOT is_fit_user GROUP BY user_id, item_id) GROUP BY user_id)")
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stats_sql())
@@ -357,4 +405,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(vectors_sql())
     out.update(normalize_sql())
     out.update(study_sql())
+    out.update(kernel_sql())
     return out

@@ -21,3 +21,4 @@ B = 0.5
 N_PICKS = 5
 RIDGE_REG = 0.2
 KDE_CUTOFFS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
+EM_STEPS = 100

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratinglab.operators import als, normalize, posterior, recommend, similarity, splits, stats, study, users
+from ratinglab.operators import als, normalize, posterior, recommend, kernel, similarity, splits, stats, study, users
 from ratinglab.plans import params as P
 from ratinglab.sources import fixtures as fx
 
@@ -226,10 +226,47 @@ def study_queries() -> dict[str, Query]:
             "study_mse": q_study_mse, "study_iterations": q_study_iterations}
 
 
+def _split(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    return kernel.kde_split(kernel.vector_sets(r, iv, P.N_USERS), P.SEED).cache()
+
+
+def q_top_users(spark, sf):
+    return kernel.top_users(fx.ratings(spark, sf), P.N_USERS)
+
+
+def q_vector_sets(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    vs = kernel.vector_sets(r, iv, P.N_USERS)
+    return vs.select("user_id", "pos", "item_id",
+                     F.transform("unit_vector", lambda x: F.round(x, 6)).alias("unit_vector"))
+
+
+def q_kernel_features(spark, sf):
+    f = kernel.kernel_features(_split(spark, sf), P.KDE_CUTOFFS, 5)
+    return f.select("user_id", "item_id", "cutoff", "k", r6("phi").alias("phi"))
+
+
+def q_kde_nll(spark, sf):
+    from ratinglab.functions.scoring import INFERENCE_CUTOFF, INFERENCE_KERNEL
+    n = kernel.kde_nll(_split(spark, sf), [(INFERENCE_CUTOFF, INFERENCE_KERNEL)], users="test")
+    return n.select("cutoff", r6("nll").alias("nll"))
+
+
+def q_kernel_sweep(spark, sf):
+    return kernel.kernel_sweep(_split(spark, sf), P.KDE_CUTOFFS, P.RANK, m=12, steps=P.EM_STEPS)
+
+
+def kernel_queries() -> dict[str, Query]:
+    return {"top_users": q_top_users, "vector_sets": q_vector_sets, "kernel_features": q_kernel_features,
+            "kde_nll": q_kde_nll, "kernel_sweep": q_kernel_sweep}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(stats_queries())
     out.update(posterior_queries())
     out.update(vector_queries())
     out.update(study_queries())
+    out.update(kernel_queries())
     return out
