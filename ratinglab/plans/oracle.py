@@ -398,6 +398,13 @@ def kernel_sql() -> dict[str, str]:
     return q
 
 
+def source_sql() -> dict[str, str]:
+    """Round trips through files must give back the relation that was written."""
+    base = stats_sql()
+    return {"read_ratings": base["ratings"], "read_items": base["items"],
+            "read_item_vectors": base["item_vectors"]}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stats_sql())
@@ -406,4 +413,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(normalize_sql())
     out.update(study_sql())
     out.update(kernel_sql())
+    out.update(source_sql())
     return out

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ratinglab.operators import als, normalize, posterior, recommend, kernel, similarity, splits, stats, study, users
 from ratinglab.plans import params as P
+from ratinglab.session import scratch_path
 from ratinglab.sources import fixtures as fx
+from ratinglab.sources import io
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -262,6 +264,39 @@ def kernel_queries() -> dict[str, Query]:
             "kde_nll": q_kde_nll, "kernel_sweep": q_kernel_sweep}
 
 
+def q_read_ratings(spark, sf):
+    path = scratch_path(spark, "ratings-csv")
+    io.write_ratings(fx.ratings(spark, sf), path)
+    return io.read_ratings(spark, path)
+
+
+def q_read_items(spark, sf):
+    path = scratch_path(spark, "items-csv")
+    io.write_items(fx.items(spark, sf), path)
+    return io.read_items(spark, path)
+
+
+def q_read_item_vectors(spark, sf):
+    path = scratch_path(spark, "model")
+    io.write_item_vectors(fx.item_vectors(spark, sf, P.RANK), path)
+    iv = io.read_item_vectors(spark, path)
+    return iv.select("item_id", F.transform("item_vector", lambda x: F.round(x, 6)).alias("item_vector"),
+                     r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+def q_read_vector_sets(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    path = scratch_path(spark, "vector-sets")
+    io.write_vector_sets(kernel.vector_sets(r, iv, P.N_USERS), path)
+    back = io.read_vector_sets(spark, path)
+    return back.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+def source_queries() -> dict[str, Query]:
+    return {"read_ratings": q_read_ratings, "read_items": q_read_items,
+            "read_item_vectors": q_read_item_vectors, "read_vector_sets": q_read_vector_sets}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(stats_queries())
@@ -269,4 +304,5 @@ def queries() -> dict[str, Query]:
     out.update(vector_queries())
     out.update(study_queries())
     out.update(kernel_queries())
+    out.update(source_queries())
     return out
