@@ -30,13 +30,15 @@ def max_rows_for(row_bytes: int, budget_bytes: int = 256 << 20) -> int:
 def bounded_chunks(df: DataFrame, key_cols: list[str], max_rows: int) -> list[pd.DataFrame]:
     """Collect ``df`` in chunks of at most about ``max_rows`` rows each.
 
-    One count first; if it fits, one chunk. Otherwise rows are assigned to
-    ``ceil(n / max_rows)`` chunks by a hash of ``key_cols`` (every row lands in
-    exactly one chunk) and each chunk is collected separately.
+    One bounded probe first (``limit(max_rows + 1)``): if it fits, that is the only
+    chunk and the only job. Otherwise rows are assigned to ``ceil(n / max_rows)``
+    chunks by a hash of ``key_cols`` (every row lands in exactly one chunk) and each
+    chunk is collected separately.
     """
+    probe = df.limit(max_rows + 1).toPandas()
+    if len(probe) <= max_rows:
+        return [probe]
     n = df.count()
-    if n <= max_rows:
-        return [df.toPandas()]
     k = math.ceil(n / max_rows)
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(k))
     tagged = df.withColumn("_chunk", bucket)

@@ -57,7 +57,9 @@ def item_histogram(ratings: DataFrame, seed: int, noise_sd: float = NOISE_SD,
     ``n_kept`` and the sums but in no bucket.
     """
     kept = F.col("rating") >= F.lit(float(min_rating))
-    v = F.when(kept, noisy_round("rating", seed, noise_sd))
+    # the noisy value is computed once per rating in a projection, then aggregated
+    noised = ratings.select("item_id", F.when(kept, noisy_round("rating", seed, noise_sd)).alias("v"))
+    v = F.col("v")
     aggs: list[Column] = [
         F.count(F.lit(1)).alias("n_raw"),
         F.count(v).alias("n_kept"),
@@ -65,7 +67,7 @@ def item_histogram(ratings: DataFrame, seed: int, noise_sd: float = NOISE_SD,
     aggs += [F.count(F.when(v == F.lit(k), F.lit(1))).alias(f"c{k}") for k in BUCKETS]
     aggs += [F.coalesce(F.sum(v), F.lit(0)).cast("bigint").alias("sum_r"),
              F.coalesce(F.sum(v * v), F.lit(0)).cast("bigint").alias("sum_r2")]
-    return ratings.select("item_id", "rating", "user_id").groupBy("item_id").agg(*aggs)
+    return noised.groupBy("item_id").agg(*aggs)
 
 
 def item_pmf(histogram: DataFrame) -> DataFrame:
