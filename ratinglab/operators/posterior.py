@@ -77,19 +77,29 @@ def _sums_kernel(bc):
     return run
 
 
+def _sized(priors: DataFrame, n_hist: int, pairs_per_task: int) -> DataFrame:
+    """Partition the priors by work: every task emits one partial row per histogram, so
+    the task count follows the pair count (|H| x |Q|), not the upstream partitioning."""
+    n_q = priors.count()
+    sc = priors.sparkSession.sparkContext
+    want = int(min(max(1, -(-(n_q * n_hist) // pairs_per_task)), 4 * sc.defaultParallelism, max(1, n_q)))
+    have = priors.rdd.getNumPartitions()
+    return priors.coalesce(want) if want < have else (priors.repartition(want) if want > have else priors)
+
+
 def posterior_sums(cold_histograms: DataFrame, priors: DataFrame,
-                   max_rows: int = blocks.DEFAULT_MAX_ROWS) -> DataFrame:
+                   max_rows: int = blocks.DEFAULT_MAX_ROWS, pairs_per_task: int = 50_000_000) -> DataFrame:
     """Per distinct histogram ``c1..c5``: ``sum_w, sum_wm, sum_ws, n_q`` over all priors."""
     spark = priors.sparkSession
     distinct = cold_histograms.select(*HIST).distinct()
+    q = priors.select("prior_id", *stats.PMF_COLS, "mean_q", "std_q")
     parts = []
     for chunk in blocks.bounded_chunks(distinct, HIST, max_rows):
         if len(chunk) == 0:
             continue
         h = chunk[HIST].to_numpy(dtype=np.float64)
         bc = spark.sparkContext.broadcast((h, _alpha_const(h)))
-        parts.append(priors.select("prior_id", *stats.PMF_COLS, "mean_q", "std_q")
-                     .mapInPandas(_sums_kernel(bc), _SUMS))
+        parts.append(_sized(q, len(h), pairs_per_task).mapInPandas(_sums_kernel(bc), _SUMS))
     if not parts:
         return spark.createDataFrame([], _SUMS)
     partial = blocks.union_all(parts)
@@ -133,9 +143,10 @@ def item_stats(ratings: DataFrame, seed: int, trusted_min: int = TRUSTED_MIN_JOB
     joined = hist.join(F.broadcast(post.select(*HIST, F.col("mean").alias("post_mean"),
                                                F.col("std").alias("post_std"), "avg_w")),
                        HIST, "left")
-    moments = stats.item_moments(joined.select("item_id", "n_kept", "sum_r", "sum_r2")) \
-        .withColumnRenamed("mean", "s_mean").withColumnRenamed("std", "s_std")
-    j = joined.join(moments, "item_id")
+    n = F.col("n_kept").cast("double")
+    s_mean = F.when(F.col("n_kept") > 0, F.col("sum_r").cast("double") / n)
+    s_var = F.when(F.col("n_kept") > 0, F.col("sum_r2").cast("double") / n - s_mean * s_mean)
+    j = joined.withColumn("s_mean", s_mean).withColumn("s_std", F.sqrt(F.greatest(s_var, F.lit(0.0))))
     use_post = cold_flag & F.col("avg_w").isNotNull() & (F.col("avg_w") * F.lit(float(max_iter)) >= 1.0) \
         & F.col("post_mean").isNotNull()
     source = F.when(~cold_flag, F.lit("plain")).when(use_post, F.lit("posterior")).otherwise(F.lit("fallback"))
