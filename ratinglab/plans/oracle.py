@@ -266,6 +266,17 @@ def vectors_sql() -> dict[str, str]:
             "SELECT r.user_id, r.rank, r.item_id, coalesce(i.title, '?') AS title, "
             f"round(r.score, {R6}) AS score FROM ranked r LEFT JOIN items i ON i.item_id = r.item_id "
             f"WHERE r.rank <= {P.N_PICKS}")
+    du = " + ".join(f"u.u{i} * v.item_vector[{i + 1}]" for i in range(rank))
+    q["score_candidates"] = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg), *_pdf_ctes(P_CUTOFF),
+                                  ("cand", "SELECT p.user_id, p.item_id, p.gs / c.n_u AS pdf FROM pdfs p "
+                                           "JOIN cnt c USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM rwv r "
+                                           "WHERE r.user_id = p.user_id AND r.item_id = p.item_id)"),
+                                  ("sc", "SELECT c.user_id, c.item_id, c.pdf, least(greatest(floor(floor(v.mean + "
+                                         f"v.std * ({du}) * 2.0 + 0.5) / 2.0), 1.0), 5.0) AS predicted "
+                                         "FROM cand c JOIN uvec u ON u.user_id = c.user_id "
+                                         "JOIN iv v ON v.item_id = c.item_id")) + (
+        f"SELECT user_id, item_id, predicted, round(pdf, {R6}) AS pdf, "
+        f"round(predicted - {P.B!r} * ln(pdf + 1e-05), {R6}) AS score FROM sc")
     q["missing_users"] = _with(*BASE) + (
         "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer "
         "WHERE CAST(c_custkey AS INTEGER) NOT IN (SELECT user_id FROM ratings)")

@@ -133,6 +133,14 @@ def q_user_item_pdf(spark, sf):
     return recommend.user_item_pdf(r, iv, 0.4).select("user_id", "item_id", r6("pdf").alias("pdf"))
 
 
+def q_score_candidates(spark, sf):
+    r, iv = _vec_inputs(spark, sf)
+    cands = recommend.user_item_pdf(r, iv, 0.4)
+    uv = users.user_vectors_from_ratings(similarity.ratings_with_vectors(r, iv), P.RANK, P.RIDGE_REG)
+    sc = recommend.score_candidates(cands, uv, iv, P.B, 1e-5, "literal")
+    return sc.select("user_id", "item_id", "predicted", r6("pdf").alias("pdf"), r6("score").alias("score"))
+
+
 def _q_recommend(rounding):
     def run(spark, sf):
         r, iv = _vec_inputs(spark, sf)
@@ -188,6 +196,7 @@ def vector_queries() -> dict[str, Query]:
         "user_gram": q_user_gram,
         "user_vectors": q_user_vectors,
         "user_item_pdf": q_user_item_pdf,
+        "score_candidates": q_score_candidates,
         "recommend": _q_recommend("literal"),
         "recommend_half_star": _q_recommend("half_star"),
         "missing_users": q_missing_users,
