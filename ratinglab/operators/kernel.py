@@ -131,13 +131,17 @@ def kde_values(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap:
     spark = split.sparkSession
     ref = split.where(F.col("is_ref")).select("user_id", "unit_vector")
     held = split.where(~F.col("is_ref")).select("user_id", "item_id", "unit_vector")
-    n_ref = ref.count()
-    rank = len(split.select("unit_vector").first()[0]) if n_ref else 1
-    k = max(1, -(-(n_ref * (rank * 8 + 32)) // budget_bytes))
+    # one bounded probe; count and split into user-hash chunks only when over budget
+    cap = max(1, budget_bytes // (16 * 8 + 32))
+    probe = ref.limit(cap + 1).toPandas()
+    rank = len(probe["unit_vector"].iloc[0]) if len(probe) else 1
+    row_bytes = rank * 8 + 32
+    k = 1 if len(probe) * row_bytes <= budget_bytes and len(probe) <= cap else \
+        max(1, -(-(ref.count() * row_bytes) // budget_bytes))
     parts = []
     for i in range(k):
         bucket = F.pmod(F.xxhash64("user_id"), F.lit(k))
-        r_pd = (ref if k == 1 else ref.where(bucket == i)).toPandas()
+        r_pd = probe if k == 1 else ref.where(bucket == i).toPandas()
         mats = {int(u): np.stack(g["unit_vector"].to_numpy()).astype(np.float64) for u, g in r_pd.groupby("user_id")}
         bc = spark.sparkContext.broadcast(mats)
         h = held if k == 1 else held.where(bucket == i)

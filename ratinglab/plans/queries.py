@@ -182,8 +182,10 @@ def _q_als(mode):
         if mode == "normalized":
             st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD,
                                       P.MIN_RATING)
+        # one ALS block per core of the session (MLlib's fixed default of 10 is not)
         runs, _ = als.als_runs(r, mode=mode, rank=P.RANK, max_iter=25, runs=1, seed=P.SEED,
-                               train_ratio=P.TRAIN_RATIO, item_stats=st)
+                               train_ratio=P.TRAIN_RATIO, item_stats=st,
+                               num_blocks=spark.sparkContext.defaultParallelism)
         return runs
     return run
 
