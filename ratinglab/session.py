@@ -37,13 +37,19 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a scratch one only when the session has none."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder.
+
+    Read from ``spark.checkpoint.dir`` (or a checkpoint folder already set on the
+    context); only when neither exists (tests, local runs) a scratch folder is made.
+    ``spark.checkpoint.dir`` is a core setting and cannot be changed at runtime, so the
+    context's checkpoint folder is what gets set."""
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="ratinglab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        current = sc.getCheckpointDir()
+        conf_dir = current.rsplit("/", 1)[0] if current else tempfile.mkdtemp(prefix="ratinglab-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
