@@ -61,6 +61,8 @@ def stats_sql() -> dict[str, str]:
     q["trusted_ratings"] = _with(*BASE) + (
         "SELECT item_id, user_id, rating, ts FROM ratings WHERE item_id IN ("
         f"SELECT item_id FROM ratings GROUP BY item_id HAVING count(*) > {P.TRUSTED_MIN})")
+    q["clean_ratings"] = _with(*BASE) + (
+        f"SELECT user_id, item_id, rating, ts FROM ratings WHERE rating >= {P.MIN_RATING!r}")
     q["noisy_ratings"] = _with(*BASE) + (
         "SELECT user_id, item_id, rating, CAST(floor(rating + "
         f"{sql_hash_normal(seed, 'noise', 'user_id', 'item_id')} * {P.NOISE_SD!r} + 0.5) AS BIGINT) AS v "
@@ -129,6 +131,12 @@ def posterior_sql() -> dict[str, str]:
                             f"WHERE n_raw < {P.SAMPLE_MIN} OR n_kept = 0"),
                    ("post", _post_cte())]
     q: dict[str, str] = {}
+    q["posterior_weights"] = _with(*base) + (
+        f"SELECT c1, c2, c3, c4, c5, round(sum_w, {R6}) AS sum_w, round(sum_wm, {R6}) AS sum_wm, "
+        f"round(sum_ws, {R6}) AS sum_ws, n_q FROM post")
+    q["expected_proposals"] = _with(*base) + (
+        f"SELECT c1, c2, c3, c4, c5, round(least({float(P.ACCEPTS)!r} / (sum_w / n_q), {float(P.MAX_ITER)!r}), "
+        f"{R6}) AS expected_proposals FROM post")
     q["posterior_moments"] = _with(*base) + (
         f"SELECT c1, c2, c3, c4, c5, round(sum_wm / sum_w, {R6}) AS mean, round(sum_ws / sum_w, {R6}) AS std, "
         f"round(least({float(P.ACCEPTS)!r} / (sum_w / n_q), {float(P.MAX_ITER)!r}), {R6}) AS expected_proposals, "

@@ -53,6 +53,7 @@ def stats_queries() -> dict[str, Query]:
         "user_counts": lambda s, d: stats.user_counts(fx.ratings(s, d)),
         "trusted_items": lambda s, d: stats.trusted_items(fx.ratings(s, d), P.TRUSTED_MIN),
         "trusted_ratings": lambda s, d: stats.trusted_ratings(fx.ratings(s, d), P.TRUSTED_MIN),
+        "clean_ratings": lambda s, d: stats.clean_ratings(fx.ratings(s, d), P.MIN_RATING),
         "noisy_ratings": lambda s, d: stats.noisy_ratings(fx.ratings(s, d), P.SEED, P.NOISE_SD, P.MIN_RATING)
         .select("user_id", "item_id", "rating", "v"),
         "item_histogram": _hist,
@@ -80,8 +81,28 @@ def q_item_stats(spark, sf):
     return st.select("item_id", r6("mean").alias("mean"), r6("std").alias("std"), "source")
 
 
+def _cold_and_priors(spark, sf):
+    hist = _hist(spark, sf).cache()
+    priors = posterior.priors_table(hist, P.TRUSTED_MIN)
+    return hist.where((F.col("n_raw") < P.SAMPLE_MIN) | (F.col("n_kept") == 0)), priors
+
+
+def q_posterior_weights(spark, sf):
+    cold, priors = _cold_and_priors(spark, sf)
+    w = posterior.posterior_sums(cold, priors)
+    return w.select(*stats.COUNT_COLS, r6("sum_w").alias("sum_w"), r6("sum_wm").alias("sum_wm"),
+                    r6("sum_ws").alias("sum_ws"), "n_q")
+
+
+def q_expected_proposals(spark, sf):
+    cold, priors = _cold_and_priors(spark, sf)
+    e = posterior.expected_proposals(cold, priors, P.ACCEPTS, P.MAX_ITER)
+    return e.select(*stats.COUNT_COLS, r6("expected_proposals").alias("expected_proposals"))
+
+
 def posterior_queries() -> dict[str, Query]:
-    return {"posterior_moments": q_posterior_moments, "item_stats": q_item_stats}
+    return {"posterior_moments": q_posterior_moments, "item_stats": q_item_stats,
+            "posterior_weights": q_posterior_weights, "expected_proposals": q_expected_proposals}
 
 
 def _vec_inputs(spark, sf):
