@@ -79,6 +79,7 @@ def inference_job(spark: SparkSession, ratings_path: str, items_path: str, model
     from ratinglab.operators import users as users_op
     r = io.read_ratings(spark, ratings_path).cache()
     req = spark.createDataFrame(sorted({int(u) for u in user_ids}), "int").toDF("user_id")
+    # the error message lists at most 100 of the unknown ids
     missing = [row["user_id"] for row in users_op.missing_users(req, r).limit(100).collect()]
     if missing:
         raise ValueError(f"user ids not found: {missing}")

@@ -424,6 +424,34 @@ def source_sql() -> dict[str, str]:
             "read_item_vectors": base["item_vectors"]}
 
 
+def _positive_zero(sql: str) -> str:
+    """Rewrite every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB keeps the sign of a
+    tiny negative value (``-0.0``) where Spark's decimal rounding gives ``0.0``; adding
+    0.0 turns -0.0 into 0.0 and changes nothing else."""
+    out, k = [], 0
+    while True:
+        j = sql.find("round(", k)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[k:])
+                return "".join(out)
+            out.append(sql[k:j + 6])
+            k = j + 6
+            continue
+        depth, e = 0, j + 5
+        while True:
+            if sql[e] == "(":
+                depth += 1
+            elif sql[e] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            e += 1
+        out.append(sql[k:j])
+        out.append("(round(" + _positive_zero(sql[j + 6:e]) + ") + 0.0)")
+        k = e + 1
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(stats_sql())
@@ -433,4 +461,4 @@ def oracle_sql() -> dict[str, str]:
     out.update(study_sql())
     out.update(kernel_sql())
     out.update(source_sql())
-    return out
+    return {k: _positive_zero(v) for k, v in out.items()}
