@@ -165,3 +165,114 @@ def expected_proposals(cold_histograms: DataFrame, priors: DataFrame, accepts: i
 def histogram_bound(sample_min: int) -> int:
     """Number of 5-bucket histograms with fewer than ``sample_min`` counts."""
     return math.comb(sample_min - 1 + 5, 5)
+
+
+# ------------------------------------------------------------------ sampled posterior (R3, sampled form)
+
+_BUCKET_SUMS = T.StructType([T.StructField("b", T.LongType())] + [T.StructField(c, T.LongType()) for c in HIST]
+                            + [T.StructField("t", T.DoubleType())])
+_DRAWN = T.StructType([T.StructField("item_id", T.IntegerType()), T.StructField("draw", T.IntegerType()),
+                       T.StructField("prior_id", T.IntegerType())])
+
+
+def _bucket_sums_kernel(bc):
+    def run(batches):
+        h, const = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            log_q = np.log(pdf[stats.PMF_COLS].to_numpy(dtype=np.float64))
+            bks = pdf["b"].to_numpy()
+            for bk in np.unique(bks):
+                sel = bks == bk
+                w = np.exp(h @ log_q[sel].T + const[:, None])
+                out = pd.DataFrame(h.astype(np.int64), columns=HIST)
+                out.insert(0, "b", np.int64(bk))
+                out["t"] = w.sum(axis=1)
+                yield out
+    return run
+
+
+def _resolve_in_bucket(key, priors: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+    """Inverse CDF inside one bucket (or one salt slice of it): priors sorted by id."""
+    if len(draws) == 0 or len(priors) == 0:
+        return pd.DataFrame({"item_id": [], "draw": [], "prior_id": []})
+    priors = priors.sort_values("prior_id")
+    log_q = np.log(priors[stats.PMF_COLS].to_numpy(dtype=np.float64))
+    ids = priors["prior_id"].to_numpy()
+    out = []
+    for hk, grp in draws.groupby(HIST, sort=False):
+        h = np.array(hk, dtype=np.float64)[None, :]
+        w = np.exp(h @ log_q.T + _alpha_const(h)[:, None])[0]
+        cum = np.cumsum(w)
+        idx = np.minimum(np.searchsorted(cum, grp["t_local"].to_numpy(), side="right"), len(ids) - 1)
+        out.append(pd.DataFrame({"item_id": grp["item_id"].to_numpy(), "draw": grp["draw"].to_numpy(),
+                                 "prior_id": ids[idx]}))
+    return pd.concat(out, ignore_index=True)
+
+
+def posterior_sample(cold_items: DataFrame, priors: DataFrame, seed: int, accepts: int = ACCEPTS,
+                     buckets: int | None = None, max_draws_per_group: int = 2_000_000) -> DataFrame:
+    """R3, sampled: ``item_id, draw, prior_id`` with ``accepts`` draws per cold item from
+    its posterior over priors (weights ``exp(alpha)``), by inverse CDF over priors in
+    ``prior_id`` order with the hashed uniform ``u(seed, 'post', item_id, draw)``.
+
+    ``cold_items`` carries ``item_id, c1..c5``. Two stages keep every piece bounded:
+    priors get id-range buckets; the kernel gives each bucket's weight total per
+    distinct histogram; a draw picks its bucket from a per-histogram array of
+    cumulative totals (one entry per bucket); then, per bucket, a cogrouped pandas step
+    finds the prior. Draws of a bucket are salted into slices of at most
+    ``max_draws_per_group`` (the bucket's priors are copied to each slice), so one
+    dominant prior cannot pull every draw into one task."""
+    from ratinglab.functions.rng import hash_uniform
+    spark = priors.sparkSession
+    sc = spark.sparkContext
+    q = priors.select("prior_id", *stats.PMF_COLS)
+    lo_hi = q.agg(F.min("prior_id").alias("lo"), F.max("prior_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if lo_hi["n"] == 0:
+        return spark.createDataFrame([], _DRAWN)
+    nb = buckets or max(1, min(4 * sc.defaultParallelism, lo_hi["n"]))
+    width = max(1, -(-(lo_hi["hi"] - lo_hi["lo"] + 1) // nb))
+    qb = q.withColumn("b", F.floor((F.col("prior_id") - F.lit(lo_hi["lo"])) / F.lit(width)).cast("long"))
+    # stage 1: bucket totals per distinct histogram
+    distinct = cold_items.select(*HIST).distinct()
+    parts = []
+    for chunk in blocks.bounded_chunks(distinct, HIST, blocks.DEFAULT_MAX_ROWS):
+        if len(chunk) == 0:
+            continue
+        h = chunk[HIST].to_numpy(dtype=np.float64)
+        bc = sc.broadcast((h, _alpha_const(h)))
+        parts.append(qb.mapInPandas(_bucket_sums_kernel(bc), _BUCKET_SUMS))
+    if not parts:
+        return spark.createDataFrame([], _DRAWN)
+    tot = blocks.union_all(parts).groupBy("b", *HIST).agg(F.sum("t").alias("t"))
+    from pyspark.sql import Window
+    w = Window.partitionBy(*HIST).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("lo", F.coalesce(F.sum("t").over(w), F.lit(0.0)))
+    per_h = tot.groupBy(*HIST).agg(F.sort_array(F.collect_list(F.struct("b", "lo", "t"))).alias("cum"),
+                                   F.sum("t").alias("W"))
+    # stage 2: each draw picks its bucket
+    draws = cold_items.select("item_id", *HIST, F.explode(F.sequence(F.lit(1), F.lit(int(accepts)))).alias("draw"))
+    u = hash_uniform(seed, "post", "item_id", "draw")
+    d = draws.join(per_h, HIST).withColumn("target", u * F.col("W"))
+    pick = F.element_at(F.filter("cum", lambda x: (x["lo"] <= F.col("target")) & (x["t"] > 0)), -1)
+    d = d.select("item_id", "draw", *HIST, pick["b"].alias("b"), (F.col("target") - pick["lo"]).alias("t_local"))
+    # stage 3: salt crowded buckets, resolve the prior inside each (bucket, slice)
+    per_b = d.groupBy("b").agg(F.count(F.lit(1)).alias("nd"))
+    salts = per_b.select("b", F.greatest(F.lit(1), F.ceil(F.col("nd") / F.lit(max_draws_per_group)))
+                         .cast("int").alias("s"))
+    d = (d.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("item_id", "draw"), F.col("s")).cast("int"))
+         .select("b", "salt", "item_id", "draw", *HIST, "t_local"))
+    qs = (qb.join(salts.select(F.col("b").alias("qb_b"), F.col("s").alias("qb_s")), F.col("b") == F.col("qb_b"))
+          .select("b", F.explode(F.sequence(F.lit(0), F.col("qb_s") - 1)).alias("salt"), "prior_id",
+                  *stats.PMF_COLS))
+    out = (qs.groupBy("b", "salt").cogroup(d.groupBy("b", "salt"))
+           .applyInPandas(lambda p_, d_: _resolve_in_bucket(None, p_, d_), _DRAWN))
+    return out
+
+
+def sampled_moments(samples: DataFrame, priors: DataFrame) -> DataFrame:
+    """Average prior moments over the drawn priors: ``item_id, mean, std``."""
+    m = priors.select("prior_id", "mean_q", "std_q")
+    return samples.join(m, "prior_id").groupBy("item_id").agg(F.avg("mean_q").alias("mean"),
+                                                              F.avg("std_q").alias("std"))

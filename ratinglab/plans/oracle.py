@@ -137,6 +137,18 @@ def posterior_sql() -> dict[str, str]:
     q["expected_proposals"] = _with(*base) + (
         f"SELECT c1, c2, c3, c4, c5, round(least({float(P.ACCEPTS)!r} / (sum_w / n_q), {float(P.MAX_ITER)!r}), "
         f"{R6}) AS expected_proposals FROM post")
+    u = sql_hash_uniform(P.SEED, "post", "dr.item_id", "dr.draw")
+    q["posterior_sample"] = _with(*base, (
+        "coldi", f"SELECT item_id, c1, c2, c3, c4, c5 FROM histogram WHERE n_raw < {P.SAMPLE_MIN} OR n_kept = 0"), (
+        "ww", "SELECT c.item_id, q.prior_id, exp(" + _alpha_expr() + ") AS w FROM coldi c CROSS JOIN priors q"), (
+        "cum", "SELECT item_id, prior_id, sum(w) OVER (PARTITION BY item_id ORDER BY prior_id "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER (PARTITION BY item_id) AS wt "
+               "FROM ww"), (
+        "dr", f"SELECT item_id, unnest(range(1, {P.ACCEPTS + 1})) AS draw FROM coldi"), (
+        "tg", f"SELECT dr.item_id, dr.draw, {u} * x.wt AS target FROM dr "
+              "JOIN (SELECT DISTINCT item_id, wt FROM cum) x ON x.item_id = dr.item_id")) + (
+        "SELECT t.item_id, CAST(t.draw AS INTEGER) AS draw, min(c.prior_id) AS prior_id FROM tg t "
+        "JOIN cum c ON c.item_id = t.item_id AND c.hi > t.target GROUP BY t.item_id, t.draw")
     q["posterior_moments"] = _with(*base) + (
         f"SELECT c1, c2, c3, c4, c5, round(sum_wm / sum_w, {R6}) AS mean, round(sum_ws / sum_w, {R6}) AS std, "
         f"round(least({float(P.ACCEPTS)!r} / (sum_w / n_q), {float(P.MAX_ITER)!r}), {R6}) AS expected_proposals, "

@@ -100,8 +100,14 @@ def q_expected_proposals(spark, sf):
     return e.select(*stats.COUNT_COLS, r6("expected_proposals").alias("expected_proposals"))
 
 
+def q_posterior_sample(spark, sf):
+    cold, priors = _cold_and_priors(spark, sf)
+    return posterior.posterior_sample(cold.select("item_id", *stats.COUNT_COLS), priors, P.SEED, P.ACCEPTS)
+
+
 def posterior_queries() -> dict[str, Query]:
     return {"posterior_moments": q_posterior_moments, "item_stats": q_item_stats,
+            "posterior_sample": q_posterior_sample,
             "posterior_weights": q_posterior_weights, "expected_proposals": q_expected_proposals}
 
 

@@ -54,3 +54,20 @@ def test_impossible_prior_falls_back(spark):
     df = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
     st = {r["item_id"]: r for r in posterior.item_stats(df, 1, trusted_min=50, sample_min=45, max_iter=10).collect()}
     assert st[2]["source"] == "fallback" and st[2]["mean"] == 5.0
+
+
+def test_posterior_sample_salting_and_moments(spark):
+    rng = np.random.default_rng(3)
+    pmfs = rng.dirichlet(np.ones(5) * 2, size=30)
+    priors = _priors(spark, pmfs)
+    items = spark.createDataFrame([(i, *[int(x) for x in rng.multinomial(8, [0.1, 0.2, 0.3, 0.2, 0.2])])
+                                   for i in range(12)], "item_id int, c1 long, c2 long, c3 long, c4 long, c5 long")
+    a = posterior.posterior_sample(items, priors, seed=5, accepts=400, buckets=4).toPandas()
+    b = posterior.posterior_sample(items, priors, seed=5, accepts=400, buckets=7, max_draws_per_group=50).toPandas()
+    key = ["item_id", "draw"]
+    assert len(a) == 12 * 400
+    assert a.sort_values(key).reset_index(drop=True).equals(b.sort_values(key).reset_index(drop=True))
+    sampled = posterior.sampled_moments(spark.createDataFrame(a), priors).toPandas().set_index("item_id")
+    exact = posterior.posterior_moments(items.select(*stats.COUNT_COLS), priors).toPandas()
+    joined = items.toPandas().merge(exact, on=stats.COUNT_COLS).set_index("item_id")
+    assert (sampled["mean"] - joined["mean"]).abs().max() < 0.05
