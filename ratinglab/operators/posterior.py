@@ -194,25 +194,33 @@ def _bucket_sums_kernel(bc):
 
 
 def _resolve_in_bucket(key, priors: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-    """Inverse CDF inside one bucket (or one salt slice of it): priors sorted by id."""
+    """Inverse CDF inside one bucket (or one salt slice of it): priors sorted by id,
+    one weight matrix for all histograms present, one ``searchsorted`` per histogram."""
     if len(draws) == 0 or len(priors) == 0:
         return pd.DataFrame({"item_id": [], "draw": [], "prior_id": []})
     priors = priors.sort_values("prior_id")
     log_q = np.log(priors[stats.PMF_COLS].to_numpy(dtype=np.float64))
     ids = priors["prior_id"].to_numpy()
-    out = []
-    for hk, grp in draws.groupby(HIST, sort=False):
-        h = np.array(hk, dtype=np.float64)[None, :]
-        w = np.exp(h @ log_q.T + _alpha_const(h)[:, None])[0]
-        cum = np.cumsum(w)
-        idx = np.minimum(np.searchsorted(cum, grp["t_local"].to_numpy(), side="right"), len(ids) - 1)
-        out.append(pd.DataFrame({"item_id": grp["item_id"].to_numpy(), "draw": grp["draw"].to_numpy(),
-                                 "prior_id": ids[idx]}))
-    return pd.concat(out, ignore_index=True)
+    hists, inv = np.unique(draws[HIST].to_numpy(dtype=np.float64), axis=0, return_inverse=True)
+    inv = inv.reshape(-1)
+    t_local = draws["t_local"].to_numpy()
+    pick = np.empty(len(draws), dtype=np.int64)
+    order = np.argsort(inv, kind="stable")
+    bounds = np.searchsorted(inv[order], np.arange(len(hists) + 1))
+    step = blocks.row_block(len(ids))
+    for lo in range(0, len(hists), step):
+        hi = min(len(hists), lo + step)
+        cum = np.cumsum(np.exp(hists[lo:hi] @ log_q.T + _alpha_const(hists[lo:hi])[:, None]), axis=1)
+        for j in range(lo, hi):
+            rows = order[bounds[j]:bounds[j + 1]]
+            pick[rows] = np.minimum(np.searchsorted(cum[j - lo], t_local[rows], side="right"), len(ids) - 1)
+    return pd.DataFrame({"item_id": draws["item_id"].to_numpy(), "draw": draws["draw"].to_numpy(),
+                         "prior_id": ids[pick]})
 
 
 def posterior_sample(cold_items: DataFrame, priors: DataFrame, seed: int, accepts: int = ACCEPTS,
-                     buckets: int | None = None, max_draws_per_group: int = 2_000_000) -> DataFrame:
+                     buckets: int | None = None, max_draws_per_group: int = 2_000_000,
+                     priors_per_bucket: int = 50_000) -> DataFrame:
     """R3, sampled: ``item_id, draw, prior_id`` with ``accepts`` draws per cold item from
     its posterior over priors (weights ``exp(alpha)``), by inverse CDF over priors in
     ``prior_id`` order with the hashed uniform ``u(seed, 'post', item_id, draw)``.
@@ -231,7 +239,8 @@ def posterior_sample(cold_items: DataFrame, priors: DataFrame, seed: int, accept
     lo_hi = q.agg(F.min("prior_id").alias("lo"), F.max("prior_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if lo_hi["n"] == 0:
         return spark.createDataFrame([], _DRAWN)
-    nb = buckets or max(1, min(4 * sc.defaultParallelism, lo_hi["n"]))
+    # buckets sized by prior count (the resolver blocks its weight matrix within a bucket)
+    nb = buckets or max(1, -(-lo_hi["n"] // priors_per_bucket))
     width = max(1, -(-(lo_hi["hi"] - lo_hi["lo"] + 1) // nb))
     qb = q.withColumn("b", F.floor((F.col("prior_id") - F.lit(lo_hi["lo"])) / F.lit(width)).cast("long"))
     # stage 1: bucket totals per distinct histogram
