@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ratinglab.functions.vectors import l2_normalize
 
-# MovieLens-style inputs, as read by the reference.
+# Input CSV layouts (ratings: userId,movieId,rating,timestamp; items: movieId,title,genres).
 RATINGS_CSV = T.StructType([T.StructField("userId", T.IntegerType()), T.StructField("movieId", T.IntegerType()),
                             T.StructField("rating", T.DoubleType()), T.StructField("timestamp", T.LongType())])
 ITEMS_CSV = T.StructType([T.StructField("movieId", T.IntegerType()), T.StructField("title", T.StringType()),
