@@ -67,6 +67,7 @@ def write_losses(runs: DataFrame, path: str, value_col: str = "mse", mode: str =
      .sortWithinPartitions("run").select("value").write.mode(mode).text(path))
 
 
+# The five study output names, as the reference writes them.
 STUDY_FILES = {
     ("mean", "sample"): "sample_mean_mse_mean",
     ("mean", "posterior"): "rejection_sampling_mse_mean",
