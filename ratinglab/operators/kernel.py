@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from ratinglab.functions.rng import hash_uniform
 from ratinglab.operators import blocks, similarity
+from ratinglab.session import ship_package
 
 FLOOR = 1e-10
 
@@ -129,6 +130,7 @@ def kde_values(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap:
     shifts = np.zeros(len(cutoffs)) if shifts is None else np.asarray(shifts, dtype=np.float64)
     scales = np.ones(len(cutoffs)) if scales is None else np.asarray(scales, dtype=np.float64)
     spark = split.sparkSession
+    ship_package(spark)
     ref = split.where(F.col("is_ref")).select("user_id", "unit_vector")
     held = split.where(~F.col("is_ref")).select("user_id", "item_id", "unit_vector")
     # one bounded probe; count and split into user-hash chunks only when over budget

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ratinglab.functions.scoring import ACCEPTS, MAX_ITER, MIN_RATING, NOISE_SD, SAMPLE_MIN, TRUSTED_MIN_JOB
 from ratinglab.operators import blocks, stats
+from ratinglab.session import ship_package
 
 HIST = stats.COUNT_COLS
 _SUMS = T.StructType(
@@ -91,6 +92,7 @@ def posterior_sums(cold_histograms: DataFrame, priors: DataFrame,
                    max_rows: int = blocks.DEFAULT_MAX_ROWS, pairs_per_task: int = 50_000_000) -> DataFrame:
     """Per distinct histogram ``c1..c5``: ``sum_w, sum_wm, sum_ws, n_q`` over all priors."""
     spark = priors.sparkSession
+    ship_package(spark)
     distinct = cold_histograms.select(*HIST).distinct()
     q = priors.select("prior_id", *stats.PMF_COLS, "mean_q", "std_q")
     parts = []
@@ -234,6 +236,7 @@ def posterior_sample(cold_items: DataFrame, priors: DataFrame, seed: int, accept
     dominant prior cannot pull every draw into one task."""
     from ratinglab.functions.rng import hash_uniform
     spark = priors.sparkSession
+    ship_package(spark)
     sc = spark.sparkContext
     q = priors.select("prior_id", *stats.PMF_COLS)
     lo_hi = q.agg(F.min("prior_id").alias("lo"), F.max("prior_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from ratinglab.functions.vectors import as_vector, dot, l2_normalize
 from ratinglab.operators import blocks
+from ratinglab.session import ship_package
 
 PAIR_SCHEMA = T.StructType([T.StructField("left_id", T.IntegerType()), T.StructField("right_id", T.IntegerType()),
                             T.StructField("dot", T.DoubleType())])
@@ -74,6 +75,7 @@ def similar_items_exact(left: DataFrame, right: DataFrame, cutoff: float = 0.4,
     """J6 exact: ``left_id, right_id, dot`` for all unit-vector pairs with dot > cutoff
     (``>=`` when ``strict=False``). Inputs carry ``item_id, unit_vector``."""
     spark = right.sparkSession
+    ship_package(spark)
     parts = []
     for chunk in blocks.bounded_chunks(left.select("item_id", "unit_vector"), ["item_id"], max_rows):
         if len(chunk) == 0:
