@@ -37,7 +37,7 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("symbols for each word", "symbol_ratio", None, 0.1),
     ("exclamation marks for each word", "bang_ratio", None, 0.3),
     ("upper-case letters, share of the characters in words", "upper_ratio", None, 0.4),
-    ("stop words, share of the list that occurs", "stop_share", 0.05, None),
+    ("stop words, share of the list that occurs", "stop_share", 0.03, None),
     ("lines: share that repeat an earlier one", "dup_line_ratio", None, 0.5),
 ]
 
@@ -136,7 +136,7 @@ SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
   AND word_chars / greatest(n_words, 1) BETWEEN 2.5 AND 12.0 AND n_symbols / greatest(n_words, 1) <= 0.1
   AND bangs / greatest(n_words, 1) <= 0.3 AND uppers / greatest(word_chars, 1) <= 0.4
-  AND coalesce(stop_share >= 0.05, true) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+  AND coalesce(stop_share >= 0.03, true) AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
 FROM (
   SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
