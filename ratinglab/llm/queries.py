@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from ratinglab.llm import chat, pieces, quality
+from ratinglab.llm import chat, pieces, quality, warc, webtext
 
 
 def queries() -> dict:
     return {
         "op3_sentencepiece": pieces.query,
         "op5_quality_rules": quality.query,
+        "op6_warc_index": warc.query,
+        "op9_main_text": webtext.query,
         "op10_chat_format": chat.query,
     }
 
@@ -16,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality.ORACLE,
+        "op6_warc_index": warc.ORACLE,
         "op10_chat_format": chat.ORACLE,
     }
