@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ratinglab.llm import hashing as H
 from ratinglab.session import ship_package
 
 SHORT = 48
@@ -285,8 +286,8 @@ codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
 def _batches(batches, path: str, check: bool, want: str):
     model = PieceModel.load(path)
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
+    for part in (part for batch in batches for part in H.parts(batch)):
+        table = pa.Table.from_batches([part])
         flat, n = model.encode(table.column("text").to_pylist(), check)
         ends = np.cumsum(n)
         spans = list(zip((ends - n).tolist(), ends.tolist()))

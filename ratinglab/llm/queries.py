@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ratinglab.llm import chat, pieces, quality, tiling, unigram, warc, webtext
+from ratinglab.llm import chat, jaccard, pieces, pii, quality, tiling, unigram, warc, webtext
 
 
 def queries() -> dict:
     return {
         "op2_token_counts": unigram.query,
         "op3_sentencepiece": pieces.query,
+        "op4_pii_surrogates": pii.query,
         "op5_quality_rules": quality.query,
         "op6_warc_index": warc.query,
+        "op7_jaccard_join": jaccard.query,
         "op8_decontaminate": tiling.query,
         "op9_main_text": webtext.query,
         "op10_chat_format": chat.query,
