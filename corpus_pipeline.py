@@ -5,7 +5,7 @@ reread as the next stage's docs. Extra columns of docs are carried; see each ope
 defined cases.
 """
 
-from ratinglab.llm import pieces, quality
+from ratinglab.llm import jaccard, pieces, pii, quality, tiling
 from ratinglab.llm.common import table, written
 
 
@@ -14,12 +14,33 @@ def quality_rules(spark, docs, sf_dir):
     return quality.keep(docs)
 
 
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies stays: the smallest doc_id."""
+    return jaccard.representatives(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold at least half of a benchmark item go."""
+    return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def surrogates(spark, docs, sf_dir):
+    """Personal data are replaced in the texts."""
+    return pii.replace(docs)
+
+
 def sentence_pieces(spark, docs, sf_dir):
-    """The ids of every document."""
-    return pieces.with_ids(docs)
+    """doc_id, number of ids, and the digests of the ids and of the text decoded from them."""
+    return pieces.encoded(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("sentencepiece encoding and decoding", sentence_pieces)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("pii", surrogates),
+    ("sentencepiece encoding and decoding", sentence_pieces),
+]
 ORACLE_SQL = None
 
 
