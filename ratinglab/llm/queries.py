@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ratinglab.llm import chat, jaccard, pieces, pii, quality, tiling, unigram, warc, webtext
+from ratinglab.llm import chat, jaccard, mixing, pieces, pii, quality, tiling, unigram, warc, webtext
 
 
 def queries() -> dict:
     return {
+        "op1_context_mixing": mixing.query,
         "op2_token_counts": unigram.query,
         "op3_sentencepiece": pieces.query,
         "op4_pii_surrogates": pii.query,
