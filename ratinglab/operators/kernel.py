@@ -44,14 +44,14 @@ def top_users(ratings: DataFrame, n_users: int) -> DataFrame:
 
 
 def vector_sets(ratings: DataFrame, item_vectors: DataFrame, n_users: int) -> DataFrame:
-    """A6 + J4: ``user_id, pos, item_id, unit_vector`` for the top users (pos by item id).
+    """A6 + J4: ``user_id, pos, item_id, item_vector, unit_vector`` for the top users (pos by item id).
     Users whose rated items have no vector drop out, as with the reference's inner join."""
     top = top_users(ratings, n_users).select("user_id")
     r = ratings.select("user_id", "item_id").join(F.broadcast(top), "user_id", "left_semi")
-    unit = similarity.normalized_vectors(item_vectors).select("item_id", "unit_vector")
+    unit = similarity.normalized_vectors(item_vectors).select("item_id", "item_vector", "unit_vector")
     j = r.join(unit, "item_id")
     w = Window.partitionBy("user_id").orderBy("item_id")
-    return j.select("user_id", F.row_number().over(w).alias("pos"), "item_id", "unit_vector")
+    return j.select("user_id", F.row_number().over(w).alias("pos"), "item_id", "item_vector", "unit_vector")
 
 
 def kde_split(sets: DataFrame, seed: int) -> DataFrame:
@@ -107,7 +107,7 @@ def _values_kernel(bc, coeffs: np.ndarray, cutoffs: np.ndarray, shifts: np.ndarr
             u = np.concatenate(out_u)
             i = np.concatenate(out_i)
             v = np.vstack(out_v)
-            yield pd.DataFrame({"user_id": np.repeat(u, k_rows).astype(np.int32),
+            yield pd.DataFrame({"user_id": np.repeat(u, k_rows).astype(np.int64),
                                 "item_id": np.repeat(i, k_rows).astype(np.int32),
                                 "row": np.tile(np.arange(k_rows), len(u)).astype(np.int32),
                                 "value": v.reshape(-1),
@@ -115,7 +115,7 @@ def _values_kernel(bc, coeffs: np.ndarray, cutoffs: np.ndarray, shifts: np.ndarr
     return run
 
 
-_VALUES = T.StructType([T.StructField("user_id", T.IntegerType()), T.StructField("item_id", T.IntegerType()),
+_VALUES = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.IntegerType()),
                         T.StructField("row", T.IntegerType()), T.StructField("value", T.DoubleType()),
                         T.StructField("value_nan", T.BooleanType())])
 
@@ -134,11 +134,11 @@ def kde_values(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap:
     ref = split.where(F.col("is_ref")).select("user_id", "unit_vector")
     held = split.where(~F.col("is_ref")).select("user_id", "item_id", "unit_vector")
     # one bounded probe; count and split into user-hash chunks only when over budget
-    cap = max(1, budget_bytes // (16 * 8 + 32))
-    probe = ref.limit(cap + 1).toPandas()
+    most = max(1, budget_bytes // (16 * 8 + 32))
+    probe = ref.limit(most + 1).toPandas()
     rank = len(probe["unit_vector"].iloc[0]) if len(probe) else 1
     row_bytes = rank * 8 + 32
-    k = 1 if len(probe) * row_bytes <= budget_bytes and len(probe) <= cap else \
+    k = 1 if len(probe) * row_bytes <= budget_bytes and len(probe) <= most else \
         max(1, -(-(ref.count() * row_bytes) // budget_bytes))
     parts = []
     for i in range(k):
@@ -150,7 +150,7 @@ def kde_values(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap:
         parts.append(h.mapInPandas(
             _values_kernel(bc, coeffs, cutoffs, shifts, scales, cap, strict), _VALUES))
     out = blocks.union_all(parts)
-    return out.select("user_id", "item_id", "row",
+    return out.select(F.col("user_id").cast(split.schema["user_id"].dataType).alias("user_id"), "item_id", "row",
                       F.when(F.col("value_nan"), F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"))
 
 

@@ -186,11 +186,14 @@ def _bucket_sums_kernel(bc):
             log_q = np.log(pdf[stats.PMF_COLS].to_numpy(dtype=np.float64))
             bks = pdf["b"].to_numpy()
             for bk in np.unique(bks):
-                sel = bks == bk
-                w = np.exp(h @ log_q[sel].T + const[:, None])
+                q = log_q[bks == bk].T
+                total = np.empty(len(h))
+                step = blocks.row_block(q.shape[1])  # bounds the weight matrix, whatever the batch
+                for lo in range(0, len(h), step):
+                    total[lo:lo + step] = np.exp(h[lo:lo + step] @ q + const[lo:lo + step, None]).sum(axis=1)
                 out = pd.DataFrame(h.astype(np.int64), columns=HIST)
                 out.insert(0, "b", np.int64(bk))
-                out["t"] = w.sum(axis=1)
+                out["t"] = total
                 yield out
     return run
 

@@ -1,8 +1,10 @@
 """Item vectors and similarity joins.
 
 For unit vectors, Euclidean distance below ``d0 = sqrt(2 - 2c)`` is the same as
-``dot > c``. ``similar_items_exact`` finds every such pair; ``similar_items_lsh`` is
-the reference's approximate MLlib join (it can miss pairs).
+``dot > c``. ``similar_items_exact`` finds every such pair. ``similar_items_keys`` is an
+approximate equi-join on bucketed random projections, several to a key, that can miss pairs;
+``similar_items_lsh`` is MLlib's, one projection to a table, which is only selective where
+buckets are narrow against the data.
 
 Exact plan: the left side (for inference: the items rated by the requested users) is
 collected with a size check and broadcast in chunks; the right side stays partitioned
@@ -13,6 +15,7 @@ ever becomes a row.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -104,6 +107,35 @@ def similar_items_lsh(left: DataFrame, right: DataFrame, all_vectors: DataFrame,
         dot(vector_to_array(F.col("datasetA.v")), vector_to_array(F.col("datasetB.v"))).alias("dot"))
 
 
+def lsh_draws(dim: int, tables: int, per_key: int = 2) -> list[list[tuple[list[int], float]]]:
+    """Of each table, the projections of its key: signs for all components and a shift, from a hash."""
+    out = []
+    for t in range(tables):
+        draws = [[hashlib.md5(f"lsh|{t}|{k}|{i}".encode()).digest()[0] for i in range(dim + 1)] for k in range(per_key)]
+        out.append([([-1 if d & 1 else 1 for d in draw[:dim]], draw[dim] / 256) for draw in draws])
+    return out
+
+
+def sql_lsh_key(vector: str, signs: list[int], shift: float, width: float) -> str:
+    terms = " ".join(f"{'-' if x < 0 else '+'} {vector}[{i + 1}]" for i, x in enumerate(signs))
+    return f"floor(({terms.removeprefix('+ ')}) / CAST({width} AS DOUBLE) + CAST({shift} AS DOUBLE))"
+
+
+def similar_items_keys(left: DataFrame, right: DataFrame, cutoff: float = 0.4, dim: int = 64, tables: int = 8,
+                       width: float = 1.0) -> DataFrame:
+    """J6 by equi-joins on (table, key), an exact filter, then distinct pairs."""
+    def bucket(signs, shift):
+        return F.floor(dot("unit_vector", F.array(*[F.lit(float(x)) for x in signs])) / width + shift).cast("int")
+
+    def keyed(df, name):
+        rows = F.array(*[F.struct(F.lit(t).alias("t"), *[bucket(*d).alias(f"k{i}") for i, d in enumerate(key)])
+                         for t, key in enumerate(lsh_draws(dim, tables))])
+        return df.select(F.col("item_id").alias(f"{name}_id"), F.col("unit_vector").alias(f"_{name}"), F.inline(rows))
+    a, b = keyed(left, "left"), keyed(right, "right")
+    pairs = a.join(b, ["t", "k0", "k1"]).withColumn("dot", dot("_left", "_right")).where(F.col("dot") > cutoff)
+    return pairs.groupBy("left_id", "right_id").agg(F.first("dot").alias("dot"))
+
+
 def lsh_recall(lsh_pairs: DataFrame, exact_pairs: DataFrame) -> DataFrame:
     """Share of exact pairs found by LSH, and LSH pairs outside the exact set."""
     e = exact_pairs.select("left_id", "right_id").withColumn("in_exact", F.lit(True))

@@ -50,7 +50,7 @@ def sampling_study_job(spark: SparkSession, ratings_path: str, out_dir: str, see
 def export_vector_sets_job(spark: SparkSession, ratings_path: str, model_dir: str, output_path: str,
                            n_users: int = 100) -> DataFrame:
     """Item vectors of the most active users to the ``***`` text format.
-    Vectors are written L2-normalised; the kernel side normalises again on reading."""
+    Raw vectors are written; the kernel side normalises them on reading."""
     r = io.read_ratings(spark, ratings_path)
     sets = kernel.vector_sets(r, io.read_item_vectors(spark, model_dir), n_users)
     io.write_vector_sets(sets, output_path)
@@ -63,7 +63,7 @@ def kernel_fit_job(spark: SparkSession, vector_sets_path: str, out_path: str, ra
     from pyspark.sql import functions as F
     # a set's id stands in for the user and the line position for the item
     sets = io.read_vector_sets(spark, vector_sets_path).select(
-        F.col("set_id").cast("int").alias("user_id"), "pos", F.col("pos").cast("int").alias("item_id"),
+        F.col("set_id").alias("user_id"), "pos", F.col("pos").cast("int").alias("item_id"),
         "unit_vector")
     split = kernel.kde_split(sets, seed).cache()
     sweep = kernel.kernel_sweep(split, cutoffs, rank, m)
@@ -79,8 +79,7 @@ def inference_job(spark: SparkSession, ratings_path: str, items_path: str, model
     from ratinglab.operators import users as users_op
     r = io.read_ratings(spark, ratings_path).cache()
     req = spark.createDataFrame(sorted({int(u) for u in user_ids}), "int").toDF("user_id")
-    # the error message lists at most 100 of the unknown ids
-    missing = [row["user_id"] for row in users_op.missing_users(req, r).limit(100).collect()]
+    missing = sorted(row["user_id"] for row in users_op.missing_users(req, r).collect())  # at most the request list
     if missing:
         raise ValueError(f"user ids not found: {missing}")
     iv = io.read_item_vectors(spark, model_dir)

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from ratinglab.functions.rng import sql_hash_normal, sql_hash_uniform
 from ratinglab.plans import params as P
-from ratinglab.sources.fixtures import sql_item_vectors, sql_items, sql_ratings
+from ratinglab.operators.similarity import lsh_draws, sql_lsh_key
+from ratinglab.sources.fixtures import EMBEDDING_DIM, sql_item_vectors, sql_items, sql_ratings
 
 R6 = 6  # float outputs are rounded to 6 decimals on both sides
 
@@ -53,7 +54,7 @@ def stats_sql() -> dict[str, str]:
     q["items"] = _with(("items", sql_items())) + "SELECT item_id, title FROM items"
     q["item_vectors"] = _with(*BASE) + (
         f"SELECT item_id, list_transform(item_vector, lambda x: round(x, {R6})) AS item_vector, "
-        f"round(mean, {R6}) AS mean, round(std, {R6}) AS std FROM ({sql_item_vectors(P.RANK)})")
+        f"round(mean, {R6}) AS mean, round(std, {R6}) AS std FROM ({sql_item_vectors()})")
     q["item_counts"] = _with(*BASE) + "SELECT item_id, count(*) AS n_raw FROM ratings GROUP BY item_id"
     q["user_counts"] = _with(*BASE) + "SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id"
     q["trusted_items"] = _with(*BASE) + (
@@ -164,8 +165,8 @@ def posterior_sql() -> dict[str, str]:
 
 # ------------------------------------------------------------------ vectors, ridge, inference
 
-def _iv_ctes() -> list[tuple[str, str]]:
-    return BASE + [("iv", sql_item_vectors(P.RANK)),
+def _iv_ctes(rank: int | None = P.RANK) -> list[tuple[str, str]]:
+    return BASE + [("iv", sql_item_vectors(rank)),
                    ("rwv", "SELECT r.user_id, r.item_id, r.rating, v.item_vector, v.mean, v.std "
                            "FROM ratings r JOIN iv v ON v.item_id = r.item_id"),
                    ("nv", "SELECT item_id, item_vector, mean, std, list_transform(item_vector, lambda x: x / "
@@ -245,21 +246,25 @@ def _pdf_ctes(cutoff: float) -> list[tuple[str, str]]:
 def vectors_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     rank, reg = P.RANK, P.RIDGE_REG
-    ivc = _iv_ctes()
-    q["ratings_with_vectors"] = _with(*ivc) + (
+    ivc, whole = _iv_ctes(), _iv_ctes(None)
+    q["ratings_with_vectors"] = _with(*whole) + (
         f"SELECT user_id, item_id, rating, list_transform(item_vector, lambda x: round(x, {R6})) AS item_vector, "
         f"round(mean, {R6}) AS mean, round(std, {R6}) AS std FROM rwv")
-    q["similar_items_exact"] = _with(*ivc) + (
+    q["similar_items_exact"] = _with(*whole) + (
         f"SELECT left_id, right_id, round(d, {R6}) AS dot FROM (SELECT a.item_id AS left_id, b.item_id AS right_id, "
         f"list_dot_product(a.unit, b.unit) AS d FROM nv a CROSS JOIN nv b) WHERE d > {P_CUTOFF!r}")
-    ucols = ["n"] + [f"a_{i}_{j}" for i in range(rank) for j in range(i, rank)]
+    keys = lsh_draws(EMBEDDING_DIM, P.LSH_TABLES)
+    columns = ", ".join(f"{sql_lsh_key('unit', *d, P.LSH_WIDTH)} AS k{t}_{i}" for t, key in enumerate(keys) for i, d in enumerate(key))
+    same = " OR ".join("(" + " AND ".join(f"a.k{t}_{i} = b.k{t}_{i}" for i in range(len(key))) + ")" for t, key in enumerate(keys))
+    q["similar_items_lsh"] = _with(*whole, ("nk", f"SELECT item_id, unit, {columns} FROM nv")) + (
+        f"SELECT left_id, right_id, round(d, {R6}) AS dot FROM (SELECT a.item_id AS left_id, b.item_id AS right_id, "
+        f"list_dot_product(a.unit, b.unit) AS d FROM nk a CROSS JOIN nk b WHERE {same}) WHERE d > {P_CUTOFF!r}")
     q["user_gram"] = _with(*ivc, ("gram", _gram_cte(rank))) + (
         "SELECT user_id, n, "
         "[" + ", ".join(f"round(a_{i}_{j}, {R6})" for i in range(rank) for j in range(i, rank)) + "] AS xtx, "
         "[" + ", ".join(f"round(b_{i}, {R6})" for i in range(rank)) + "] AS xty, "
         "[" + ", ".join(f"round(s_{i}, {R6})" for i in range(rank)) + "] AS sx, "
         f"round(sy, {R6}) AS sy, round(syy, {R6}) AS syy FROM gram")
-    del ucols
     q["user_vectors"] = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg)) + (
         "SELECT user_id, [" + ", ".join(f"round(u{i}, {R6})" for i in range(rank)) + "] AS user_vector, "
         "degenerate FROM uvec")
@@ -286,6 +291,8 @@ def vectors_sql() -> dict[str, str]:
             "SELECT r.user_id, r.rank, r.item_id, coalesce(i.title, '?') AS title, "
             f"round(r.score, {R6}) AS score FROM ranked r LEFT JOIN items i ON i.item_id = r.item_id "
             f"WHERE r.rank <= {P.N_PICKS}")
+    q["recommend_requested"] = q["recommend"] + (
+        f" AND r.user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = '{P.SEGMENT}')")
     du = " + ".join(f"u.u{i} * v.item_vector[{i + 1}]" for i in range(rank))
     q["score_candidates"] = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg), *_pdf_ctes(P_CUTOFF),
                                   ("cand", "SELECT p.user_id, p.item_id, p.gs / c.n_u AS pdf FROM pdfs p "
@@ -297,9 +304,14 @@ def vectors_sql() -> dict[str, str]:
                                          "JOIN iv v ON v.item_id = c.item_id")) + (
         f"SELECT user_id, item_id, predicted, round(pdf, {R6}) AS pdf, "
         f"round(predicted - {P.B!r} * ln(pdf + 1e-05), {R6}) AS score FROM sc")
-    q["missing_users"] = _with(*BASE) + (
+    q["missing_users"] = _with(*whole) + (
         "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer "
-        "WHERE CAST(c_custkey AS INTEGER) NOT IN (SELECT user_id FROM ratings)")
+        "WHERE CAST(c_custkey AS INTEGER) NOT IN (SELECT user_id FROM rwv)")
+    train = [(f"run{k}", "SELECT user_id, item_id, " + sql_hash_uniform(P.SEED + k - 1, "split", "user_id", "item_id")
+              + f" < {P.TRAIN_RATIO!r} AS is_train FROM ratings") for k in (1, 2)]
+    q["als_cold_start"] = _with(*BASE, *train) + " UNION ALL ".join(
+        f"SELECT {k} AS run, count(*) AS n_test, count(*) FILTER (user_id IN (SELECT user_id FROM run{k} WHERE is_train) "
+        f"AND item_id IN (SELECT item_id FROM run{k} WHERE is_train)) AS n_scored FROM run{k} WHERE NOT is_train" for k in (1, 2))
     return q
 
 
@@ -317,6 +329,9 @@ def normalize_sql() -> dict[str, str]:
                f"{sql_hash_uniform(P.SEED, 'split', 'r.user_id', 'r.item_id')} < {P.TRAIN_RATIO!r} AS is_train "
                "FROM ratings r LEFT JOIN st s ON s.item_id = r.item_id")
     q: dict[str, str] = {}
+    q["als_model_table"] = _with(*base, st, z) + (
+        f"SELECT item_id, {P.RANK} AS n_components, round(mean, {R6}) AS mean, round(std, {R6}) AS std FROM st "
+        "WHERE item_id IN (SELECT item_id FROM zs WHERE is_train AND z IS NOT NULL)")
     q["zscore_ratings"] = _with(*base, st, z) + (
         f"SELECT user_id, item_id, rating, round(z, {R6}) AS z, round(mean, {R6}) AS mean, round(std, {R6}) AS std "
         "FROM zs")
@@ -383,9 +398,9 @@ def study_sql() -> dict[str, str]:
 
 
 
-def _kde_ctes() -> list[tuple[str, str]]:
+def _kde_ctes(rank: int | None = P.RANK) -> list[tuple[str, str]]:
     seed = P.SEED
-    return _iv_ctes() + [
+    return _iv_ctes(rank) + [
         ("topu", f"SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id ORDER BY n DESC, user_id "
                  f"LIMIT {P.N_USERS}"),
         ("vs", "SELECT r.user_id, CAST(row_number() OVER (PARTITION BY r.user_id ORDER BY r.item_id) AS INTEGER) "
@@ -409,7 +424,10 @@ def kernel_sql() -> dict[str, str]:
     ctes = _kde_ctes()
     q["top_users"] = _with(*BASE) + (
         f"SELECT user_id, count(*) AS n FROM ratings GROUP BY user_id ORDER BY n DESC, user_id LIMIT {P.N_USERS}")
-    q["vector_sets"] = _with(*ctes) + (
+    whole = _kde_ctes(None)
+    q["read_vector_sets"] = _with(*whole) + (
+        f"SELECT count(*) AS n_vectors, round(sum(list_sum(unit)), {R6}) AS total FROM vs GROUP BY user_id")
+    q["vector_sets"] = _with(*whole) + (
         f"SELECT user_id, pos, item_id, list_transform(unit, lambda x: round(x, {R6})) AS unit_vector FROM vs")
     # Chebyshev features, reference form: mean over reference vectors of [d > c] T_k(d)
     cheb = {0: "1.0", 1: "d"}

@@ -29,7 +29,7 @@ def _hist(spark, sf):
 
 
 def q_item_vectors(spark, sf):
-    iv = fx.item_vectors(spark, sf, P.RANK)
+    iv = fx.item_vectors(spark, sf)
     return iv.select("item_id", F.transform("item_vector", lambda x: F.round(x, 6)).alias("item_vector"),
                      r6("mean").alias("mean"), r6("std").alias("std"))
 
@@ -111,29 +111,29 @@ def posterior_queries() -> dict[str, Query]:
             "posterior_weights": q_posterior_weights, "expected_proposals": q_expected_proposals}
 
 
-def _vec_inputs(spark, sf):
+def _vec_inputs(spark, sf, rank=P.RANK):
     r = fx.ratings(spark, sf).cache()
-    return r, fx.item_vectors(spark, sf, P.RANK, r).cache()
+    return r, fx.item_vectors(spark, sf, rank, r).cache()
 
 
 def q_ratings_with_vectors(spark, sf):
-    r, iv = _vec_inputs(spark, sf)
+    r, iv = _vec_inputs(spark, sf, None)
     j = similarity.ratings_with_vectors(r, iv)
     return j.select("user_id", "item_id", "rating", F.transform("item_vector", lambda x: F.round(x, 6))
                     .alias("item_vector"), r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 def q_similar_items_exact(spark, sf):
-    _, iv = _vec_inputs(spark, sf)
+    _, iv = _vec_inputs(spark, sf, None)
     unit = similarity.normalized_vectors(iv)
     pairs = similarity.similar_items_exact(unit, unit, 0.4, strict=True)
     return pairs.select("left_id", "right_id", r6("dot").alias("dot"))
 
 
 def q_similar_items_lsh(spark, sf):
-    _, iv = _vec_inputs(spark, sf)
+    _, iv = _vec_inputs(spark, sf, None)
     unit = similarity.normalized_vectors(iv)
-    pairs = similarity.similar_items_lsh(unit, unit, unit, 0.4, tables=5, seed=P.SEED)
+    pairs = similarity.similar_items_keys(unit, unit, P.CUTOFF, fx.EMBEDDING_DIM, P.LSH_TABLES, P.LSH_WIDTH)
     return pairs.select("left_id", "right_id", r6("dot").alias("dot"))
 
 
@@ -178,8 +178,20 @@ def _q_recommend(rounding):
 
 
 def q_missing_users(spark, sf):
+    """Customers (as a request list) without any rated item that has a vector."""
     customers = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("int").alias("user_id"))
-    return users.missing_users(customers, fx.ratings(spark, sf))
+    r, iv = _vec_inputs(spark, sf, None)
+    return users.missing_users(customers, similarity.ratings_with_vectors(r, iv))
+
+
+def q_recommend_requested(spark, sf):
+    """Recommendations for a request list: the customers of one market segment."""
+    r, iv = _vec_inputs(spark, sf)
+    want = fx.table(spark, sf, "customer").where(F.col("c_mktsegment") == P.SEGMENT).select(
+        F.col("c_custkey").cast("int").alias("user_id"))
+    rec = recommend.recommend(r, iv, fx.items(spark, sf), want, n=P.N_PICKS, b=P.B, rounding="literal",
+                              rank=P.RANK, reg=P.RIDGE_REG)
+    return rec.select("user_id", "rank", "item_id", "title", r6("score").alias("score"))
 
 
 def _zscored(spark, sf):
@@ -209,14 +221,29 @@ def _q_als(mode):
         if mode == "normalized":
             st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD,
                                       P.MIN_RATING)
-        # one ALS block per core of the session (MLlib's fixed default of 10 is not)
         runs, _ = als.als_runs(r, mode=mode, rank=P.RANK, max_iter=25, runs=1, seed=P.SEED,
                                train_ratio=P.TRAIN_RATIO, item_stats=st,
-                               num_blocks=spark.sparkContext.defaultParallelism)
+                               num_blocks=P.ALS_BLOCKS)
         return runs
     return run
 
 
+def q_als_cold_start(spark, sf):
+    """Scored test rows of two runs: those whose user and item are in the run's training rows."""
+    runs, _ = als.als_runs(fx.ratings(spark, sf).cache(), mode="plain", rank=P.RANK, max_iter=2, runs=2, seed=P.SEED,
+                           train_ratio=P.TRAIN_RATIO, num_blocks=P.ALS_BLOCKS)
+    return runs.select("run", "n_test", "n_scored")
+
+
+def q_als_model_table(spark, sf):
+    """The trained model table: every training item with its statistics and vector length."""
+    r = fx.ratings(spark, sf).cache()
+    st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD, P.MIN_RATING)
+    _, model = als.als_runs(r, mode="normalized", rank=P.RANK, max_iter=2, runs=1, seed=P.SEED,
+                            train_ratio=P.TRAIN_RATIO, item_stats=st, num_blocks=P.ALS_BLOCKS)
+    return model.select("item_id", F.size("item_vector").alias("n_components"), r6("mean").alias("mean"), r6("std").alias("std"))
+
+
 def vector_queries() -> dict[str, Query]:
     return {
         "ratings_with_vectors": q_ratings_with_vectors,
@@ -228,11 +255,14 @@ def vector_queries() -> dict[str, Query]:
         "score_candidates": q_score_candidates,
         "recommend": _q_recommend("literal"),
         "recommend_half_star": _q_recommend("half_star"),
+        "recommend_requested": q_recommend_requested,
         "missing_users": q_missing_users,
         "zscore_ratings": q_zscore_ratings,
         "zscore_mse": q_zscore_mse,
         "als_plain": _q_als("plain"),
         "als_normalized": _q_als("normalized"),
+        "als_cold_start": q_als_cold_start,
+        "als_model_table": q_als_model_table,
     }
 
 
@@ -276,7 +306,7 @@ def q_top_users(spark, sf):
 
 
 def q_vector_sets(spark, sf):
-    r, iv = _vec_inputs(spark, sf)
+    r, iv = _vec_inputs(spark, sf, None)
     vs = kernel.vector_sets(r, iv, P.N_USERS)
     return vs.select("user_id", "pos", "item_id",
                      F.transform("unit_vector", lambda x: F.round(x, 6)).alias("unit_vector"))
@@ -316,18 +346,19 @@ def q_read_items(spark, sf):
 
 def q_read_item_vectors(spark, sf):
     path = scratch_path(spark, "model")
-    io.write_item_vectors(fx.item_vectors(spark, sf, P.RANK), path)
+    io.write_item_vectors(fx.item_vectors(spark, sf), path)
     iv = io.read_item_vectors(spark, path)
     return iv.select("item_id", F.transform("item_vector", lambda x: F.round(x, 6)).alias("item_vector"),
                      r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 def q_read_vector_sets(spark, sf):
-    r, iv = _vec_inputs(spark, sf)
+    r, iv = _vec_inputs(spark, sf, None)
     path = scratch_path(spark, "vector-sets")
     io.write_vector_sets(kernel.vector_sets(r, iv, P.N_USERS), path)
     back = io.read_vector_sets(spark, path)
-    return back.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    total = F.aggregate("unit_vector", F.lit(0.0), lambda a, x: a + x)
+    return back.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_vectors"), r6(F.sum(total)).alias("total")).drop("set_id")
 
 
 def source_queries() -> dict[str, Query]:

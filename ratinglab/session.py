@@ -1,7 +1,7 @@
 """Session helpers.
 
 On a cluster the session comes from the caller and ``spark.checkpoint.dir`` names a
-shared folder. Only when it is unset (tests, local runs) do we create a scratch folder.
+shared folder. Only when it is unset on a local master do we create a scratch folder; off-local that is an error.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
         current = sc.getCheckpointDir()
+        if not current and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = current.rsplit("/", 1)[0] if current else tempfile.mkdtemp(prefix="ratinglab-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf_dir)

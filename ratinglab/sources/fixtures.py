@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,14 +42,29 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").cast("int").alias("item_id"), F.col("p_name").alias("title"))
 
 
-def item_vectors(spark: SparkSession, sf_dir: str, rank: int = 6, ratings_df: DataFrame | None = None) -> DataFrame:
+EMBEDDING_DIM = 64
+
+
+def _projected(component: str, zero_based: bool, j: int) -> str:
+    """Component j of the projection: a signed sum of every embedding component, with signs from
+    a hash. The same text, term by term, for Spark (0-based) and DuckDB (1-based)."""
+    terms = []
+    for i in range(EMBEDDING_DIM):
+        sign = "-" if hashlib.md5(f"projection|{i}|{j}".encode()).digest()[0] & 1 else "+"
+        terms.append(f"{sign} CAST({component}[{i if zero_based else i + 1}] AS DOUBLE)")
+    return f"(({' '.join(terms).removeprefix('+ ')}) * CAST(0.125 AS DOUBLE))"
+
+
+def item_vectors(spark: SparkSession, sf_dir: str, rank: int | None = None, ratings_df: DataFrame | None = None) -> DataFrame:
+    """Whole embeddings, or with ``rank`` a fixed projection of all components to that many."""
     r = ratings_df if ratings_df is not None else ratings(spark, sf_dir)
     stats = (r.groupBy("item_id")
              .agg(F.avg("rating").alias("mean"), F.stddev_pop("rating").alias("std"))
              .where(F.col("std") > 0))
     emb = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("int").alias("item_id"),
-        F.slice("embedding", 1, rank).cast("array<double>").alias("item_vector"))
+        (F.col("embedding").cast("array<double>") if rank is None else
+         F.array(*[F.expr(_projected("embedding", True, j)) for j in range(rank)])).alias("item_vector"))
     return emb.join(stats, "item_id").select("item_id", "item_vector", "mean", "std")
 
 
@@ -64,10 +81,12 @@ def sql_items() -> str:
     return "SELECT CAST(p_partkey AS INTEGER) AS item_id, p_name AS title FROM part"
 
 
-def sql_item_vectors(rank: int = 6) -> str:
+def sql_item_vectors(rank: int | None = None) -> str:
     """Needs a ``ratings`` CTE in scope."""
+    vector = "CAST(e.embedding AS DOUBLE[])" if rank is None else \
+        "[" + ", ".join(_projected("e.embedding", False, j) for j in range(rank)) + "]"
     return (
-        f"SELECT CAST(e.vec_id AS INTEGER) AS item_id, CAST(e.embedding[1:{rank}] AS DOUBLE[]) AS item_vector, "
+        f"SELECT CAST(e.vec_id AS INTEGER) AS item_id, {vector} AS item_vector, "
         "s.mean, s.std FROM embeddings e JOIN ("
         "SELECT item_id, avg(rating) AS mean, stddev_pop(rating) AS std FROM ratings GROUP BY item_id"
         ") s ON s.item_id = CAST(e.vec_id AS INTEGER) WHERE s.std > 0"

@@ -8,6 +8,7 @@ range-partitioned and sorted within partitions, so part files concatenate in ord
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,14 +82,14 @@ def write_study(mse: DataFrame, iterations: DataFrame, directory: str, mode: str
     for (stat, est), name in STUDY_FILES.items():
         (mse.where((F.col("statistic") == stat) & (F.col("estimator") == est)).select("n", "mse")
          .repartitionByRange("n").sortWithinPartitions("n")
-         .write.mode(mode).option("sep", "\t").csv(f"{directory}/{name}"))
+         .write.mode(mode).option("sep", "\t").csv(f"{directory}/{name}.txt"))
     (iterations.select("n", "avg_proposals_rounded").repartitionByRange("n").sortWithinPartitions("n")
-     .write.mode(mode).option("sep", "\t").csv(f"{directory}/avg_iterations"))
+     .write.mode(mode).option("sep", "\t").csv(f"{directory}/avg_iterations.txt"))
 
 
-def write_vector_sets(sets: DataFrame, path: str, vector_col: str = "unit_vector",
+def write_vector_sets(sets: DataFrame, path: str, vector_col: str = "item_vector",
                       mode: str = "errorifexists") -> None:
-    """For each user a ``***`` line, then one space-separated vector per line.
+    """For each user a ``***`` line, then one space-separated raw vector per line.
 
     Header and vector lines are rows keyed ``(user_id, pos)`` (header pos 0); rows are
     range-partitioned by user and sorted, so no user's block is assembled in memory."""
@@ -104,9 +105,11 @@ def read_vector_sets(spark: SparkSession, path: str) -> DataFrame:
 
     One record per set (``***`` is the record separator). A set is one user's rated
     items, so it is bounded by the item table."""
-    raw = spark.read.option("lineSep", "***\n").text(path)
-    sets = raw.where(F.length(F.trim("value")) > 0).select(
-        F.monotonically_increasing_id().alias("set_id"), F.split(F.trim("value"), "\n").alias("lines"))
+    raw = spark.read.option("lineSep", "***\n").text(path).where(F.length(F.trim("value")) > 0)
+    # the id follows the set's content (and its number among equal ones), not the file splits
+    number = F.row_number().over(Window.partitionBy("value").orderBy(F.lit(1)))
+    sets = raw.withColumn("_n", number).select(
+        F.xxhash64("value", "_n").alias("set_id"), F.split(F.trim("value"), "\n").alias("lines"))
     rows = sets.select("set_id", F.posexplode("lines").alias("p", "line")).where(F.length("line") > 0)
     vec = F.transform(F.split("line", " "), lambda x: x.cast("double"))
     return rows.select("set_id", (F.col("p") + 1).alias("pos"), l2_normalize(vec).alias("unit_vector"))

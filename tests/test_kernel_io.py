@@ -65,7 +65,7 @@ def test_csv_and_parquet_round_trips(spark):
     p2 = scratch_path(spark, "t-i")
     io.write_items(items, p2)
     assert sorted(io.read_items(spark, p2).collect()) == sorted(items.collect())
-    iv = fx.item_vectors(spark, SF001, 6)
+    iv = fx.item_vectors(spark, SF001)
     p3 = scratch_path(spark, "t-v")
     io.write_item_vectors(iv, p3)
     assert sorted(io.read_item_vectors(spark, p3).collect()) == sorted(iv.collect())

@@ -24,3 +24,13 @@ def test_zero_vectors_are_dropped_and_counted(spark):
     iv = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "item_id int, item_vector array<double>")
     assert [r["item_id"] for r in similarity.normalized_vectors(iv).collect()] == [2]
     assert similarity.zero_vector_count(iv).first()["n_zero"] == 1
+
+
+def test_key_join_is_selective_and_sound(spark):
+    from ratinglab.plans import params as P
+    from ratinglab.plans.queries import _vec_inputs
+    _, iv = _vec_inputs(spark, "/root/testdata/sf0.001", None)
+    unit = similarity.normalized_vectors(iv)
+    exact = {(r.left_id, r.right_id) for r in similarity.similar_items_exact(unit, unit, P.CUTOFF).collect()}
+    got = {(r.left_id, r.right_id) for r in similarity.similar_items_keys(unit, unit, P.CUTOFF, 64, P.LSH_TABLES, P.LSH_WIDTH).collect()}
+    assert got <= exact and len(got) >= 0.5 * len(exact)
