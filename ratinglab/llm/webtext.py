@@ -6,7 +6,7 @@ the borders of an article leave ``WINDOW`` empty lines. Text lengths are summed
 window of ``WINDOW`` lines. A surge point is where the sum rises from zero, a dive point where it
 falls back to zero; the lines between them are a run. Runs inside an article (else inside the main
 element) are the text; on pages without either, runs are whose sums reach ``SURGE`` characters and
-are not mostly links, or else the longest run.
+are not mostly links, or else the longest run, without lines that are mostly links.
 
 Defined cases: null or empty html gives an empty text; unclosed elements end with the page, but an
 unclosed boilerplate element only up to the next article, main element or heading; character
@@ -166,6 +166,7 @@ def main_text(page: str | None) -> str:
         chars = lambda r: sum(len(lines[k][0]) for k in r)
         prose = [r for r in runs if 2 * sum(lines[k][2] for k in r) < chars(r)]
         kept = [k for r in prose if max(sums[k] for k in r) >= SURGE for k in r] or max(prose, key=chars, default=[])
+        kept = [k for k in kept if 2 * lines[k][2] < len(lines[k][0])]
     return "\n".join(lines[k][0] for k in kept)
 
 
