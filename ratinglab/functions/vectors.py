@@ -44,13 +44,3 @@ def kernel_value(coeffs: list[float], cutoff: float, t, inclusive: bool = True)
     t = _c(t)
     keep = t >= F.lit(cutoff) if inclusive else t > F.lit(cutoff)
     return F.when(keep, horner(coeffs, t)).otherwise(F.lit(0.0))
-
-
-def chebyshev(k: int, t: Column) -> Column:
-    """T_k(t) by the three-term recurrence."""
-    if k == 0:
-        return F.lit(1.0)
-    prev, cur = F.lit(1.0), t
-    for _ in range(1, k):
-        prev, cur = cur, F.lit(2.0) * t * cur - prev
-    return cur

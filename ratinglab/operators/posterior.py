@@ -17,7 +17,6 @@ A ``groupBy`` on the histogram then finishes the sums.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -142,7 +141,7 @@ def item_stats(ratings: DataFrame, seed: int, trusted_min: int = TRUSTED_MIN_JOB
     cold = hist.where(cold_flag)
     post = posterior_moments(cold, priors, accepts, max_iter)
     # The posterior table has one row per distinct cold histogram (bounded, see module doc).
-    joined = hist.join(F.broadcast(post.select(*HIST, F.col("mean").alias("post_mean"),
+    joined = hist.join((post.select(*HIST, F.col("mean").alias("post_mean"),
                                                F.col("std").alias("post_std"), "avg_w")),
                        HIST, "left")
     n = F.col("n_kept").cast("double")
@@ -164,11 +163,6 @@ def expected_proposals(cold_histograms: DataFrame, priors: DataFrame, accepts: i
     return posterior_moments(cold_histograms, priors, accepts, max_iter).select(*HIST, "expected_proposals")
 
 
-def histogram_bound(sample_min: int) -> int:
-    """Number of 5-bucket histograms with fewer than ``sample_min`` counts."""
-    return math.comb(sample_min - 1 + 5, 5)
-
-
 # ------------------------------------------------------------------ sampled posterior (R3, sampled form)
 
 _BUCKET_SUMS = T.StructType([T.StructField("b", T.LongType())] + [T.StructField(c, T.LongType()) for c in HIST]

@@ -134,12 +134,3 @@ def similar_items_keys(left: DataFrame, right: DataFrame, cutoff: float = 0.4, d
     a, b = keyed(left, "left"), keyed(right, "right")
     pairs = a.join(b, ["t", "k0", "k1"]).withColumn("dot", dot("_left", "_right")).where(F.col("dot") > cutoff)
     return pairs.groupBy("left_id", "right_id").agg(F.first("dot").alias("dot"))
-
-
-def lsh_recall(lsh_pairs: DataFrame, exact_pairs: DataFrame) -> DataFrame:
-    """Share of exact pairs found by LSH, and LSH pairs outside the exact set."""
-    e = exact_pairs.select("left_id", "right_id").withColumn("in_exact", F.lit(True))
-    l = lsh_pairs.select("left_id", "right_id").withColumn("in_lsh", F.lit(True))
-    j = e.join(l, ["left_id", "right_id"], "full_outer")
-    return j.agg(F.count("in_exact").alias("n_exact"), F.count("in_lsh").alias("n_lsh"),
-                 F.count(F.when(F.col("in_exact") & F.col("in_lsh"), 1)).alias("n_found"))

@@ -73,7 +73,7 @@ def study_errors(ratings: DataFrame, seed: int, trusted_min: int = TRUSTED_MIN_S
     sample_std = F.sqrt(sum((F.col(f"c{k}") / n * (F.lit(float(k)) - phat_mean) * (F.lit(float(k)) - phat_mean)
                              for k in K[1:]), F.col("c1") / n * (F.lit(1.0) - phat_mean) * (F.lit(1.0) - phat_mean)))
     j = (counts.join(tests.select("item_id", "true_mean", "true_std"), "item_id")
-         .join(F.broadcast(post.select(*stats.COUNT_COLS, F.col("mean").alias("post_mean"),
+         .join((post.select(*stats.COUNT_COLS, F.col("mean").alias("post_mean"),
                                        F.col("std").alias("post_std"), "expected_proposals")),
                stats.COUNT_COLS, "left"))
     errs = j.select(

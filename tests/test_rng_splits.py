@@ -24,9 +24,3 @@ def test_hash_split_is_partition_invariant(spark):
     a = splits.hash_split(df.repartition(1), 0.8, 3).where("is_train").count()
     b = splits.hash_split(df.repartition(17), 0.8, 3).where("is_train").count()
     assert a == b and 3800 < a < 4200
-
-
-def test_prefix_split_counts(spark):
-    df = spark.createDataFrame([(1, i) for i in range(10)] + [(2, i) for i in range(3)], "g int, k int")
-    out = splits.prefix_split(df, "g", "k", 4, 5, seed=5).where("in_prefix").groupBy("g").count()
-    assert {r["g"]: r["count"] for r in out.collect()} == {1: 8, 2: 2}
