@@ -155,23 +155,25 @@ def _named(c: Column, attempt: Column) -> Column:
 
 def surrogate(t: Column, c: Column, attempt: Column) -> Column:
     """Canonical surrogate of the canonical form c of type t."""
-    def drawn(h: Column) -> Column:
-        hexadecimal = ((t == "secret") & c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")) | (t == "ip")
-        skip = F.when(t == "iban", 2).when((t == "phone") & (F.length(c) > 10), F.length(c) - 10).otherwise(0)
-        reserved = c.rlike(r"\.example\.(?:com|org|net)$")
-        mail = F.concat(
-            _spell(F.regexp_replace(c, r"(?:\.example\.(?:com|org|net)|\.[^.@]+)$", ""), h, F.lit(False), F.lit(0)),
-            F.when(reserved, F.regexp_extract(c, r"\.example\.\w+$", 0)).otherwise(F.lit(".example")))
-        plain = lambda: _spell(c, h, hexadecimal, skip)
-        def checked(s: Column) -> Column:
-            rest = _luhn(F.concat(s.substr(F.lit(1), F.length(s) - 1), F.lit("0")))
-            return F.concat(s.substr(F.lit(1), F.length(s) - 1), ((F.lit(10) - rest) % 10).cast("string"))
-        out = (F.when(t == "email", mail).when((t == "ip") & c.contains("."), _octets(c, h)).when(t == "name", _named(c, attempt))
-               .when((t == "card") & (_luhn(c) == 0), _bind(plain(), checked)).otherwise(plain()))
-        wide = F.concat(*[F.substring(F.lit(_ALPHABETS[0]), _draw(h, 80 + i) % 10 + 1, F.lit(1)) for i in range(12)])
-        return F.when(attempt >= WIDER, F.when(t == "name", F.concat(out, _pick(_SYLLABLES["latin"], _draw(h, 90)), _pick(
-            _SYLLABLES["latin"], _draw(h, 91)))).when(t == "email", F.concat(wide, out)).otherwise(F.concat(out, wide))).otherwise(out)
-    return _bind(_digest(t, c, attempt), drawn)
+    suffix = F.when(c.rlike(r"\.example\.(?:com|org|net)$"), F.regexp_extract(c, r"\.example\.\w+$", 0)).otherwise(F.lit(".example"))
+    stem = F.when(t == "email", F.regexp_replace(c, r"(?:\.example\.(?:com|org|net)|\.[^.@]+)$", "")).otherwise(c)
+    hexadecimal = ((t == "secret") & c.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")) | (t == "ip")
+    skip = F.when(t == "iban", 2).when((t == "phone") & (F.length(c) > 10), F.length(c) - 10).otherwise(0)
+
+    def checked(s: Column) -> Column:
+        body = s.substr(F.lit(1), F.length(s) - 1)
+        return F.concat(body, ((F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+
+    def typed(h: Column, s: Column) -> Column:
+        return (F.when(t == "email", F.concat(s, suffix)).when((t == "ip") & c.contains("."), _octets(c, h))
+                .when(t == "name", _named(c, attempt)).when((t == "card") & (_luhn(c) == 0), checked(s)).otherwise(s))
+
+    def wider(h: Column, s: Column) -> Column:
+        digits = F.concat(*[F.substring(F.lit(_ALPHABETS[0]), _draw(h, 80 + i) % 10 + 1, F.lit(1)) for i in range(12)])
+        more = F.concat(_pick(_SYLLABLES["latin"], _draw(h, 90)), _pick(_SYLLABLES["latin"], _draw(h, 91)))
+        return F.when(attempt < WIDER, s).when(t == "name", F.concat(s, more)).when(t == "email", F.concat(digits, s)).otherwise(F.concat(s, digits))
+
+    return _bind(_digest(t, c, attempt), lambda h: _bind(_spell(stem, h, hexadecimal, skip), lambda s: _bind(typed(h, s), lambda x: wider(h, x))))
 
 
 def render(p: Column, t: Column, s: Column) -> Column:
