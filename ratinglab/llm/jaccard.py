@@ -1,17 +1,21 @@
 """N-gram Jaccard join: documents whose 5-word shingle sets have a similarity of at least 0.8.
 
 A document's set is put in one global order of shingles: by how loaded the shingle's slot is in a
-corpus-wide count table of fixed size (rarer first; classes of powers of two), then by hash. Sets
-of similarity 0.8 share one of their first n - ceil(0.8 n) + 1 shingles whatever the order is; this
-one keeps passages that many documents share out of those prefixes.
+corpus-wide count table of fixed size, rarer first, then by hash. Sets of similarity 0.8 share one
+of their first n - ceil(0.8 n) + 1 shingles whatever the order is; this one keeps passages that
+many documents share out of those prefixes.
 
 1. Documents of equal sets are one node. Nodes that share a prefix shingle share a tile; only pairs
    whose sizes are within a ratio of 0.8 (the size band) are candidates.
 2. Each node of a tile is paired with the tile's smallest node; linked nodes are joined in
    components. Pairs inside a component need no test. Tiles over ``WIDE`` nodes that still span
-   several components repeat this with the smallest node outside the first one's component.
-3. All pairs of a tile across components are candidates, tiles of any size. The number of prefix
-   shingles a pair shares bounds its overlap (positional bound), and drops most.
+   several components repeat this ``ROUNDS`` times with up to ``HUBS`` nodes (the first by hash)
+   outside the components of the hubs before.
+3. Nodes of wide tiles that still span several components get new prefixes, ordered by the exact
+   number of those nodes that hold a shingle: documents with a shared passage and words of their
+   own leave the tiles. All pairs of a tile across components are then candidates, tiles of any
+   size; a pair is only formed where enough of both sets is left from the shared shingle on
+   (positional bound).
 4. Candidates are tested by their hashed bitmaps: bits set in one signature alone are shingles that
    the other lacks, so their count bounds the overlap from above. Survivors' sorted hash arrays
    are intersected.
@@ -27,16 +31,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ratinglab.llm import hashing as H
 from ratinglab.llm.common import written
 from ratinglab.session import ship_package
 
 K, SIMILARITY = 5, 80  # words in a shingle, percent
-SLOT_BITS, BLOCKS = 20, 256
+SLOT_BITS, BLOCKS = 22, 256
 BITMAP_BITS = 2048
-WIDE = 64
+WIDE, ROUNDS, HUBS = 16, 2, 16
+BLOCK = 512  # nodes of a wide tile that are compared at once
 _U = np.uint64
 _SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
 
@@ -63,42 +68,45 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _count_slots(batches):
-    table = np.zeros(1 << SLOT_BITS, np.int64)
+    table = np.zeros(1 << SLOT_BITS, np.int32)
     for b in batches:
         data, off = H.texts(b.column(0))
         for x, y in H.slices(off):
             h, _ = _shingles(data[off[x]:off[y]], off[x:y + 1] - off[x])
-            table += np.bincount(_slot(h), minlength=len(table))
+            np.add.at(table, _slot(h), np.int32(1))
     if table.any():
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "counts": [
-            np.minimum(t, 2**31 - 1).astype("<i4").tobytes() for t in np.split(table, BLOCKS)]})
+            np.minimum(t, 65535).astype("<u2").tobytes() for t in np.split(table, BLOCKS)]})
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c.as_py(), "<i4").astype(np.int64) for c in table.column("counts"))
+    total = sum(np.frombuffer(c.as_py(), "<u2").astype(np.int64) for c in table.column("counts"))
     return pa.table({"block": table.column("block")[:1], "counts": [total.tobytes()]},
                     pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
 
 def _slot_classes(docs: DataFrame) -> np.ndarray:
-    """Load class of every slot: a table of 2 ** SLOT_BITS bytes, whatever the corpus."""
+    """Load class of every slot, a table of 2 ** SLOT_BITS bytes whatever the corpus: steps of a
+    64th of the mean up to twice the mean, of an eighth of an octave above. A task's count of a
+    slot is cut at 65535, which only moves places in the order."""
     rows = (docs.select("text").mapInArrow(_count_slots, "block int, counts binary")
             .groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect())
     load = np.zeros((BLOCKS, (1 << SLOT_BITS) // BLOCKS))
     for r in rows:
         load[r.block] = np.frombuffer(r.counts, np.int64)
-    load = load.ravel()
-    return np.clip(np.floor(np.log2(np.maximum(load, 1e-9) / max(load.mean(), 1e-9))) + 1, 0, 15).astype(np.uint8)
+    load = load.ravel() / max(load.mean(), 1e-9)
+    return np.where(load < 2, np.floor(load * 64), np.minimum(128 + np.floor(8 * np.log2(np.maximum(load, 2) / 2)), 255)).astype(np.uint8)
 
 
 def _ordered(data, off, classes):
-    """Distinct shingles of every text in the global order: (hash, text number, first, size)."""
+    """Distinct shingles of every text in the global order (without classes: by hash): (hash, text
+    number, first, size)."""
     h, owner = _shingles(data, off)
     n = len(off) - 1
     i = np.argsort(h)
-    h, owner = h[i], owner[i]
-    key = (owner << 4 | classes[_slot(h)])
-    i = np.argsort(key.astype(np.uint16 if n <= 4096 else np.int64), kind="stable")
+    if classes is not None:
+        i = i[np.argsort(classes[_slot(h[i])], kind="stable")]
+    i = i[np.argsort(owner[i].astype(np.uint16 if n < 65536 else np.int64), kind="stable")]
     h, owner = h[i], owner[i]
     keep = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[:len(h)]
     h, owner = h[keep], owner[keep]
@@ -148,15 +156,14 @@ def _full_sets(batches):
     """(id, d1, d2, text) -> the sorted hashes of texts whose digests are those of the node."""
     for b in batches:
         data, off = H.texts(b.column(3))
-        none = np.zeros(1 << SLOT_BITS, np.uint8)
         for x, y in H.slices(off, most=4096):
-            h, owner, first, size = _ordered(data[off[x]:off[y]], off[x:y + 1] - off[x], none)
+            h, owner, first, size = _ordered(data[off[x]:off[y]], off[x:y + 1] - off[x], None)
             d1, d2 = _digests(h, owner, y - x)
             same = (d1 == b.column(1).to_numpy()[x:y]) & (d2 == b.column(2).to_numpy()[x:y])
             t = np.flatnonzero(same)
             yield pa.RecordBatch.from_pydict({
                 "id": b.column(0).slice(x, y - x).take(pa.array(t)),
-                "hashes": pa.array([h[first[k]:first[k] + size[k]].astype("<u8").tobytes() for k in t], pa.binary())})
+                "hashes": pa.array([h[first[k]:first[k] + size[k]].view(np.int64) for k in t], pa.list_(pa.int64()))})
 
 
 def _bound(batches):
@@ -170,11 +177,41 @@ def _bound(batches):
         yield b.select([0, 1]).filter(pa.array(100 * most >= SIMILARITY * (nx + ny - most)))
 
 
+def _compare(cell: pa.Table) -> pa.Table:
+    """Pairs x < y of two blocks (or within one) that all bounds allow, from the first tile that
+    they share; one tile's rows. before: the tiles of a node that come first in its order."""
+    id_, n, r, comp, block = (cell.column(c).to_numpy() for c in ("id", "n", "r", "comp", "block"))
+    bits = np.frombuffer(b"".join(cell.column("bitmap").to_pylist()), _U).reshape(len(id_), -1)
+    low, high = cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
+    a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    before, sets, out = cell.column("before"), {}, []
+
+    def earlier(k: int) -> set:
+        if k not in sets:
+            sets[k] = set(before[int(k)].as_py())
+        return sets[k]
+    for k in range(0, len(a), 32):
+        i = a[k:k + 32, None]
+        total, left = n[i] + n[b], np.minimum(n[i] - r[i], n[b] - r[b])
+        ok = (comp[i] != comp[b]) & ((100 + SIMILARITY) * left >= SIMILARITY * total)
+        ok &= (id_[i] < id_[b]) if low == high else True
+        p, q = np.nonzero(ok)
+        p, q = i[p, 0], b[q]
+        only_p = np.bitwise_count(bits[p] & ~bits[q]).sum(axis=1, dtype=np.int64)
+        only_q = np.bitwise_count(bits[q] & ~bits[p]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(n[p] - only_p, n[q] - only_q)
+        hit = np.flatnonzero(100 * most >= SIMILARITY * (n[p] + n[q] - most))
+        hit = [k for k in hit if earlier(p[k]).isdisjoint(earlier(q[k]))]
+        out.append(np.stack([np.minimum(id_[p], id_[q]), np.maximum(id_[p], id_[q])])[:, hit])
+    x, y = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
 def _exact(batches):
     for b in batches:
         keep = []
-        for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+        for p, q in zip(b.column(2), b.column(3)):
+            p, q = p.values.to_numpy(), q.values.to_numpy()
             both = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(100 * both >= SIMILARITY * (len(p) + len(q) - both))
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -193,7 +230,7 @@ class _Join:
         node = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(
             F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
         self.nodes = written(node.withColumn("id", F.monotonically_increasing_id()), "nodes")
-        posting = self.nodes.select("id", "n", F.explode("prefix").alias("h"))
+        posting = self.nodes.select("id", "n", F.posexplode("prefix").alias("r", "h"))
         tile = posting.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
         self.tiles = written(posting.join(tile, "h"), "tiles")
         self.links: DataFrame | None = None
@@ -201,59 +238,105 @@ class _Join:
     def near_size(self, a: str = "nx", b: str = "ny"):
         return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
-    def test(self, pairs: DataFrame) -> DataFrame:
-        """The linked ones of the pairs x, y, nx, ny."""
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs x, y, nx, ny those that the bitmaps allow."""
         bits = self.nodes.select("id", "bitmap")
-        side = lambda name, t, value: t.select(F.col("id").alias(name), F.col(value).alias("b" + name))
-        may = pairs.join(side("x", bits, "bitmap"), "x").join(side("y", bits, "bitmap"), "y")
-        may = written(may.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bound, "x bigint, y bigint"), "pairs")
-        ids = may.select(F.col("x").alias("id")).union(may.select("y")).distinct()
+        may = pairs.join(self.side("x", bits, "bitmap"), "x").join(self.side("y", bits, "bitmap"), "y")
+        return may.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_bound, "x bigint, y bigint")
+
+    def side(self, name: str, t: DataFrame, value: str) -> DataFrame:
+        return t.select(F.col("id").alias(name), F.col(value).alias("b" + name))
+
+    def exact(self, may: DataFrame) -> DataFrame:
+        """The linked ones of the pairs x, y."""
+        may = written(may, "pairs")
+        full = self.full_sets(may.select(F.col("x").alias("id")).union(may.select("y")).distinct())
+        both = may.join(self.side("x", full, "hashes"), "x").join(self.side("y", full, "hashes"), "y")
+        return written(both.select("x", "y", "bx", "by").mapInArrow(_exact, "x bigint, y bigint"), "links")
+
+    def full_sets(self, ids: DataFrame) -> DataFrame:
+        """id, hashes of the nodes, from their representatives' texts."""
         want = self.nodes.join(ids, "id", "left_semi").select("id", "d1", "d2", "rep")
         texts = want.join(self.docs, F.col("rep").eqNullSafe(F.col("doc_id")))
-        full = texts.select("id", "d1", "d2", "text").mapInArrow(_full_sets, "id bigint, hashes binary")
-        full = written(full.groupBy("id").agg(F.first("hashes").alias("hashes")), "hashes")
-        both = may.join(side("x", full, "hashes"), "x").join(side("y", full, "hashes"), "y")
-        return written(both.select("x", "y", "bx", "by").mapInArrow(_exact, "x bigint, y bigint"), "links")
+        full = texts.select("id", "d1", "d2", "text").mapInArrow(_full_sets, "id bigint, hashes array<bigint>")
+        return written(full.groupBy("id").agg(F.first("hashes").alias("hashes")), "hashes")
 
-    def add(self, pairs: DataFrame) -> None:
-        new = self.test(pairs)
+    def add(self, may: DataFrame) -> None:
+        """Test pairs x, y and join what is linked."""
+        new = self.exact(may)
         self.links = new if self.links is None else self.links.unionByName(new)
         self.member = connected(self.links)
 
-    def open_tiles(self) -> DataFrame:
-        """Rows of the tiles that span several components, with component and tile totals."""
-        t = self.tiles.join(self.member, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    def open_rows(self, tiles: DataFrame) -> DataFrame:
+        """Rows of the tiles that span several components, with the component."""
+        t = tiles.join(self.member, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         span = t.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        return t.join(span.select("h"), "h").select("h", "id", "n", "hub", "c", "comp")
-
-    def star(self, rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        """Pairs of the tiles' rows with their hubs (h, x, nx, cx); each pair once."""
-        p = rows.join(hubs, "h").where("id <> x AND comp <> cx").select("x", F.col("id").alias("y"), "nx", F.col("n").alias("ny"))
-        return p.where(self.near_size()).distinct()
+        return written(t.join(span.select("h"), "h").select(*tiles.columns, "comp"), "open")
+
+    def next_hubs(self, rows: DataFrame, used: DataFrame) -> DataFrame:
+        """Rows of up to HUBS nodes of each tile outside the components of its hubs (h, id) so far."""
+        done = used.join(self.member, "id", "left").select("h", F.coalesce("comp", "id").alias("comp"))
+        left = rows.join(done.distinct(), ["h", "comp"], "left_anti").withColumn("k", F.xxhash64("id"))
+        first = left.groupBy("h", F.pmod("k", F.lit(HUBS))).agg(F.min(F.struct("k", "id", "n", "r", "comp")).alias("m"))
+        return first.select("h", "m.id", "m.n", "m.r", "m.comp")
+
+    def across(self, rows: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+        """Pairs x, y, nx, ny of a tile (h, id, n, r, comp) in different components: all pairs of
+        its rows, or those of hubs with rows. r shingles of a set come before the tile's; a pair's
+        first common shingle leaves enough of both sets."""
+        a = (rows if hubs is None else hubs).select(
+            "h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("comp").alias("cx"))
+        b = rows.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("r").alias("ry"), F.col("comp").alias("cy"))
+        left = F.least(F.col("nx") - F.col("rx"), F.col("ny") - F.col("ry"))
+        enough = (100 + SIMILARITY) * left >= SIMILARITY * (F.col("nx") + F.col("ny"))
+        once = (F.col("x") < F.col("y")) if hubs is None else F.lit(True)
+        both = (a.h == b.h) & once & (F.col("cx") != F.col("cy")) & self.near_size() & enough
+        return a.join(b, both).select("x", "y", "nx", "ny")
+
+    def exact_tiles(self, ids: DataFrame) -> DataFrame:
+        """Tiles (h, id, n, r) of the nodes among themselves, rarest shingles first."""
+        held = self.full_sets(ids).select("id", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h"))
+        held = written(held, "shingles")
+        shared = held.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+        # shingles of one node alone come first in its order: their number is the first rank
+        mine = held.join(shared, "h").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("s"))
+        rows = mine.select("id", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode("s").alias("p", "e"))
+        prefix = F.col("n") - F.floor((SIMILARITY * F.col("n") + 99) / 100) + 1
+        return rows.withColumn("r", F.col("alone") + F.col("p")).where(F.col("r") < prefix).select(F.col("e.h").alias("h"), "id", "n", "r")
 
     def run(self) -> DataFrame:
         size = self.tiles.groupBy("hub").agg(F.max(F.when(F.col("id") == F.col("hub"), F.col("n"))).alias("nx"))
         first = self.tiles.where("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y"), F.col("n").alias("ny")).distinct()
         first = first.join(size.withColumnRenamed("hub", "x"), "x").where(self.near_size())
-        self.add(first.select("x", "y", "nx", "ny"))
-        rows = written(self.open_tiles(), "open")
-        own = rows.where("id = hub").select("h", F.col("comp").alias("own"))
-        wide = rows.where(F.col("c") > WIDE).join(own, "h").where("comp <> own")
-        if not wide.isEmpty():
-            hubs = wide.groupBy("h").agg(F.min(F.struct("id", "n", "comp")).alias("m")).select(
-                "h", F.col("m.id").alias("x"), F.col("m.n").alias("nx"), F.col("m.comp").alias("cx"))
-            self.add(self.star(rows.where(F.col("c") > WIDE), hubs))
-            rows = written(self.open_tiles(), "open")
-        a = rows.select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        b = rows.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        rest = a.join(b, "h").where("x < y AND cx <> cy").where(self.near_size())
-        rest = rest.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared"))
-        beyond = lambda n: F.floor(F.col(n) * SIMILARITY / 100.0 + 0.999999) - 1  # noqa: E731  shingles after the prefix
-        need = (F.col("nx") + F.col("ny")) * SIMILARITY / (100.0 + SIMILARITY) - 1e-6
-        rest = rest.where(F.col("shared") + F.greatest(beyond("nx"), beyond("ny")) >= need).drop("shared")
-        self.add(rest)
+        self.add(self.bounded(first.select("x", "y", "nx", "ny")))
+        rows = self.open_rows(self.tiles)
+        used = rows.where(F.col("c") > WIDE).select("h", F.col("hub").alias("id")).distinct()
+        for _ in range(ROUNDS):
+            wide = rows.where(F.col("c") > WIDE)
+            hubs = written(self.next_hubs(wide, used), "hubs")
+            if hubs.isEmpty():
+                break
+            self.add(self.bounded(self.across(wide, hubs).distinct()))
+            used = used.union(hubs.select("h", "id"))
+            rows = self.open_rows(rows.drop("comp"))
+        may = self.bounded(self.across(rows.where(F.col("c") <= WIDE)).distinct())
+        again = rows.where(F.col("c") > WIDE).select("id").distinct()
+        if not again.isEmpty():
+            may = may.unionByName(self.compared(self.open_rows(self.exact_tiles(again)))).distinct()
+        self.add(may)
         return self.member
 
+    def compared(self, rows: DataFrame) -> DataFrame:
+        """Pairs x, y of tiles (h, id, n, r, comp) across components that all bounds allow."""
+        order = Window.partitionBy("id").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("before", F.collect_list("h").over(order))
+        size = rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = rows.join(size, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "blocks")
+        cell = dealt.join(self.nodes.select("id", "bitmap"), "id")
+        return cell.groupBy("h", "lo", "hi").applyInArrow(_compare, "x bigint, y bigint")
+
 
 def connected(links: DataFrame) -> DataFrame:
     """id, comp (smallest id) of every node of the links x, y: neighbourhoods are joined to their
@@ -264,7 +347,7 @@ def connected(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "edges")
+        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
         edges = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
