@@ -60,6 +60,8 @@ def test_jaccard_is_brute_force(spark, docs):
 def test_jaccard_groups_of_many_nodes(spark, monkeypatch):
     """Chains and tiles over WIDE: every round of the search is used."""
     monkeypatch.setattr(jaccard, "WIDE", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "HUBS", 2)
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     rows = []
@@ -122,8 +124,8 @@ def small_model(monkeypatch, texts):
     words = pa.concat_arrays([words.cast(pa.binary()), pa.array([b"\n"], pa.binary())])
     counts = np.zeros((len(words), mixing.GROUPS), np.int64)
     counts[:, 0] = np.append(np.bincount(inverse), len(texts))
-    counted = next(mixing._byte_counts([pa.RecordBatch.from_pydict({"w": words.slice(0, len(words) - 1), "n": counts[:-1, 0]})]))
-    code = mixing.Code(counted.column(1).to_numpy())
+    pairs = next(mixing._count_symbols([pa.RecordBatch.from_pydict({"w": words, "n": counts[:, 0]})]))
+    code = mixing.Code(pairs.column(0).to_numpy().astype(np.int64), pairs.column(1).to_numpy())
     held = type("Held", (), {"value": code})
     odds, gate = [np.zeros(1 << 16, np.int16) for _ in range(4)], np.zeros(1 << 16, np.uint8)
     for p in mixing._count_bits([pa.RecordBatch.from_pydict({"w": words, **{f"t{g}": counts[:, g] for g in range(mixing.GROUPS)}})], held):
@@ -135,14 +137,15 @@ def small_model(monkeypatch, texts):
 
 
 def test_context_mixing_is_a_code(monkeypatch):
-    """Probabilities of all continuations add up: 256 symbols behind one beginning."""
+    """Every prefix code is complete, and no two bytes behind the same two have one path."""
     model = small_model(monkeypatch, ["the cat sat on the mat", "the dog sat", "a cat and a dog"] * 20)
-    size, start, node, branch = model.code.size, model.code.start, model.code.node, model.code.branch
-    total = sum(2.0 ** -int(n) for n in size)
-    assert total == 1.0  # the prefix code is complete
-    for s in range(256):
-        path = [(int(node[k]), int(branch[k])) for k in range(start[s], start[s] + size[s])]
-        assert len(set(path)) == len(path)
+    code = model.code
+    assert len(code.size) > 256
+    for n, start in zip(code.size.tolist(), code.start.tolist()):
+        assert sum(2.0 ** -x for x in n) == 1.0
+    for c in (ord("t"), int(code.code_of[ord("t") << 8 | ord("h")]), len(code.size) - 1):
+        paths = [tuple((int(code.node[k]), int(code.branch[k])) for k in range(a, a + n)) for a, n in zip(code.start[c], code.size[c])]
+        assert len(set(paths)) == 256
 
 
 def test_context_mixing_lanes_equal_one_at_a_time(monkeypatch):
@@ -164,7 +167,7 @@ def test_context_mixing_lanes_equal_one_at_a_time(monkeypatch):
     inputs, marks, stream, begin, size = seen["x"]
     w = mixing.START.astype(float).copy()
     half = mixing.MAP_CELLS // 2
-    maps = np.tile(1 / (1 + np.exp(-(np.arange(mixing.MAP_CELLS) - half) * mixing.MAP_STEP)), (mixing.GATES, 1))
+    maps = 1 / (1 + np.exp(-(np.arange(mixing.MAP_CELLS) - half) * mixing.MAP_STEP))
     total = 0.0
     for e in stream[begin[0]:begin[0] + size[0]]:
         x = inputs[e:e + 1].view(np.int16).astype(float) / 256
@@ -172,9 +175,9 @@ def test_context_mixing_lanes_equal_one_at_a_time(monkeypatch):
         dot = float(w[gate] @ x)
         p = 1 / (1 + math.exp(-dot))
         w[gate] += mixing.RATE * (y - p) * x
-        cell = int(np.clip(np.rint(dot / mixing.MAP_STEP), -half, half)) + half
-        q = min(max((p + maps[gate, cell]) / 2, mixing.PROBABILITY_FLOOR), 1 - mixing.PROBABILITY_FLOOR)
-        maps[gate, cell] += mixing.MAP_RATE * (y - maps[gate, cell])
+        cell = int(np.clip(dot / mixing.MAP_STEP + half + 0.5, 0.5, mixing.MAP_CELLS - 0.5))
+        q = min(max((p + maps[cell]) / 2, mixing.PROBABILITY_FLOOR), 1 - mixing.PROBABILITY_FLOOR)
+        maps[cell] += mixing.MAP_RATE * (y - maps[cell])
         total += math.log10(q if y else 1 - q)
     assert abs(total - got) < 1e-3 * abs(total)
 
