@@ -27,6 +27,8 @@ HEADLINE = [
     "study_mse",
     "kde_nll",
     "kernel_features",
+    "kernel_sweep",
+    "posterior_sample",
     "als_normalized",
 ]
 
