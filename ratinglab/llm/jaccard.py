@@ -225,9 +225,11 @@ class _Join:
         ship_package(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         held = self.spark.sparkContext.broadcast(_slot_classes(self.docs))
-        self.sets = written(self.docs.mapInArrow(
-            lambda b: _sets(b, held), "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, bitmap binary"), "sets")
-        node = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(
+        computed = self.docs.mapInArrow(
+            lambda b: _sets(b, held), "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, bitmap binary")
+        # prefixes are written once for each node, so the documents pass twice
+        self.sets = written(computed.select("doc_id", "n", "d1", "d2"), "sets")
+        node = computed.where("n > 0").groupBy("d1", "d2", "n").agg(
             F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
         self.nodes = written(node.withColumn("id", F.monotonically_increasing_id()), "nodes")
         posting = self.nodes.select("id", "n", F.posexplode("prefix").alias("r", "h"))
