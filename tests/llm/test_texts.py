@@ -162,7 +162,7 @@ def test_surrogates(spark):
     assert card[0] == card[1].replace("-", "")
     digits = [int(x) for x in card[0][::-1]]
     assert sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(digits)) % 10 == 0
-    assert re.search(r"ip \d\.\d\.\d\.\d, \d{3}\.\d{3}\.\d{3}\.\d{3}\. ", got[2].text)
+    assert re.search(r"ip \d\d\.\d\.\d\.\d, \d{3}\.\d{3}\.\d{3}\.\d{3}\. ", got[2].text)
     name = re.search(r"Mrs\. (\w+) (\w+) met Mr (\w+) ", got[3].text)
     assert name[2] == name[3] and name[1] in pii._GIVEN["latin", "f"]
     assert re.search(r'token = "[0-9a-f]{40}" DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d$', got[3].text)
