@@ -16,6 +16,7 @@ ever becomes a row.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 
 import numpy as np
@@ -107,7 +108,7 @@ def similar_items_lsh(left: DataFrame, right: DataFrame, all_vectors: DataFrame,
         dot(vector_to_array(F.col("datasetA.v")), vector_to_array(F.col("datasetB.v"))).alias("dot"))
 
 
-def lsh_draws(dim: int, tables: int, per_key: int = 2) -> list[list[tuple[list[int], float]]]:
+def lsh_draws(dim: int, tables: int, per_key: int = 6) -> list[list[tuple[list[int], float]]]:
     """Of each table, the projections of its key: signs for all components and a shift, from a hash."""
     out = []
     for t in range(tables):
@@ -121,16 +122,20 @@ def sql_lsh_key(vector: str, signs: list[int], shift: float, width: float) -> st
     return f"floor(({terms.removeprefix('+ ')}) / CAST({width} AS DOUBLE) + CAST({shift} AS DOUBLE))"
 
 
-def similar_items_keys(left: DataFrame, right: DataFrame, cutoff: float = 0.4, dim: int = 64, tables: int = 8,
-                       width: float = 1.0) -> DataFrame:
-    """J6 by equi-joins on (table, key), an exact filter, then distinct pairs."""
-    def bucket(signs, shift):
-        return F.floor(dot("unit_vector", F.array(*[F.lit(float(x)) for x in signs])) / width + shift).cast("int")
+def similar_items_keys(left: DataFrame, right: DataFrame, cutoff: float = 0.4, dim: int = 64, tables: int = 40,
+                       width: float = 2.5) -> DataFrame:
+    """J6 by equi-joins on (table, key), an exact filter, then distinct pairs. Wide buckets, many to a key,
+    and many tables: pairs at the cutoff differ little more than any two vectors do."""
+    draws = [{"t": t, "key": [{"signs": signs, "shift": shift} for signs, shift in key]}
+             for t, key in enumerate(lsh_draws(dim, tables))]
+    draws = F.from_json(F.lit(json.dumps(draws)), "array<struct<t:int,key:array<struct<signs:array<double>,shift:double>>>>")
+
+    def bucket(d):
+        return F.floor(dot("unit_vector", d["signs"]) / width + d["shift"]).cast("int")
 
     def keyed(df, name):
-        rows = F.array(*[F.struct(F.lit(t).alias("t"), *[bucket(*d).alias(f"k{i}") for i, d in enumerate(key)])
-                         for t, key in enumerate(lsh_draws(dim, tables))])
+        rows = F.transform(draws, lambda x: F.struct(x["t"].alias("t"), F.transform(x["key"], bucket).alias("k")))
         return df.select(F.col("item_id").alias(f"{name}_id"), F.col("unit_vector").alias(f"_{name}"), F.inline(rows))
     a, b = keyed(left, "left"), keyed(right, "right")
-    pairs = a.join(b, ["t", "k0", "k1"]).withColumn("dot", dot("_left", "_right")).where(F.col("dot") > cutoff)
+    pairs = a.join(b, ["t", "k"]).withColumn("dot", dot("_left", "_right")).where(F.col("dot") > cutoff)
     return pairs.groupBy("left_id", "right_id").agg(F.first("dot").alias("dot"))

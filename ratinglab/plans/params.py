@@ -24,6 +24,6 @@ KDE_CUTOFFS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
 EM_STEPS = 100
 ALS_BLOCKS = 8  # a constant: the block count changes the result
 CUTOFF = 0.4
-LSH_TABLES = 8
-LSH_WIDTH = 1.0
+LSH_TABLES = 40
+LSH_WIDTH = 2.5
 SEGMENT = "BUILDING"  # market segment of the request list

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from conftest import SF001
 from ratinglab.operators import similarity
@@ -34,3 +35,16 @@ def test_key_join_is_selective_and_sound(spark):
     exact = {(r.left_id, r.right_id) for r in similarity.similar_items_exact(unit, unit, P.CUTOFF).collect()}
     got = {(r.left_id, r.right_id) for r in similarity.similar_items_keys(unit, unit, P.CUTOFF, 64, P.LSH_TABLES, P.LSH_WIDTH).collect()}
     assert got <= exact and len(got) >= 0.5 * len(exact)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_key_join_recall_without_self_pairs(spark, sf):
+    from ratinglab.plans import params as P
+    from ratinglab.plans.queries import _vec_inputs
+    _, iv = _vec_inputs(spark, f"/root/testdata/{sf}", None)
+    unit = similarity.normalized_vectors(iv).cache()
+    keys = similarity.similar_items_keys(unit, unit, P.CUTOFF, fx.EMBEDDING_DIM, P.LSH_TABLES, P.LSH_WIDTH)
+    exact, got = ({(r.left_id, r.right_id) for r in df.where("left_id <> right_id").collect()}
+                  for df in (similarity.similar_items_exact(unit, unit, P.CUTOFF), keys))
+    print(sf, len(got), "of", len(exact))
+    assert len(exact) > 100 and got <= exact and len(got) >= 0.95 * len(exact)
