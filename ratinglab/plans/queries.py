@@ -168,6 +168,13 @@ def q_score_candidates(spark, sf):
     return sc.select("user_id", "item_id", "predicted", r6("pdf").alias("pdf"), r6("score").alias("score"))
 
 
+def q_candidate_totals(spark, sf):
+    """Per user, over every unseen item, those without a similar rated item included."""
+    r, iv = _vec_inputs(spark, sf)
+    t = recommend.candidate_totals(r, iv, P.B, 1e-5, 0.4, rounding="literal", rank=P.RANK, reg=P.RIDGE_REG)
+    return t.select("user_id", "n_candidates", "n_zero", r6("pdf_sum").alias("pdf_sum"), r6("best_score").alias("best_score"))
+
+
 def _q_recommend(rounding):
     def run(spark, sf):
         r, iv = _vec_inputs(spark, sf)
@@ -253,6 +260,7 @@ def vector_queries() -> dict[str, Query]:
         "user_vectors": q_user_vectors,
         "user_item_pdf": q_user_item_pdf,
         "score_candidates": q_score_candidates,
+        "candidate_totals": q_candidate_totals,
         "recommend": _q_recommend("literal"),
         "recommend_half_star": _q_recommend("half_star"),
         "recommend_requested": q_recommend_requested,
