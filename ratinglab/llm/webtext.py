@@ -1,7 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: a block-level tag ends a line; boilerplate elements (menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, comments by readers), comments and
+headers, footers, sidebars, notices, adverts, forms, scripts, comments by readers; inside an
+article only containers are judged by their class and id, headings and paragraphs stay), comments and
 the borders of an article leave ``WINDOW`` empty lines. Text lengths are summed over a sliding
 window of ``WINDOW`` lines. A surge point is where the sum rises from zero, a dive point where it
 falls back to zero; the lines between them are a run. Runs inside an article (else inside the main
@@ -28,13 +29,15 @@ WINDOW, SURGE = 3, 80
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\s+(?:[^\s\"'>=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|/))*\s*/?|[^>]*)>", re.S)
 #: Element names.
-_RAW = frozenset("script style noscript template svg iframe textarea title math object".split())
+_RAW = frozenset("script style noscript template svg iframe textarea title object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROP = frozenset("nav footer aside form head button select menu dialog label input".split())
 _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
+#: Elements whose class and id are read inside an article or main element; others' are anchors there.
+_CONTAINER = frozenset("div section ul ol dl table header details fieldset figure center".split())
 #: Words in class or id that mark boilerplate.
 _DROP_WORD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|"
@@ -53,7 +56,7 @@ def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and _DROP_WORD.search(value):
+        if key in ("class", "id") and (not in_main or name in _CONTAINER) and _DROP_WORD.search(value):
             return True
         if key == "role" and value.lower() in _DROP_ROLE:
             return True

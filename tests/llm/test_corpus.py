@@ -238,6 +238,15 @@ def test_main_text(spark):
     assert webtext.extract(d.limit(0)).count() == 0
 
 
+def test_main_text_keeps_anchors_and_formulas():
+    for head in ("<h2 id='related-work'>", "<h2 id='search'>", "<h3 id='alert-handling'>", "<h2 class='toc'>"):
+        tag = head[1:3]
+        page = f"<article>{head}Head</{tag}><p id='social-effects'>text</p><ul class='share'><li>x</li></ul><p>end</p></article>"
+        assert webtext.main_text(page) == "Head\ntext\nend", head
+    assert webtext.main_text("<div class='related'><p>no</p></div><article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>"
+                             "</article>") == "so x=1 holds"
+
+
 def test_main_text_of_pages(spark):
     for r in spark.read.parquet(SF001 + "/pages.parquet").collect():
         body = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.S)[1]
