@@ -84,11 +84,17 @@ def examples(formatted: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from the formatted output, per conversation."""
-    t = F.sort_array(F.collect_list(F.struct("pos", "role", "text", "example"))).alias("t")
+    """What can be read back from the formatted output, per conversation; the replies are cut from it
+    by the examples' loss masks."""
+    t = F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("t")
     g = expand_turns(formatted).groupBy("conv_id").agg(t, F.sum("piece_chars").alias("formatted_chars"))
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x.example.isNotNull()), lambda x: x.text), "")
-    g = g.select("conv_id", F.size("t").cast("long").alias("n_turns"), "formatted_chars", loss.alias("loss"),
+    masks = examples(formatted).groupBy(F.col("conv_id").alias("_c")).agg(
+        F.sort_array(F.collect_list(F.struct("example", "loss_start", "loss_chars"))).alias("m"))
+    cut = lambda m: unescape(F.col("formatted").substr((m.loss_start + 1).cast("int"), m.loss_chars.cast("int")))
+    loss = formatted.join(masks, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(
+        F.col("conv_id").alias("_c"), F.coalesce(F.array_join(F.transform("m", cut), ""), F.lit("")).alias("loss"))
+    g = g.join(loss, F.col("conv_id").eqNullSafe(F.col("_c")))
+    g = g.select("conv_id", F.size("t").cast("long").alias("n_turns"), "formatted_chars", "loss",
                  F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "").alias("turns"))
     return g.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
                     F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),

@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ratinglab.llm import chat, jaccard, mixing, quality, warc, webtext
 from ratinglab.llm.common import written
@@ -218,6 +219,19 @@ def test_chat_round_trip(spark):
     assert chat.conversation_digests(chat.format_conversations(d.limit(0))).count() == 0
 
 
+def test_chat_digests_read_the_loss_mask(spark, monkeypatch):
+    d = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "a<b é"), (1, 2, "assistant", "\\#"), (2, 0, "user", "x")],
+                              "conv_id long, turn long, role string, text string")
+    f = chat.format_conversations(d)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {x.conv_id: (x.loss_chars, x.loss_sha256) for x in chat.conversation_digests(f).collect()}
+    assert got == {1: (7, sha("a<b é\\#")), 2: (0, sha(""))}
+    right = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda x: right(x).withColumn("loss_start", F.col("loss_start") - 1))
+    wrong = {x.conv_id: (x.loss_chars, x.loss_sha256) for x in chat.conversation_digests(f).collect()}
+    assert wrong[1] != got[1] and wrong[2] == got[2]
+
+
 def test_main_text(spark):
     cases = {
         "": "", "plain": "plain",
