@@ -2,11 +2,12 @@
 
 Detected entities: e-mail and IP addresses, telephone, card, account and social security numbers,
 secrets, and names after a title. Each distinct entity (its canonical form: digits without
-punctuation, e-mails and names in lower case) gets a surrogate drawn from SHA-256 of the key, the
+punctuation, e-mails and names in lower case; an IPv6 address as it is written) gets a surrogate drawn from SHA-256 of the key, the
 type, the canonical form and an attempt number. So an entity has one surrogate in the whole corpus,
 in whatever format it is written. Letters become letters of the same script and case, digits
 digits; octets stay octets, hexadecimal stays hexadecimal, country codes stay, valid card check
-digits are valid again, given names follow the title's gender.
+digits are valid again, given names follow the title's gender. A family name that a title gives away is replaced
+wherever else it stands in its document, too (``count`` has those with a title).
 
 Collision check: over the distinct entities of the corpus, a surrogate that two entities share or
 that is an entity itself sends all but the smallest (or the lot) to the next attempt, until none
@@ -28,11 +29,17 @@ KEY = "surrogate-key-1"
 WIDER = 12
 _MARK, _ESC = "\u0001", "\u0002"
 
+_V4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_G = "[0-9a-fA-F]{1,4}"  # a group of an IPv6 address
+#: A word of a name: Smith, O'Brien, McDonald, Smith-Jones.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
+_WORD = f"{_WORD}(?:-{_WORD})*"
 #: Patterns of the entities, in order of precedence.
 TYPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)"
-          r"|(?<![\p{L}\p{N}:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\p{L}\p{N}:])",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)+",
+    "ip": rf"(?<![\d.:]){_V4}(?!\d|\.\d)"
+          rf"|(?<![\p{{L}}\p{{N}}:])(?:(?:{_G}:){{6}}|(?:{_G}(?::{_G}){{0,4}})?::(?:{_G}:){{0,5}}){_V4}(?!\d|\.\d)"
+          rf"|(?<![\p{{L}}\p{{N}}:])(?:(?:{_G}:){{7}}{_G}|{_G}(?::{_G}){{0,6}}::(?:{_G}(?::{_G}){{0,6}})?|::{_G}(?::{_G}){{0,6}})(?![\p{{L}}\p{{N}}:])",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
              r"|(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\d])"
              r"|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
@@ -42,16 +49,27 @@ TYPES = {
     "secret": r"(?<=(?i:token|key|secret|passwd|password|pwd) {0,2}[=:] {0,2}[\"']?)[^\s\"']{8,}"
               r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})(?![\p{L}\p{N}])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Monsieur|Madame|Mme|Mlle|Господин|Госпожа)\.? "
-            r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?(?!\p{L})",
+            r"(?:(?:van|von|der|den|de|del|della|di|da|du|la|le|ten|ter|zu|bin|al) )*"
+            rf"(?:\p{{Lu}}\. )*{_WORD}(?: (?:(?:van|von|der|den|ten|ter|zu|bin) )*(?:\p{{Lu}}\. )*{_WORD}){{0,3}}(?!\p{{L}})",
 }
 _ANY = "|".join(f"(?:{p})" for p in TYPES.values())
-_HINT = r"[0-9@]|(?:AKIA|gh[pousr]_|sk-)|(?i:token|key|secret|pass|pwd)|(?:Mr|Ms|Miss|Herr|Frau|Señor|Sra|Monsieur|Madame|Mme|Mlle|Господин|Госпожа)"
+_HINT = r"[0-9@]|::|(?:AKIA|gh[pousr]_|sk-)|(?i:token|key|secret|pass|pwd)|(?:Mr|Ms|Miss|Herr|Frau|Señor|Sra|Monsieur|Madame|Mme|Mlle|Господин|Госпожа)"
 _FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Mlle|Госпожа)\b"
 #: Alphabets in which a character is replaced by another of the same one.
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
               "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
               "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
               "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ")
+_span = lambda *at: "".join(chr(c) for a, b in at for c in range(a, b))
+#: Alphabets for the other characters of a script; letters of all further scripts become Latin ones.
+_SCRIPTS = (("[\\p{IsLatin}&&\\p{Lu}]", _ALPHABETS[2]), ("\\p{IsLatin}", _ALPHABETS[1]),
+            ("[\\p{IsCyrillic}&&\\p{Lu}]", _ALPHABETS[4]), ("\\p{IsCyrillic}", _ALPHABETS[3]),
+            ("[\\p{IsGreek}&&\\p{Lu}]", _ALPHABETS[6]), ("\\p{IsGreek}", _ALPHABETS[5]),
+            ("\\p{IsHebrew}", _span((0x5D0, 0x5EB))), ("\\p{IsArabic}", _span((0x628, 0x63B), (0x641, 0x64B))),
+            ("\\p{IsDevanagari}", _span((0x915, 0x93A))), ("\\p{IsThai}", _span((0xE01, 0xE2F))),
+            ("\\p{IsHiragana}", _span((0x3042, 0x3095))), ("\\p{IsKatakana}", _span((0x30A2, 0x30F5))),
+            ("\\p{IsHangul}", _span((0xAC00, 0xACFF))), ("\\p{IsHan}", _span((0x4E00, 0x4F00))),
+            ("\\p{N}", _ALPHABETS[0]), ("\\p{L}", _ALPHABETS[1]))
 #: Given names and syllables of family names, by script.
 _GIVEN = {("latin", "f"): "Anna Clara Elena Emma Ines Julia Laura Lena Maria Marta Nora Olga Paula Rosa Sara Vera".split(),
           ("latin", "m"): "Adam Bruno Carl Daniel David Emil Felix Hugo Jan Leon Lucas Martin Oscar Paul Simon Victor".split(),
@@ -100,10 +118,14 @@ def _draw(h: Column, i) -> Column:
 
 
 def _spell(c: Column, h: Column, hexadecimal: Column, skip: Column) -> Column:
-    """c with every letter and digit from position ``skip`` on drawn anew in its alphabet."""
+    """c with every letter and digit from position ``skip`` on drawn anew in its alphabet or, for other
+    characters, in one of its script; accents that are characters of their own go."""
     def one(x: Column, i: Column) -> Column:
         v = _draw(h, i)
-        out = x
+        other = x
+        for pattern, a in reversed(_SCRIPTS):
+            other = F.when(x.rlike(pattern), F.substring(F.lit(a), v % len(a) + 1, F.lit(1))).otherwise(other)
+        out = F.when(x.rlike(r"[\p{L}\p{N}]"), other).when(x.rlike(r"\p{M}"), "").otherwise(x)
         for a in _ALPHABETS:
             size = F.lit(len(a))
             if a[0] in "aA":
@@ -164,8 +186,11 @@ def surrogate(t: Column, c: Column, attempt: Column) -> Column:
         body = s.substr(F.lit(1), F.length(s) - 1)
         return F.concat(body, ((F.lit(10) - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
 
+    def mapped(h: Column, s: Column) -> Column:  # IPv4, alone or at the end of an IPv6 address
+        return F.concat(s.substr(F.lit(1), F.length(F.regexp_extract(c, "^.*:", 0))), _octets(F.regexp_extract(c, "[^:]*$", 0), h))
+
     def typed(h: Column, s: Column) -> Column:
-        return (F.when(t == "email", F.concat(s, suffix)).when((t == "ip") & c.contains("."), _octets(c, h))
+        return (F.when(t == "email", F.concat(s, suffix)).when((t == "ip") & c.contains("."), mapped(h, s))
                 .when(t == "name", _named(c, attempt)).when((t == "card") & (_luhn(c) == 0), checked(s)).otherwise(s))
 
     def wider(h: Column, s: Column) -> Column:
@@ -201,6 +226,14 @@ def _plain(part: Column) -> Column:
     return F.when(part.contains(_ESC), F.replace(F.replace(part, F.lit(_ESC + "a"), F.lit(_MARK)), F.lit(_ESC + "b"), F.lit(_ESC))).otherwise(part)
 
 
+def _familiar(part: Column, families: Column) -> Column:
+    """A plain part of a text with its document's family names (struct old, new) replaced."""
+    def one(text: Column, f: Column) -> Column:
+        word = F.concat(F.lit(r"(?<!\p{L}|\p{L}-)"), f["old"], F.lit(r"(?!\p{L}|-\p{Lu})"))
+        return F.when(text.contains(f["old"]), F.regexp_replace(text, word, f["new"])).otherwise(text)
+    return F.aggregate(families, part, one)
+
+
 def attempts(entities: DataFrame) -> DataFrame:
     """(t, c) distinct -> t, c, attempt with no two equal surrogates of a type and none that is an
     entity of its type."""
@@ -233,10 +266,11 @@ def replace(docs: DataFrame, count: str | None = None) -> DataFrame:
     chosen = attempts(seen.select("t", "c").distinct())
     later = chosen.where("attempt > 0")
     value = seen.join(later, ["t", "c"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-    value = value.select("_k", "_k2", "i", render(F.col("p"), F.col("t"), surrogate(F.col("t"), F.col("c"), F.col("attempt"))).alias("s"))
-    value = value.groupBy("_k", "_k2").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("_s"))
+    value = value.select("_k", "_k2", "i", "t", "p", render(F.col("p"), F.col("t"), surrogate(F.col("t"), F.col("c"), F.col("attempt"))).alias("s"))
+    family = F.when(F.col("t") == "name", F.struct(F.regexp_extract("p", r"\S+$", 0).alias("old"), F.regexp_extract("s", r"\S+$", 0).alias("new")))
+    value = value.groupBy("_k", "_k2").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("_s"), F.sort_array(F.collect_set(family)).alias("_f"))
     made = hit.join(value, ["_k", "_k2"])
-    text = F.array_join(F.transform("_p", lambda x, i: F.when(i % 2 == 0, _plain(x)).otherwise(
+    text = F.array_join(F.transform("_p", lambda x, i: F.when(i % 2 == 0, _familiar(_plain(x), F.col("_f"))).otherwise(
         F.get(F.col("_s"), ((i - 1) / 2).cast("int")).s)), "")
     return clear.unionByName(out(made, text, F.size("_s"))).select(*names, *([count] if count and count not in names else []))
 

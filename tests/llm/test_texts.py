@@ -184,3 +184,19 @@ def test_surrogates_stay_distinct(spark):
     assert all(len(f) == 2 and f[0] == f[1] for f in found.values())
     new = [f[0] for f in found.values()]
     assert len(set(new)) == len(ips) and not set(new) & set(ips)
+
+
+def test_surrogates_of_other_scripts_addresses_and_names(spark):
+    texts = ["mail 王小明@公司.中国 or שלום@דואר.קום or محمد@بريد.كوم or żółć@łódź.pl or ёж@ёлка.рф or राजेश@डाक.भारत",
+             "hosts 2001:db8::1, fe80::a1b2:3c4d, ::ffff:192.0.2.77 and 2001:db8:5::, not std::vector, 10:30",
+             "Mr O'Brien met Mrs Smith-Jones, Mr John Paul Walker, Herr von Berg and Ms McDonald. Later Walker's friend O'Brien left; Walkers stay.",
+             "Walker has no title here"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace(d, "n").collect()}
+    assert [out[i].n for i in range(4)] == [6, 4, 5, 0]
+    for i, parts in enumerate((re.findall(r"[^\s@.]{2,}(?=[@.])", texts[0]), ["2001:db8", "a1b2", "192.0.2", "db8:5"],
+                               ["Brien", "Smith", "Jones", "John", "Paul", "Walker'", "Berg", "Donald"])):
+        assert parts and not [x for x in parts if x in out[i].text], out[i].text
+    assert out[1].text.endswith(", not std::vector, 10:30") and re.search(r" ::[0-9a-f]{4}:\d{3}\.\d\.\d\.\d\d and ", out[1].text)
+    new = re.fullmatch(r"Mr (\w+) met Mrs \w+, Mr \w+ (\w+), Herr \w+(?: \w+)? and Ms \w+\. Later (\w+)'s friend (\w+) left; Walkers stay\.", out[2].text)
+    assert new and new[1] == new[4] and new[2] == new[3] and out[3].text == texts[3]
