@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratinglab.llm import chat, jaccard, mixing, pieces, pii, quality, tiling, unigram, warc, webtext
+from ratinglab.llm import chat, jaccard, mixing, pieces, pii, quality, resample, tiling, topk, unigram, warc, webtext
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_decontaminate": tiling.query,
         "op9_main_text": webtext.query,
         "op10_chat_format": chat.query,
+        "op12_importance_resample": resample.query,
+        "op13_exact_topk": topk.query,
     }
 
 
@@ -25,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.ORACLE,
         "op6_warc_index": warc.ORACLE,
         "op10_chat_format": chat.ORACLE,
+        "op12_importance_resample": resample.ORACLE,
+        "op13_exact_topk": topk.ORACLE,
     }
