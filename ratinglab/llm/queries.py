@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ratinglab.llm import chat, jaccard, mixing, pieces, pii, quality, resample, tiling, topk, unigram, warc, webtext
+from ratinglab.llm import align, chat, jaccard, mixing, pieces, pii, quality, resample, tiling, topk, unigram, warc, webtext
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_decontaminate": tiling.query,
         "op9_main_text": webtext.query,
         "op10_chat_format": chat.query,
+        "op11_token_alignment": align.query,
         "op12_importance_resample": resample.query,
         "op13_exact_topk": topk.query,
     }
