@@ -30,6 +30,7 @@ Each slice of texts encodes and aligns its distinct chunks once; a text without
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 
 import numpy as np
@@ -114,37 +115,45 @@ class Aligner:
         self.text = self.sides[0].text + self.sides[1].text
         self.space = self.b.piece_to_id("▁")
 
-    def encode(self, chunks: list[str]) -> tuple[list, list]:
-        """Ids of A and of B for chunks that begin with a space."""
+    def encode(self, chunks: list[str]):
+        """Flat ids and their numbers, of A and of B, for chunks that begin with a space."""
         a = [e.ids for e in getattr(self.a, "encode_batch_fast", self.a.encode_batch)(chunks, add_special_tokens=False)]
         # the library adds the first space, but not to an empty text
-        return a, [ids or [self.space] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
+        b = [ids or [self.space] for ids in self.b.encode([c[1:] for c in chunks], num_threads=1)]
+        for found in (a, b):
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            yield np.fromiter(itertools.chain.from_iterable(found), np.int64, int(count.sum())), count
 
     def chunks(self, raw: list[bytes]) -> dict:
         """Of each chunk: whether its tokens give its bytes, numbers of A and B tokens, groups and
         links, the groups as text; and flat, the pairs of all links."""
-        n = len(raw)
-        good = np.ones(n, bool)
+        n, step = len(raw), 0
         chunks = [c.decode() for c in raw]
-        size, step = np.cumsum([len(c) for c in raw]), 0
-        found = ([], [])
+        size = np.cumsum([len(c) for c in raw])
+        found = [], []
         while step < n:  # bounded runs: an encoding holds far more than its ids
             to = max(step + 1, int(np.searchsorted(size, (size[step - 1] if step else 0) + RUN_BYTES, side="right")))
-            for k, ids in enumerate(self.encode(chunks[step:to])):
-                found[k].extend(np.array(x, np.int64) for x in ids)
+            for mine, coded in zip(found, self.encode(chunks[step:to])):
+                mine.append(coded)
             step = to
-        for side, ids in zip(self.sides, found):
-            length = np.array([int(side.size[x].sum()) for x in ids], np.int64)
-            joined, at = side.joined(np.concatenate(ids)), np.cumsum(length)
-            good &= np.array([joined[e - m:e] == c for e, m, c in zip(at.tolist(), length.tolist(), raw)], bool)
+        out = {"good": np.ones(n, bool), "count": np.zeros((4, n), np.int64), "text": [""] * n, "pair": np.empty(0, np.int64)}
+        if not n:
+            return out
+        found = [tuple(np.concatenate(x) for x in zip(*mine)) for mine in found]
+        good, size = out["good"], np.array([len(c) for c in raw], np.int64)
+        for side, (ids, count) in zip(self.sides, found):
+            at = np.concatenate([[0], np.cumsum(side.size[ids])])[np.concatenate([[0], np.cumsum(count)])]
+            joined = side.joined(ids)
+            if not np.array_equal(np.diff(at), size) or joined != b"".join(raw):
+                good &= np.array([joined[x:y] == c for x, y, c in zip(at[:-1].tolist(), at[1:].tolist(), raw)], bool)
         kept = np.flatnonzero(good)
         out = {"good": good, "count": np.zeros((4, n), np.int64), "text": [""] * n, "pair": np.empty(0, np.int64)}
         if not len(kept):
             return out
         ids, owner, ends = [], [], []
-        for side, mine in zip(self.sides, found):
-            ids.append(np.concatenate([mine[i] for i in kept]))
-            owner.append(np.repeat(kept, [len(mine[i]) for i in kept]))
+        for side, (flat, count) in zip(self.sides, found):
+            ids.append(flat[np.repeat(good, count)])
+            owner.append(np.repeat(kept, count[kept]))
             ends.append(np.cumsum(side.size[ids[-1]]))
         mark = np.zeros(int(ends[0][-1]) + 1, np.uint8)
         mark[ends[0]] = 1

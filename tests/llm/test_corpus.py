@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ratinglab.llm import chat, jaccard, mixing, quality, warc, webtext
 from ratinglab.llm.common import written
-from tests.llm.conftest import SF001, sample_docs
+from sample_texts import SF001, sample_docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from ratinglab.llm import pieces, pii, quality, tiling, unigram
-from tests.llm.conftest import sample_docs
+from sample_texts import sample_docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
