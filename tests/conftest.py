@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,8 +12,3 @@ def spark():
     s = build_session(master="local[4]", shuffle_partitions=8)
     yield s
     s.stop()
-
-
-def ratings_df(spark, rows):
-    """rows: (user_id, item_id, rating)"""
-    return spark.createDataFrame(rows, "user_id int, item_id int, rating double")

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from rating_rows import SF001
 from ratinglab.operators import als, study
 from ratinglab.sources import fixtures as fx
 

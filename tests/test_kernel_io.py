@@ -1,6 +1,6 @@
 import numpy as np
 
-from conftest import SF001
+from rating_rows import SF001
 from ratinglab.functions.scoring import INFERENCE_KERNEL
 from ratinglab.operators import kernel
 from ratinglab.session import scratch_path

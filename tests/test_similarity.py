@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import SF001
+from rating_rows import SF001
 from ratinglab.operators import similarity
 from ratinglab.sources import fixtures as fx
 

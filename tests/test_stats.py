@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import ratings_df
+from rating_rows import ratings_df
 from ratinglab.operators import posterior, stats
 
 
