@@ -1,25 +1,25 @@
-"""Bounded broadcast sides for the block kernels.
-
-Three operators of the reference are dense products of two sets (histograms x priors,
-users x items, held-out x training vectors). Written as joins they would be Cartesian
-products. Instead the *bounded* side is collected once (after a size check) and
-broadcast, and the large side is streamed partition by partition through an
-Arrow-batched ``mapInPandas`` kernel that emits only partial sums or a partial top-N;
-Spark then aggregates those with ordinary ``groupBy``/window operators.
-
-When the bounded side is larger than the budget it is split into hash chunks that each
-fit, and the kernel plan is unioned over the chunks: more passes over the large side,
-never a bigger broadcast.
+"""Blocks of a two-dimensional grid.
+
+Some operators of the reference are dense products of two sets (histograms x priors,
+users x items). Written as joins they would be Cartesian products. Here both sides get a
+block number by a hash of their key, each block is copied to the blocks of the other side,
+and one cogrouped Arrow step per (block, block) multiplies the two as matrices, emitting only
+partial sums or a partial top-N, which ordinary ``groupBy``/window operators finish. A task
+holds one block of each side whatever the data size, and nothing passes through the driver
+but row counts. ``bounded_chunks`` is for sides with a known bound (top users' vectors).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratinglab.session import scratch_path
+
 DEFAULT_MAX_ROWS = 2_000_000
 
 
@@ -55,3 +55,38 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def row_block(n_other: int, target_cells: int = 1 << 22) -> int:
     """Rows per block so that a block times ``n_other`` stays near ``target_cells``."""
     return max(1, target_cells // max(1, n_other))
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: computed once, kept when executors go."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most partitions that one grid is dealt to; further cells share them.
+MAX_PARTITIONS = 20_000
+
+
+def block_count(spark: SparkSession, n: int, size: int, least: int) -> int:
+    """Blocks of about ``size`` rows; smaller ones, of ``least`` rows or more, while the tasks of
+    a shuffle outnumber the blocks. Only the cut depends on it, never a result."""
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-n // size), min(tasks, -(-n // least)))
+
+
+def grid(left: DataFrame, right: DataFrame, left_block: Column, right_block: Column, n_left: int, n_right: int,
+         cell: Callable, schema) -> DataFrame:
+    """``cell(left rows, right rows)`` on Arrow tables for every pair of blocks. The columns
+    ``lb`` and ``rb`` hold the block numbers on both sides."""
+    n = min(n_left * n_right, MAX_PARTITIONS)
+
+    def every(k):
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.select("*", left_block.cast("int").alias("lb"), every(n_right).alias("rb")).repartition(n, "lb", "rb")
+    b = right.select("*", right_block.cast("int").alias("rb"), every(n_left).alias("lb")).repartition(n, "lb", "rb")
+    return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(cell, schema)
+
+
+def hashed(n: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n))

@@ -305,18 +305,25 @@ def vectors_sql() -> dict[str, str]:
         f"SELECT user_id, item_id, predicted, round(pdf, {R6}) AS pdf, "
         f"round(predicted - {P.B!r} * ln(pdf + 1e-05), {R6}) AS score FROM sc")
     # the reference's union of the pair sums with a zero row for every user and item
-    q["candidate_totals"] = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg), *_pdf_ctes(P_CUTOFF),
+    whole_grid = _with(*ivc, ("gram", _gram_cte(rank)), *_ridge_ctes(rank, reg), *_pdf_ctes(P_CUTOFF),
                                   ("zeros", "SELECT user_id, item_id, gs FROM pdfs UNION ALL "
                                             "SELECT u.user_id, c.item_id, 0.0 AS gs FROM uvec u CROSS JOIN nv c"),
                                   ("cand", "SELECT z.user_id, z.item_id, sum(z.gs) / any_value(c.n_u) AS pdf FROM zeros z "
                                            "JOIN cnt c USING (user_id) WHERE NOT EXISTS (SELECT 1 FROM rwv r WHERE "
                                            "r.user_id = z.user_id AND r.item_id = z.item_id) GROUP BY z.user_id, z.item_id"),
-                                  ("sc", "SELECT c.user_id, c.pdf, least(greatest(floor(floor(v.mean + "
-                                         f"v.std * ({du}) * 2.0 + 0.5) / 2.0), 1.0), 5.0) - {P.B!r} * ln(c.pdf + 1e-05) AS score "
+                                  ("pr", "SELECT c.user_id, c.item_id, c.pdf, least(greatest(floor(floor(v.mean + "
+                                         f"v.std * ({du}) * 2.0 + 0.5) / 2.0), 1.0), 5.0) AS predicted "
                                          "FROM cand c JOIN uvec u ON u.user_id = c.user_id "
-                                         "JOIN iv v ON v.item_id = c.item_id")) + (
+                                         "JOIN iv v ON v.item_id = c.item_id"),
+                                  ("sc", f"SELECT *, predicted - {P.B!r} * ln(pdf + 1e-05) AS score FROM pr"))
+    q["candidate_totals"] = whole_grid + (
         "SELECT user_id, count(*) AS n_candidates, count(*) FILTER (pdf = 0) AS n_zero, "
         f"round(sum(pdf), {R6}) AS pdf_sum, round(max(score), {R6}) AS best_score FROM sc GROUP BY user_id")
+    q["candidate_report"] = whole_grid + (
+        f"SELECT user_id, rank, item_id, predicted, round(pdf, {R6}) AS pdf, round(score, {R6}) AS score, n_candidates, n_zero, "
+        f"round(pdf_sum, {R6}) AS pdf_sum FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) "
+        "AS INTEGER) AS rank, count(*) OVER (PARTITION BY user_id) AS n_candidates, count(*) FILTER (pdf = 0) OVER (PARTITION BY user_id) "
+        f"AS n_zero, sum(pdf) OVER (PARTITION BY user_id) AS pdf_sum FROM sc) WHERE rank <= {P.N_PICKS}")
     q["missing_users"] = _with(*whole) + (
         "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer "
         "WHERE CAST(c_custkey AS INTEGER) NOT IN (SELECT user_id FROM rwv)")

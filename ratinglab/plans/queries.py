@@ -175,6 +175,14 @@ def q_candidate_totals(spark, sf):
     return t.select("user_id", "n_candidates", "n_zero", r6("pdf_sum").alias("pdf_sum"), r6("best_score").alias("best_score"))
 
 
+def q_candidate_report(spark, sf):
+    """Best candidates of every user beside the totals over the whole grid."""
+    r, iv = _vec_inputs(spark, sf)
+    t = recommend.candidate_report(r, iv, P.N_PICKS, P.B, 1e-5, 0.4, rounding="literal", rank=P.RANK, reg=P.RIDGE_REG)
+    return t.select("user_id", "rank", "item_id", "predicted", r6("pdf").alias("pdf"), r6("score").alias("score"),
+                    "n_candidates", "n_zero", r6("pdf_sum").alias("pdf_sum"))
+
+
 def _q_recommend(rounding):
     def run(spark, sf):
         r, iv = _vec_inputs(spark, sf)
@@ -261,6 +269,7 @@ def vector_queries() -> dict[str, Query]:
         "user_item_pdf": q_user_item_pdf,
         "score_candidates": q_score_candidates,
         "candidate_totals": q_candidate_totals,
+        "candidate_report": q_candidate_report,
         "recommend": _q_recommend("literal"),
         "recommend_half_star": _q_recommend("half_star"),
         "recommend_requested": q_recommend_requested,
