@@ -68,10 +68,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 MAX_PARTITIONS = 20_000
 
 
-def block_count(spark: SparkSession, n: int, size: int, least: int) -> int:
+def block_count(spark: SparkSession, n: int, size: int, least: int, others: int = 1) -> int:
     """Blocks of about ``size`` rows; smaller ones, of ``least`` rows or more, while the tasks of
-    a shuffle outnumber the blocks. Only the cut depends on it, never a result."""
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a shuffle outnumber the cells with ``others`` blocks of the other side. Only the cut depends on
+    it, never a result."""
+    tasks = -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // others)
     return max(1, -(-n // size), min(tasks, -(-n // least)))
 
 

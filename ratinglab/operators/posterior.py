@@ -7,12 +7,11 @@ weights ``w_q = exp(alpha_q)``; the averaged moments converge to
 ``sum w*m / sum w`` and the expected number of proposals is ``accepts / avg(w)``.
 We compute that closed form exactly.
 
-Physical plan: cold items are reduced to their *distinct* histograms. Each cold
-histogram has fewer than ``sample_min`` counts in five buckets, so there are at most
-``C(sample_min + 4, 5)`` of them whatever the data size (1.9 M for 45): a proven bound.
-That side is broadcast; the priors stay partitioned and each task computes
-``alpha = S @ ln(Q).T + const`` in blocks, keeping only per-histogram partial sums.
-A ``groupBy`` on the histogram then finishes the sums.
+Physical plan: cold items are reduced to their *distinct* histograms and priors to their
+*distinct* pmfs with multiplicities. Both sides are hashed to blocks; one cogrouped step per
+(histogram block, prior block) computes ``alpha = S @ ln(Q).T + const`` and returns one row of
+partial sums per histogram, which a ``groupBy`` adds. A task holds one block of each side; the
+driver sees row counts only.
 """
 
 from __future__ import annotations
@@ -20,19 +19,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratinglab.functions.rng import hash_uniform
 from ratinglab.functions.scoring import ACCEPTS, MAX_ITER, MIN_RATING, NOISE_SD, SAMPLE_MIN, TRUSTED_MIN_JOB
 from ratinglab.operators import blocks, stats
 from ratinglab.session import ship_package
 
 HIST = stats.COUNT_COLS
-_SUMS = T.StructType(
-    [T.StructField(c, T.LongType()) for c in HIST]
-    + [T.StructField(n, T.DoubleType()) for n in ("sum_w", "sum_wm", "sum_ws")]
-    + [T.StructField("n_q", T.LongType())])
+SUMS = ("sum_w", "sum_wm", "sum_ws")
+#: Rows of a histogram block and of a prior block, and the fewest histograms that are worth one.
+HIST_ROWS, PRIOR_ROWS, SMALL_HIST = 1 << 12, 1 << 14, 1 << 6
+#: Elements of the weight matrix a cell works on at once.
+TILE = 1 << 18
+
+_SUMS = ", ".join([f"{c} bigint" for c in HIST] + [f"{c} double" for c in SUMS] + ["n_q bigint"])
+_SUMS_ARROW = pa.schema([(c, pa.int64()) for c in HIST] + [(c, pa.float64()) for c in SUMS] + [("n_q", pa.int64())])
 
 
 def priors_table(histogram: DataFrame, trusted_min: int) -> DataFrame:
@@ -52,59 +57,44 @@ def _alpha_const(h: np.ndarray) -> np.ndarray:
     return nl - sl
 
 
-def _sums_kernel(bc):
-    def run(batches):
-        h, const = bc.value
-        acc = np.zeros((h.shape[0], 3))
-        n_q = 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            log_q = np.log(pdf[stats.PMF_COLS].to_numpy(dtype=np.float64))
-            moments = pdf[["mean_q", "std_q"]].to_numpy(dtype=np.float64)
-            step = blocks.row_block(len(pdf))
-            for lo in range(0, h.shape[0], step):
-                alpha = h[lo:lo + step] @ log_q.T + const[lo:lo + step, None]
-                w = np.exp(alpha)
-                acc[lo:lo + step, 0] += w.sum(axis=1)
-                acc[lo:lo + step, 1:] += w @ moments
-            n_q += len(pdf)
-        if n_q:
-            out = pd.DataFrame(h.astype(np.int64), columns=HIST)
-            out["sum_w"], out["sum_wm"], out["sum_ws"] = acc[:, 0], acc[:, 1], acc[:, 2]
-            out["n_q"] = n_q
-            yield out
-    return run
-
-
-def _sized(priors: DataFrame, n_hist: int, pairs_per_task: int) -> DataFrame:
-    """Partition the priors by work: every task emits one partial row per histogram, so
-    the task count follows the pair count (|H| x |Q|), not the upstream partitioning."""
-    n_q = priors.count()
-    sc = priors.sparkSession.sparkContext
-    want = int(min(max(1, -(-(n_q * n_hist) // pairs_per_task)), 4 * sc.defaultParallelism, max(1, n_q)))
-    have = priors.rdd.getNumPartitions()
-    return priors.coalesce(want) if want < have else (priors.repartition(want) if want > have else priors)
-
-
-def posterior_sums(cold_histograms: DataFrame, priors: DataFrame,
-                   max_rows: int = blocks.DEFAULT_MAX_ROWS, pairs_per_task: int = 50_000_000) -> DataFrame:
+def _columns(table: pa.Table, names) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in names], axis=1).astype(np.float64)
+
+
+def _weights(h: np.ndarray, log_q: np.ndarray):
+    """(histogram range, matrix of exp(alpha)) in runs that fit a tile."""
+    const = _alpha_const(h)
+    step = blocks.row_block(len(log_q), TILE)
+    for lo in range(0, len(h), step):
+        hi = min(len(h), lo + step)
+        yield slice(lo, hi), np.exp(h[lo:hi] @ log_q.T + const[lo:hi, None])
+
+
+def _sums_cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Partial sums of every histogram of the block over the block's priors."""
+    if not len(left) or not len(right):
+        return _SUMS_ARROW.empty_table()
+    h, times = _columns(left, HIST), right.column("times").to_numpy().astype(np.float64)
+    log_q = np.log(_columns(right, stats.PMF_COLS))
+    terms = _columns(right, ("mean_q", "std_q")) * times[:, None]
+    terms = np.concatenate([times[:, None], terms], axis=1)
+    sums = np.empty((len(h), 3))
+    for rows, w in _weights(h, log_q):
+        sums[rows] = w @ terms
+    return pa.table([left.column(c) for c in HIST] + [pa.array(sums[:, j]) for j in range(3)]
+                    + [pa.array(np.full(len(h), int(times.sum())))], schema=_SUMS_ARROW)
+
+
+def posterior_sums(cold_histograms: DataFrame, priors: DataFrame) -> DataFrame:
     """Per distinct histogram ``c1..c5``: ``sum_w, sum_wm, sum_ws, n_q`` over all priors."""
     spark = priors.sparkSession
     ship_package(spark)
-    distinct = cold_histograms.select(*HIST).distinct()
-    q = priors.select("prior_id", *stats.PMF_COLS, "mean_q", "std_q")
-    parts = []
-    for chunk in blocks.bounded_chunks(distinct, HIST, max_rows):
-        if len(chunk) == 0:
-            continue
-        h = chunk[HIST].to_numpy(dtype=np.float64)
-        bc = spark.sparkContext.broadcast((h, _alpha_const(h)))
-        parts.append(_sized(q, len(h), pairs_per_task).mapInPandas(_sums_kernel(bc), _SUMS))
-    if not parts:
-        return spark.createDataFrame([], _SUMS)
-    partial = blocks.union_all(parts)
-    return partial.groupBy(*HIST).agg(*[F.sum(c).alias(c) for c in ("sum_w", "sum_wm", "sum_ws", "n_q")])
+    h = blocks.written(cold_histograms.select(*HIST).distinct(), "histograms")
+    q = blocks.written(priors.groupBy(*stats.PMF_COLS, "mean_q", "std_q").agg(F.count(F.lit(1)).alias("times")), "priors")
+    n_q = max(1, -(-q.count() // PRIOR_ROWS))
+    n_h = blocks.block_count(spark, h.count(), HIST_ROWS, SMALL_HIST, n_q)
+    partial = blocks.grid(h, q, blocks.hashed(n_h, *HIST), blocks.hashed(n_q, *stats.PMF_COLS), n_h, n_q, _sums_cell, _SUMS)
+    return partial.groupBy(*HIST).agg(*[F.sum(c).alias(c) for c in (*SUMS, "n_q")])
 
 
 def posterior_moments(cold_histograms: DataFrame, priors: DataFrame, accepts: int = ACCEPTS,
@@ -135,12 +125,11 @@ def item_stats(ratings: DataFrame, seed: int, trusted_min: int = TRUSTED_MIN_JOB
       a posterior std of 0 becomes 1e-9.
     * fallback: sample moments of the kept ratings.
     """
-    hist = stats.item_histogram(ratings, seed, noise_sd, min_rating).cache()
+    hist = blocks.written(stats.item_histogram(ratings, seed, noise_sd, min_rating), "item-histogram")
     priors = priors_table(hist, trusted_min)
     cold_flag = (F.col("n_raw") < F.lit(int(sample_min))) | (F.col("n_kept") == 0)
     cold = hist.where(cold_flag)
     post = posterior_moments(cold, priors, accepts, max_iter)
-    # The posterior table has one row per distinct cold histogram (bounded, see module doc).
     joined = hist.join((post.select(*HIST, F.col("mean").alias("post_mean"),
                                                F.col("std").alias("post_std"), "avg_w")),
                        HIST, "left")
@@ -165,34 +154,27 @@ def expected_proposals(cold_histograms: DataFrame, priors: DataFrame, accepts: i
 
 # ------------------------------------------------------------------ sampled posterior (R3, sampled form)
 
-_BUCKET_SUMS = T.StructType([T.StructField("b", T.LongType())] + [T.StructField(c, T.LongType()) for c in HIST]
-                            + [T.StructField("t", T.DoubleType())])
+_BUCKET_SUMS = ", ".join(["b int"] + [f"{c} bigint" for c in HIST] + ["t double"])
+_BUCKET_ARROW = pa.schema([("b", pa.int32())] + [(c, pa.int64()) for c in HIST] + [("t", pa.float64())])
 _DRAWN = T.StructType([T.StructField("item_id", T.IntegerType()), T.StructField("draw", T.IntegerType()),
                        T.StructField("prior_id", T.IntegerType())])
+#: Priors of a bucket; draws of one histogram or one bucket that share a task.
+BUCKET_ROWS, DRAW_ROWS = 1 << 14, 1 << 20
+
+
+def _bucket_cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Weight total of one bucket of priors for every histogram of the block."""
+    if not len(left) or not len(right):
+        return _BUCKET_ARROW.empty_table()
+    h, log_q = _columns(left, HIST), np.log(_columns(right, stats.PMF_COLS))
+    total = np.empty(len(h))
+    for rows, w in _weights(h, log_q):
+        total[rows] = w.sum(axis=1)
+    b = np.full(len(h), right.column("rb")[0].as_py())
+    return pa.table([pa.array(b, pa.int32())] + [left.column(c) for c in HIST] + [pa.array(total)], schema=_BUCKET_ARROW)
 
 
-def _bucket_sums_kernel(bc):
-    def run(batches):
-        h, const = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            log_q = np.log(pdf[stats.PMF_COLS].to_numpy(dtype=np.float64))
-            bks = pdf["b"].to_numpy()
-            for bk in np.unique(bks):
-                q = log_q[bks == bk].T
-                total = np.empty(len(h))
-                step = blocks.row_block(q.shape[1])  # bounds the weight matrix, whatever the batch
-                for lo in range(0, len(h), step):
-                    total[lo:lo + step] = np.exp(h[lo:lo + step] @ q + const[lo:lo + step, None]).sum(axis=1)
-                out = pd.DataFrame(h.astype(np.int64), columns=HIST)
-                out.insert(0, "b", np.int64(bk))
-                out["t"] = total
-                yield out
-    return run
-
-
-def _resolve_in_bucket(key, priors: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+def _resolve_in_bucket(priors: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
     """Inverse CDF inside one bucket (or one salt slice of it): priors sorted by id,
     one weight matrix for all histograms present, one ``searchsorted`` per histogram."""
     if len(draws) == 0 or len(priors) == 0:
@@ -206,78 +188,71 @@ def _resolve_in_bucket(key, priors: pd.DataFrame, draws: pd.DataFrame) -> pd.Dat
     pick = np.empty(len(draws), dtype=np.int64)
     order = np.argsort(inv, kind="stable")
     bounds = np.searchsorted(inv[order], np.arange(len(hists) + 1))
-    step = blocks.row_block(len(ids))
-    for lo in range(0, len(hists), step):
-        hi = min(len(hists), lo + step)
-        cum = np.cumsum(np.exp(hists[lo:hi] @ log_q.T + _alpha_const(hists[lo:hi])[:, None]), axis=1)
-        for j in range(lo, hi):
+    for some, w in _weights(hists, log_q):
+        cum = np.cumsum(w, axis=1)
+        for j in range(some.start, some.stop):
             rows = order[bounds[j]:bounds[j + 1]]
-            pick[rows] = np.minimum(np.searchsorted(cum[j - lo], t_local[rows], side="right"), len(ids) - 1)
+            pick[rows] = np.minimum(np.searchsorted(cum[j - some.start], t_local[rows], side="right"), len(ids) - 1)
     return pd.DataFrame({"item_id": draws["item_id"].to_numpy(), "draw": draws["draw"].to_numpy(),
                          "prior_id": ids[pick]})
 
 
+def prior_buckets(priors: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Priors with a bucket ``b`` of about ``rows`` of them, buckets ascending in ``prior_id``: cut at
+    quantiles, so clustered ids do not crowd one bucket. Written, so that the cut stays as it is."""
+    n = max(1, -(-priors.count() // rows))
+    cut = priors.select("prior_id", *stats.PMF_COLS).repartitionByRange(n, "prior_id").withColumn("b", F.spark_partition_id())
+    return blocks.written(cut, "prior-buckets"), n
+
+
 def posterior_sample(cold_items: DataFrame, priors: DataFrame, seed: int, accepts: int = ACCEPTS,
-                     buckets: int | None = None, max_draws_per_group: int = 2_000_000,
-                     priors_per_bucket: int = 50_000) -> DataFrame:
+                     max_draws_per_group: int = DRAW_ROWS, priors_per_bucket: int = BUCKET_ROWS) -> DataFrame:
     """R3, sampled: ``item_id, draw, prior_id`` with ``accepts`` draws per cold item from
     its posterior over priors (weights ``exp(alpha)``), by inverse CDF over priors in
     ``prior_id`` order with the hashed uniform ``u(seed, 'post', item_id, draw)``.
 
-    ``cold_items`` carries ``item_id, c1..c5``. Two stages keep every piece bounded:
-    priors get id-range buckets; the kernel gives each bucket's weight total per
-    distinct histogram; a draw picks its bucket from a per-histogram array of
-    cumulative totals (one entry per bucket); then, per bucket, a cogrouped pandas step
-    finds the prior. Draws of a bucket are salted into slices of at most
-    ``max_draws_per_group`` (the bucket's priors are copied to each slice), so one
-    dominant prior cannot pull every draw into one task."""
-    from ratinglab.functions.rng import hash_uniform
+    ``cold_items`` carries ``item_id, c1..c5``. Every piece is bounded:
+
+    1. priors get count-balanced buckets; the grid of histogram blocks x buckets gives each bucket's
+       weight total per distinct histogram;
+    2. a draw finds its bucket by an as-of lookup: draws (at ``u``) and the buckets' cumulative shares
+       of their histogram are sorted together, and each draw takes the last share before it. A
+       histogram's draws are salted into slices of ``max_draws_per_group`` (the shares are copied), so
+       a histogram that most items have is spread over tasks;
+    3. per bucket, a cogrouped step finds the prior; a bucket's draws are salted in the same way (its
+       priors are copied), so one dominant prior cannot pull every draw into one task."""
     spark = priors.sparkSession
     ship_package(spark)
-    sc = spark.sparkContext
-    q = priors.select("prior_id", *stats.PMF_COLS)
-    lo_hi = q.agg(F.min("prior_id").alias("lo"), F.max("prior_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if lo_hi["n"] == 0:
-        return spark.createDataFrame([], _DRAWN)
-    # buckets sized by prior count (the resolver blocks its weight matrix within a bucket)
-    nb = buckets or max(1, -(-lo_hi["n"] // priors_per_bucket))
-    width = max(1, -(-(lo_hi["hi"] - lo_hi["lo"] + 1) // nb))
-    qb = q.withColumn("b", F.floor((F.col("prior_id") - F.lit(lo_hi["lo"])) / F.lit(width)).cast("long"))
-    # stage 1: bucket totals per distinct histogram
-    distinct = cold_items.select(*HIST).distinct()
-    parts = []
-    for chunk in blocks.bounded_chunks(distinct, HIST, blocks.DEFAULT_MAX_ROWS):
-        if len(chunk) == 0:
-            continue
-        h = chunk[HIST].to_numpy(dtype=np.float64)
-        bc = sc.broadcast((h, _alpha_const(h)))
-        parts.append(qb.mapInPandas(_bucket_sums_kernel(bc), _BUCKET_SUMS))
-    if not parts:
-        return spark.createDataFrame([], _DRAWN)
-    tot = blocks.union_all(parts).groupBy("b", *HIST).agg(F.sum("t").alias("t"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*HIST).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("lo", F.coalesce(F.sum("t").over(w), F.lit(0.0)))
-    per_h = tot.groupBy(*HIST).agg(F.sort_array(F.collect_list(F.struct("b", "lo", "t"))).alias("cum"),
-                                   F.sum("t").alias("W"))
-    # stage 2: each draw picks its bucket
-    draws = cold_items.select("item_id", *HIST, F.explode(F.sequence(F.lit(1), F.lit(int(accepts)))).alias("draw"))
-    u = hash_uniform(seed, "post", "item_id", "draw")
-    d = draws.join(per_h, HIST).withColumn("target", u * F.col("W"))
-    pick = F.element_at(F.filter("cum", lambda x: (x["lo"] <= F.col("target")) & (x["t"] > 0)), -1)
-    d = d.select("item_id", "draw", *HIST, pick["b"].alias("b"), (F.col("target") - pick["lo"]).alias("t_local"))
-    # stage 3: salt crowded buckets, resolve the prior inside each (bucket, slice)
-    per_b = d.groupBy("b").agg(F.count(F.lit(1)).alias("nd"))
-    salts = per_b.select("b", F.greatest(F.lit(1), F.ceil(F.col("nd") / F.lit(max_draws_per_group)))
-                         .cast("int").alias("s"))
-    d = (d.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("item_id", "draw"), F.col("s")).cast("int"))
+    qb, n_b = prior_buckets(priors, priors_per_bucket)
+    items = cold_items.select("item_id", *HIST)
+    h = blocks.written(items.groupBy(*HIST).agg(F.count(F.lit(1)).alias("n_items")), "sampled-histograms")
+    n_h = blocks.block_count(spark, h.count(), HIST_ROWS, SMALL_HIST, n_b)
+    tot = blocks.grid(h.select(*HIST), qb, blocks.hashed(n_h, *HIST), F.col("b"), n_h, n_b, _bucket_cell, _BUCKET_SUMS)
+    w = Window.partitionBy(*HIST)
+    shares = tot.where("t > 0").select("*", F.sum("t").over(w).alias("total"), F.coalesce(
+        F.sum("t").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("lo"))
+    salts = h.select(*HIST, F.greatest(F.lit(1), F.ceil(F.col("n_items") * accepts / F.lit(max_draws_per_group))).cast("int").alias("salts"))
+    draws = (items.join(salts, HIST).select("*", F.explode(F.sequence(F.lit(1), F.lit(int(accepts)))).alias("draw"))
+             .select(*HIST, F.pmod(F.xxhash64("item_id", "draw"), F.col("salts")).cast("int").alias("salt"),
+                     hash_uniform(seed, "post", "item_id", "draw").alias("at"), F.lit(None).cast(
+                         "struct<b:int,lo:double,total:double>").alias("share"), "item_id", "draw"))
+    starts = shares.join(salts, HIST).select(
+        *HIST, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), (F.col("lo") / F.col("total")).alias("at"),
+        F.struct("b", "lo", "total").alias("share"), F.lit(None).cast("int").alias("item_id"), F.lit(None).cast("int").alias("draw"))
+    before = Window.partitionBy(*HIST, "salt").orderBy("at", F.col("draw").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    found = (starts.unionByName(draws).withColumn("share", F.last("share", ignorenulls=True).over(before))
+             .where("item_id IS NOT NULL AND share IS NOT NULL"))
+    d = blocks.written(found.select(
+        "item_id", "draw", *HIST, F.col("share.b").alias("b"),
+        F.greatest(F.col("at") * F.col("share.total") - F.col("share.lo"), F.lit(0.0)).alias("t_local")), "posterior-draws")
+    per_b = d.groupBy("b").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(max_draws_per_group))).cast("int").alias("salts"))
+    d = (d.join(per_b, "b")
+         .withColumn("salt", F.pmod(F.xxhash64("item_id", "draw"), F.col("salts")).cast("int"))
          .select("b", "salt", "item_id", "draw", *HIST, "t_local"))
-    qs = (qb.join(salts.select(F.col("b").alias("qb_b"), F.col("s").alias("qb_s")), F.col("b") == F.col("qb_b"))
-          .select("b", F.explode(F.sequence(F.lit(0), F.col("qb_s") - 1)).alias("salt"), "prior_id",
-                  *stats.PMF_COLS))
-    out = (qs.groupBy("b", "salt").cogroup(d.groupBy("b", "salt"))
-           .applyInPandas(lambda p_, d_: _resolve_in_bucket(None, p_, d_), _DRAWN))
-    return out
+    qs = qb.join(per_b.withColumnRenamed("b", "of"), F.col("b") == F.col("of")).select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "prior_id", *stats.PMF_COLS)
+    return qs.groupBy("b", "salt").cogroup(d.groupBy("b", "salt")).applyInPandas(_resolve_in_bucket, _DRAWN)
 
 
 def sampled_moments(samples: DataFrame, priors: DataFrame) -> DataFrame:

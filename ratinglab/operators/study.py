@@ -7,8 +7,7 @@ true mean and std from n draws (R2, R6, R7, F14, J8, A12, A13).
 * R6: a multinomial draw of size n is ``explode(sequence(1, n))`` with one hashed
   uniform per draw looked up in the cumulative pmf, then a count per bucket.
 * R3/R4: posterior moments and expected proposals per distinct sample histogram,
-  by the same bounded-histogram kernel as ``item_stats`` (a histogram of n draws has
-  at most ``C(n + 4, 4)`` values per size).
+  by the same grid of histogram blocks x prior blocks as ``item_stats``.
 
 The reference runs the sampler and keeps its NaN when nothing is accepted; the closed
 form is defined whenever some prior has non-zero weight.
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from ratinglab.functions.rng import hash_uniform
 from ratinglab.functions.scoring import (ACCEPTS, MAX_ITER, MIN_RATING, NOISE_SD, STUDY_SIZES, TRUSTED_MIN_STUDY,
                                          half_up)
-from ratinglab.operators import posterior, stats
+from ratinglab.operators import blocks, posterior, stats
 
 K = stats.BUCKETS
 
@@ -60,12 +59,12 @@ def study_errors(ratings: DataFrame, seed: int, trusted_min: int = TRUSTED_MIN_S
                  test_ratio: float = 0.1, accepts: int = ACCEPTS, max_iter: int = MAX_ITER,
                  noise_sd: float = NOISE_SD, min_rating: float = MIN_RATING) -> DataFrame:
     """R7 + F14: ``n, item_id, statistic, estimator, err, expected_proposals``."""
-    pmfs = study_pmfs(ratings, seed, trusted_min, test_ratio, noise_sd, min_rating).cache()
+    pmfs = blocks.written(study_pmfs(ratings, seed, trusted_min, test_ratio, noise_sd, min_rating), "study-pmfs")
     tests = pmfs.where(F.col("is_test"))
     priors = pmfs.where(~F.col("is_test")).select(
         F.col("item_id").alias("prior_id"), *stats.PMF_COLS,
         F.col("true_mean").alias("mean_q"), F.col("true_std").alias("std_q"))
-    counts = multinomial_counts(tests, sizes, seed)
+    counts = blocks.written(multinomial_counts(tests, sizes, seed), "study-counts")
     post = posterior.posterior_moments(counts, priors, accepts, max_iter)
     n = F.col("n").cast("double")
     sample_mean = sum((F.col(f"c{k}") * F.lit(k) for k in K[1:]), F.col("c1")).cast("double") / n

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratinglab.operators import als, normalize, posterior, recommend, kernel, similarity, splits, stats, study, users
+from ratinglab.operators import als, blocks, normalize, posterior, recommend, kernel, similarity, splits, stats, study, users
 from ratinglab.plans import params as P
 from ratinglab.session import scratch_path
 from ratinglab.sources import fixtures as fx
@@ -67,9 +67,7 @@ def stats_queries() -> dict[str, Query]:
 
 
 def q_posterior_moments(spark, sf):
-    hist = _hist(spark, sf).cache()
-    priors = posterior.priors_table(hist, P.TRUSTED_MIN)
-    cold = hist.where((F.col("n_raw") < P.SAMPLE_MIN) | (F.col("n_kept") == 0))
+    cold, priors = _cold_and_priors(spark, sf)
     pm = posterior.posterior_moments(cold, priors, P.ACCEPTS, P.MAX_ITER)
     return pm.select(*stats.COUNT_COLS, r6("mean").alias("mean"), r6("std").alias("std"),
                      r6("expected_proposals").alias("expected_proposals"), "n_q")
@@ -82,7 +80,7 @@ def q_item_stats(spark, sf):
 
 
 def _cold_and_priors(spark, sf):
-    hist = _hist(spark, sf).cache()
+    hist = blocks.written(_hist(spark, sf), "item-histogram")
     priors = posterior.priors_table(hist, P.TRUSTED_MIN)
     return hist.where((F.col("n_raw") < P.SAMPLE_MIN) | (F.col("n_kept") == 0)), priors
 
