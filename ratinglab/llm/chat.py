@@ -51,8 +51,8 @@ def format_conversations(df: DataFrame) -> DataFrame:
 
 
 def expand_turns(formatted: DataFrame) -> DataFrame:
-    """Read the formatted text back, one row per turn: conv_id, pos, role, text (unescaped),
-    piece_chars, and for assistant turns ``example`` (1, 2, ..), ``loss_start`` (offset of the
+    """Read the formatted text back, one row per turn: conv_id, pos, role, text (unescaped), the
+    turn's piece of the formatted text with its offset and length (closing mark included), and for assistant turns ``example`` (1, 2, ..), ``loss_start`` (offset of the
     reply, 0-based code points) and ``loss_chars`` in the escaped text. No shuffle: rows stay
     with their conversation."""
     pieces = F.split("formatted", CLOSE, -1)
@@ -60,13 +60,13 @@ def expand_turns(formatted: DataFrame) -> DataFrame:
     cut = F.locate(MID, F.col("piece"))
     rows = rows.select(
         "conv_id", "pos", unescape(F.col("piece").substr(F.lit(len(OPEN) + 1), cut - (len(OPEN) + 1))).alias("role"),
-        F.col("piece").substr(cut + len(MID), F.length("piece")).alias("body"),
+        "piece", F.col("piece").substr(cut + len(MID), F.length("piece")).alias("body"),
         (cut + len(MID) - 1).alias("head_chars"), (F.length("piece") + len(CLOSE)).cast("long").alias("piece_chars"))
     by = W.partitionBy("conv_id").orderBy("pos")
     before = F.coalesce(F.sum("piece_chars").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     hit = F.col("role") == TARGET_ROLE
     return rows.select(
-        "conv_id", "pos", "role", unescape(F.col("body")).alias("text"), "piece_chars",
+        "conv_id", "pos", "role", unescape(F.col("body")).alias("text"), before.alias("piece_start"), "piece", "piece_chars",
         F.when(hit, F.sum(hit.cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0))).alias("example"),
         F.when(hit, before + F.col("head_chars")).alias("loss_start"),
         F.when(hit, F.length("body").cast("long")).alias("loss_chars"))
@@ -86,15 +86,15 @@ def examples(formatted: DataFrame, with_text: bool = False) -> DataFrame:
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from the formatted output, per conversation; the replies are cut from it
     by the examples' loss masks."""
-    t = F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("t")
-    g = expand_turns(formatted).groupBy("conv_id").agg(t, F.sum("piece_chars").alias("formatted_chars"))
-    masks = examples(formatted).groupBy(F.col("conv_id").alias("_c")).agg(
-        F.sort_array(F.collect_list(F.struct("example", "loss_start", "loss_chars"))).alias("m"))
-    cut = lambda m: unescape(F.col("formatted").substr((m.loss_start + 1).cast("int"), m.loss_chars.cast("int")))
-    loss = formatted.join(masks, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(
-        F.col("conv_id").alias("_c"), F.coalesce(F.array_join(F.transform("m", cut), ""), F.lit("")).alias("loss"))
-    g = g.join(loss, F.col("conv_id").eqNullSafe(F.col("_c")))
-    g = g.select("conv_id", F.size("t").cast("long").alias("n_turns"), "formatted_chars", "loss",
+    turns = expand_turns(formatted)
+    # the mask counts from the start of the formatted text, the piece starts at piece_start
+    reply = unescape(F.col("piece").substr((F.col("loss_start") - F.col("piece_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
+    turns = turns.withColumn("loss", F.when(F.col("example").isNotNull(), F.struct("example", reply.alias("reply"))))
+    g = turns.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("t"), F.sort_array(F.collect_list("loss")).alias("m"),
+        F.sum("piece_chars").alias("formatted_chars"))
+    g = g.select("conv_id", F.size("t").cast("long").alias("n_turns"), "formatted_chars",
+                 F.array_join(F.transform("m", lambda x: x.reply), "").alias("loss"),
                  F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "").alias("turns"))
     return g.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
                     F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),

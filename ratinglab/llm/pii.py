@@ -32,11 +32,13 @@ _MARK, _ESC = "\u0001", "\u0002"
 _V4 = r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _G = "[0-9a-fA-F]{1,4}"  # a group of an IPv6 address
 #: A word of a name: Smith, O'Brien, McDonald, Smith-Jones.
-_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)*"
-_WORD = f"{_WORD}(?:-{_WORD})*"
+#: Loops over groups are possessive here and below (Java's others recurse, a step for every turn) and
+#: bounded: by the limits of host names, and for names by numbers that none reaches.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?+\p{Ll}{1,64}+(?:\p{Lu}\p{Ll}{1,64}+){0,4}+(?!\p{L})"
+_WORD = f"{_WORD}(?:-{_WORD}){{0,4}}+"
 #: Patterns of the entities, in order of precedence.
 TYPES = {
-    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{M}\p{N}-]++(?:\.[\p{L}\p{M}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]{1,256}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+){1,126}+",
     "ip": rf"(?<![\d.:]){_V4}(?!\d|\.\d)"
           rf"|(?<![\p{{L}}\p{{N}}:])(?:(?:{_G}:){{6}}|(?:{_G}(?::{_G}){{0,4}})?::(?:{_G}:){{0,5}}){_V4}(?!\d|\.\d)"
           rf"|(?<![\p{{L}}\p{{N}}:])(?:(?:{_G}:){{7}}{_G}|{_G}(?::{_G}){{0,6}}::(?:{_G}(?::{_G}){{0,6}})?|::{_G}(?::{_G}){{0,6}})(?![\p{{L}}\p{{N}}:])",
@@ -49,8 +51,8 @@ TYPES = {
     "secret": r"(?<=(?i:token|key|secret|passwd|password|pwd) {0,2}[=:] {0,2}[\"']?)[^\s\"']{8,}"
               r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})(?![\p{L}\p{N}])",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Monsieur|Madame|Mme|Mlle|Господин|Госпожа)\.? "
-            r"(?:(?:van|von|der|den|de|del|della|di|da|du|la|le|ten|ter|zu|bin|al) )*"
-            rf"(?:\p{{Lu}}\. )*{_WORD}(?: (?:(?:van|von|der|den|ten|ter|zu|bin) )*(?:\p{{Lu}}\. )*{_WORD}){{0,3}}(?!\p{{L}})",
+            r"(?:(?:van|von|der|den|de|del|della|di|da|du|la|le|ten|ter|zu|bin|al) ){0,6}+"
+            rf"(?:\p{{Lu}}\. ){{0,6}}+{_WORD}(?: (?:(?:van|von|der|den|ten|ter|zu|bin) ){{0,6}}+(?:\p{{Lu}}\. ){{0,6}}+{_WORD}){{0,3}}",
 }
 _ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 _HINT = r"[0-9@]|::|(?:AKIA|gh[pousr]_|sk-)|(?i:token|key|secret|pass|pwd)|(?:Mr|Ms|Miss|Herr|Frau|Señor|Sra|Monsieur|Madame|Mme|Mlle|Господин|Госпожа)"
@@ -254,7 +256,8 @@ def replace(docs: DataFrame, count: str | None = None) -> DataFrame:
     """docs with surrogates in ``text``; ``count`` names a column for the number of entities."""
     names = docs.columns
     keep = [c for c in names if c != count]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), _parts(F.col("text")).alias("_p"))
+    # written, so that texts are searched once
+    row = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), _parts(F.col("text")).alias("_p")), "pieces")
     out = lambda df, text, n: df.select(
         *[text.alias("text") if c == "text" else F.col(f"_row.`{c}`") for c in keep], *([n.cast("long").alias(count)] if count else []))
     clear = out(row.where("_p IS NULL"), F.col("_row.text"), F.lit(0))

@@ -84,7 +84,7 @@ def _measured(df: DataFrame) -> DataFrame:
     out = out.withColumn("_w", words(F.col("_t"))).withColumn("_s", F.array_join("_w", " "))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     left = lambda pattern: F.length(F.regexp_replace("_s", pattern, ""))
-    windows = F.regexp_extract_all("_s", F.lit(rf"(?=((?:[^ ]++ ){{{WINDOW - 1}}}[^ ]++))[^ ]++"), F.lit(1))
+    windows = F.regexp_extract_all("_s", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{WINDOW - 1}}}[^ ]++))[^ ]++"), F.lit(1))
     out = out.select(
         "_row", "_s", lines.alias("_l"), windows.alias("_g"), F.size("_w").cast("long").alias("n_words"),
         F.length("_s").alias("_len"), left(f"[{SYMBOLS}]+").alias("_no_symbols"), left("!+").alias("_no_bangs"),

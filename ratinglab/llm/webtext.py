@@ -17,6 +17,7 @@ empty result; a page of any length is read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
 
@@ -27,7 +28,10 @@ from ratinglab.session import ship_package
 
 WINDOW, SURGE = 3, 80
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:\s+(?:[^\s\"'>=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|/))*\s*/?|[^>]*)>", re.S)
+#: A comment, a declaration or a tag. No part can give back what it took, so time follows the length.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)"
+    r"((?:\s++(?:[^\s\"'>=/]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]*+))?+|/))*+\s*+/?+|[^>]*+)>", re.S)
 #: Element names.
 _RAW = frozenset("script style noscript template svg iframe textarea title object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,12 +43,19 @@ _DROP_ROLE = frozenset("navigation banner contentinfo complementary search form
 #: Elements whose class and id are read inside an article or main element; others' are anchors there.
 _CONTAINER = frozenset("div section ul ol dl table header details fieldset figure center".split())
 #: Words in class or id that mark boilerplate.
-_DROP_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|header|masthead|cookies?|consent|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|share|sharing|social|related|recommended|comments?|commentlist|disqus|respond|replies|widget|"
-    r"pagination|pager|toc|login|signup|search)(?:$|[\s_-])", re.I)
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_WORDS = (r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|"
+          r"footer|header|masthead|cookies?|consent|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|"
+          r"subscription|share|sharing|social|related|recommended|comments?|commentlist|disqus|respond|replies|widget|"
+          r"pagination|pager|toc|login|signup|search)")
+_DROP_WORD = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
+#: What else a compound class of boilerplate is made of ("share-buttons", "related-posts").
+_MORE = (r"(?:bar|box|block|buttons?|container|content|disclaimer|feed|form|group|icons?|inner|items?|left|links?|list|main|"
+         r"articles?|policy|posts?|outer|pages?|reader|right|section|slot|small|stories|story|thread|top|unit|user|wrap|wrapper)")
+#: A whole class inside an article: a boilerplate word, alone or with others of these two lists.
+_DROP_CLASS = re.compile(rf"(?:{_MORE}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_MORE}))*", re.I)
+#: Whole ids inside an article; other ids there are anchors of its sections.
+_DROP_ID = re.compile(r"comments?|commentlist|disqus(?:[_-]thread)?|respond|replies|sidebar|newsletter|breadcrumbs?", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _SPACES = re.compile(r"\s+")
 _RESUME = re.compile(r"<(?:article|main|h1)\b", re.I)
 
@@ -56,8 +67,12 @@ def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key in ("class", "id") and (not in_main or name in _CONTAINER) and _DROP_WORD.search(value):
-            return True
+        if key in ("class", "id"):
+            if not in_main:
+                if _DROP_WORD.search(value):
+                    return True
+            elif name in _CONTAINER and any((_DROP_CLASS if key == "class" else _DROP_ID).fullmatch(x) for x in value.split()):
+                return True
         if key == "role" and value.lower() in _DROP_ROLE:
             return True
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -67,17 +82,44 @@ def _boilerplate(name: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
-def _skip(page: str, name: str, at: int) -> int:
-    """End of the element that was opened before ``at``."""
-    depth = 1
-    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){re.escape(name)}\b[^>]*>", re.I | re.S).finditer(page, at):
-        if m[1] is None:
-            continue
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    m = _RESUME.search(page, at)
-    return m.start() if m else len(page)
+class _Page:
+    """A page, and where its elements end, found once for each element name."""
+
+    def __init__(self, page: str):
+        last = page.rfind(">") + 1
+        cut = page.find("<!--", last)  # a comment that no tag follows ends with the page
+        self.text = page[:cut] if cut >= 0 else page
+        self.last = last
+        self.ends: dict[str, dict[int, int]] = {}
+        self.resume: list[int] | None = None
+
+    def tag(self, at: int):
+        """The next comment or tag; behind the last ">" there is none."""
+        m = _TAG.search(self.text, at, self.last)
+        open_comment = m is not None and m[2] is None and m[0].startswith("<!--") and not m[0].endswith("-->")
+        return m, len(self.text) if open_comment else m.end() if m else 0
+
+    def raw_end(self, name: str, at: int) -> int:
+        close = re.compile(rf"</{name}\b[^>]*+>", re.I).search(self.text, at, self.last)
+        return close.end() if close else len(self.text)
+
+    def skip(self, name: str, start: int, at: int) -> int:
+        """End of the element whose tag is at ``start``; of an unclosed one, the next article, main
+        element or first heading."""
+        if name not in self.ends:
+            ends, opened = self.ends.setdefault(name, {}), []
+            tag = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){re.escape(name)}\b[^>]*+>", re.I | re.S)
+            for m in tag.finditer(self.text, 0, self.last):
+                if m[1] == "":
+                    opened.append(m.start())
+                elif m[1] and opened:
+                    ends[opened.pop()] = m.end()
+        if start in self.ends[name]:
+            return self.ends[name][start]
+        if self.resume is None:
+            self.resume = [m.start() for m in _RESUME.finditer(self.text)]
+        k = bisect.bisect_left(self.resume, at)
+        return self.resume[k] if k < len(self.resume) else len(self.text)
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
@@ -85,7 +127,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = articles = mains = links = 0
-    at = 0
+    source = _Page(page)
+    page, at = source.text, 0
 
     def end_line(blank: int = 0):
         nonlocal linked
@@ -104,12 +147,12 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             linked += len(text) if links else 0
 
     while True:
-        m = _TAG.search(page, at)
+        m, after = source.tag(at)
         if m is None:
             take(page[at:])
             break
         take(page[at:m.start()])
-        at = m.end()
+        at = after
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
@@ -124,8 +167,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 end_line()
             continue
         if name in _RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = source.raw_end(name, at)
         elif name in _VOID:
             if name in _BLOCK:
                 end_line()
@@ -135,7 +177,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             inline = name not in _BLOCK and name not in _DROP
             if not inline:
                 end_line(WINDOW)
-            at = _skip(page, name, at)
+            at = source.skip(name, m.start(), at)
         elif name == "a":
             links += 1
         elif name in ("article", "main"):
@@ -164,7 +206,7 @@ def main_text(page: str | None) -> str:
             surge = None
     place = max((lines[k][1] for r in runs for k in r), default=0)
     if place:
-        kept = [k for r in runs for k in r if lines[k][1] == place]
+        kept = [k for r in runs for k in r if lines[k][1] == place or lines[k][1] and 2 * lines[k][2] < len(lines[k][0])]
     else:
         chars = lambda r: sum(len(lines[k][0]) for k in r)
         prose = [r for r in runs if 2 * sum(lines[k][2] for k in r) < chars(r)]
