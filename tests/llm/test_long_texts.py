@@ -52,7 +52,7 @@ def test_quality_of_one_long_word(spark):
 
 PAGES = {
     "attributes": ("<a " + "b= " * 30000 + '">x</a><p>text</p>', "text"), "opened": ("a <b " * 100000, None), "marks": ("many <!- " * 20000, None),
-    "unclosed menus": ("<nav><h1>x" * 20000, None), "odd quotes": ('<a b="' * 30000, None), "scripts": ("</script " * 30000, ""),
+    "unclosed menus": ("<nav><h1>x" * 20000, None), "odd quotes": ('<a b="' * 30000, None), "scripts": ("</script " * 30000, None),
     "classes": ("<article><div class='" + "list-" * 20000 + "'>hi</div></article>", "hi"), "comment": ("<p>hello</p><!-- never <p>x</p>", "hello")}
 
 
