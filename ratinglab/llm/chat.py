@@ -85,11 +85,14 @@ def examples(formatted: DataFrame, with_text: bool = False) -> DataFrame:
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from the formatted output, per conversation; the replies are cut from it
-    by the examples' loss masks."""
+    by the examples' loss masks, each from its own turn's piece."""
+    masks = examples(formatted).select(F.col("conv_id").alias("_c"), F.col("context_turns").alias("_pos"), F.col("example").alias("_n"),
+                                       F.col("loss_start").alias("_start"), F.col("loss_chars").alias("_chars"))
     turns = expand_turns(formatted)
-    # the mask counts from the start of the formatted text, the piece starts at piece_start
-    reply = unescape(F.col("piece").substr((F.col("loss_start") - F.col("piece_start") + 1).cast("int"), F.col("loss_chars").cast("int")))
-    turns = turns.withColumn("loss", F.when(F.col("example").isNotNull(), F.struct("example", reply.alias("reply"))))
+    turns = turns.join(masks, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("pos") == F.col("_pos")), "left")
+    # a mask counts from the start of the formatted text, the piece starts at piece_start
+    reply = unescape(F.col("piece").substr((F.col("_start") - F.col("piece_start") + 1).cast("int"), F.col("_chars").cast("int")))
+    turns = turns.withColumn("loss", F.when(F.col("_n").isNotNull(), F.struct(F.col("_n").alias("n"), reply.alias("reply"))))
     g = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("t"), F.sort_array(F.collect_list("loss")).alias("m"),
         F.sum("piece_chars").alias("formatted_chars"))
