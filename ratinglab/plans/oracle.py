@@ -185,6 +185,49 @@ def _gram_cte(rank: int) -> str:
             "CASE WHEN std = 0 THEN rating - mean ELSE (rating - mean) / std END AS z FROM rwv) GROUP BY user_id")
 
 
+def _cholesky_ctes(prev: str, rank: int, tag: str) -> tuple[list[tuple[str, str]], str]:
+    """Unrolled Cholesky solve: ``prev`` has m_i_j (upper triangle) and r_i; the last CTE, whose name is
+    returned too, adds x_i."""
+    ctes = []
+
+    def mm(i, j):
+        return f"m_{min(i, j)}_{max(i, j)}"
+    for j in range(rank):
+        diag = f"sqrt({mm(j, j)}" + "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j)) + ")"
+        ctes.append((f"chd{tag}{j}", f"SELECT *, {diag} AS l_{j}_{j} FROM {prev}"))
+        prev = f"chd{tag}{j}"
+        if j + 1 < rank:
+            cols = ", ".join(
+                f"({mm(i, j)}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j)) + f") / l_{j}_{j} AS l_{i}_{j}"
+                for i in range(j + 1, rank))
+            ctes.append((f"chl{tag}{j}", f"SELECT *, {cols} FROM {prev}"))
+            prev = f"chl{tag}{j}"
+    for i in range(rank):
+        e = f"(r_{i}" + "".join(f" - l_{i}_{k} * y_{k}" for k in range(i)) + f") / l_{i}_{i}"
+        ctes.append((f"fw{tag}{i}", f"SELECT *, {e} AS y_{i} FROM {prev}"))
+        prev = f"fw{tag}{i}"
+    for i in reversed(range(rank)):
+        e = f"(y_{i}" + "".join(f" - l_{k}_{i} * x_{k}" for k in range(i + 1, rank)) + f") / l_{i}_{i}"
+        ctes.append((f"bk{tag}{i}", f"SELECT *, {e} AS x_{i} FROM {prev}"))
+        prev = f"bk{tag}{i}"
+    return ctes, prev
+
+
+def _sweep_ctes(rank: int, reg: float, sweeps: int, seed: int) -> list[tuple[str, str]]:
+    """Alternating half-sweeps, each a group of normal equations and its unrolled solution."""
+    start = ", ".join(f"{sql_hash_uniform(seed, f'als{j}', 'item_id')} AS x_{j}" for j in range(rank))
+    ctes, prev = [("als0", f"SELECT item_id AS id, {start} FROM (SELECT DISTINCT item_id FROM ratings)")], "als0"
+    for k in range(2 * sweeps):
+        key, other = ("user_id", "item_id") if k % 2 == 0 else ("item_id", "user_id")
+        m = [f"sum(x_{i} * x_{j})" + (f" + {reg!r} * count(*)" if i == j else "") + f" AS m_{i}_{j}" for i in range(rank) for j in range(i, rank)]
+        r = [f"sum(x_{i} * rating) AS r_{i}" for i in range(rank)]
+        ctes.append((f"eq{k}", f"SELECT r.{key} AS id, {', '.join(m + r)} FROM ratings r JOIN {prev} f ON f.id = r.{other} GROUP BY r.{key}"))
+        solved, last = _cholesky_ctes(f"eq{k}", rank, f"{k}_")
+        prev = f"als{k + 1}"
+        ctes += solved + [(prev, f"SELECT id, {', '.join(f'x_{i}' for i in range(rank))} FROM {last}")]
+    return ctes
+
+
 def _ridge_ctes(rank: int, reg: float) -> list[tuple[str, str]]:
     """Unrolled Cholesky solve of (X'X/n + reg/sd_y diag(var_x)) beta = X'y/n per user."""
     m = []
@@ -200,28 +243,8 @@ def _ridge_ctes(rank: int, reg: float) -> list[tuple[str, str]]:
             ("sys1", "SELECT *, sqrt(CASE WHEN degenerate THEN 1.0 ELSE syy / n - (sy / n) * (sy / n) END) AS sd_y "
                      "FROM sys0"),
             ("sys2", f"SELECT user_id, degenerate, {', '.join(m + rhs)} FROM sys1")]
-    prev = "sys2"
-
-    def mm(i, j):
-        return f"m_{min(i, j)}_{max(i, j)}"
-    for j in range(rank):
-        diag = f"sqrt({mm(j, j)}" + "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j)) + ")"
-        ctes.append((f"chd{j}", f"SELECT *, {diag} AS l_{j}_{j} FROM {prev}"))
-        prev = f"chd{j}"
-        if j + 1 < rank:
-            cols = ", ".join(
-                f"({mm(i, j)}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j)) + f") / l_{j}_{j} AS l_{i}_{j}"
-                for i in range(j + 1, rank))
-            ctes.append((f"chl{j}", f"SELECT *, {cols} FROM {prev}"))
-            prev = f"chl{j}"
-    for i in range(rank):
-        e = f"(r_{i}" + "".join(f" - l_{i}_{k} * y_{k}" for k in range(i)) + f") / l_{i}_{i}"
-        ctes.append((f"fw{i}", f"SELECT *, {e} AS y_{i} FROM {prev}"))
-        prev = f"fw{i}"
-    for i in reversed(range(rank)):
-        e = f"(y_{i}" + "".join(f" - l_{k}_{i} * x_{k}" for k in range(i + 1, rank)) + f") / l_{i}_{i}"
-        ctes.append((f"bk{i}", f"SELECT *, {e} AS x_{i} FROM {prev}"))
-        prev = f"bk{i}"
+    solved, prev = _cholesky_ctes("sys2", rank, "")
+    ctes += solved
     us = ", ".join(f"CASE WHEN degenerate THEN 0.0 ELSE x_{i} END AS u{i}" for i in range(rank))
     ctes.append(("uvec", f"SELECT user_id, degenerate, {us} FROM {prev}"))
     return ctes
@@ -324,6 +347,9 @@ def vectors_sql() -> dict[str, str]:
         f"round(pdf_sum, {R6}) AS pdf_sum FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) "
         "AS INTEGER) AS rank, count(*) OVER (PARTITION BY user_id) AS n_candidates, count(*) FILTER (pdf = 0) OVER (PARTITION BY user_id) "
         f"AS n_zero, sum(pdf) OVER (PARTITION BY user_id) AS pdf_sum FROM sc) WHERE rank <= {P.N_PICKS}")
+    xs = "[" + ", ".join(f"round(x_{i}, {R6})" for i in range(rank)) + "] AS factors"
+    q["als_sweep"] = _with(*BASE, *_sweep_ctes(rank, P.ALS_REG, P.ALS_SWEEPS, P.SEED)) + (
+        f"SELECT 'user' AS side, id, {xs} FROM als{2 * P.ALS_SWEEPS - 1} UNION ALL SELECT 'item' AS side, id, {xs} FROM als{2 * P.ALS_SWEEPS}")
     q["missing_users"] = _with(*whole) + (
         "SELECT DISTINCT CAST(c_custkey AS INTEGER) AS user_id FROM customer "
         "WHERE CAST(c_custkey AS INTEGER) NOT IN (SELECT user_id FROM rwv)")

@@ -23,6 +23,9 @@ RIDGE_REG = 0.2
 KDE_CUTOFFS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
 EM_STEPS = 100
 ALS_BLOCKS = 8  # a constant: the block count changes the result
+ALS_ITERATIONS = 25
+ALS_REG = 0.1
+ALS_SWEEPS = 2
 CUTOFF = 0.4
 LSH_TABLES = 40
 LSH_WIDTH = 2.5

@@ -234,7 +234,7 @@ def _q_als(mode):
         if mode == "normalized":
             st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD,
                                       P.MIN_RATING)
-        runs, _ = als.als_runs(r, mode=mode, rank=P.RANK, max_iter=25, runs=1, seed=P.SEED,
+        runs, _ = als.als_runs(r, mode=mode, rank=P.RANK, max_iter=P.ALS_ITERATIONS, runs=1, seed=P.SEED,
                                train_ratio=P.TRAIN_RATIO, item_stats=st,
                                num_blocks=P.ALS_BLOCKS)
         return runs
@@ -243,7 +243,7 @@ def _q_als(mode):
 
 def q_als_cold_start(spark, sf):
     """Scored test rows of two runs: those whose user and item are in the run's training rows."""
-    runs, _ = als.als_runs(fx.ratings(spark, sf).cache(), mode="plain", rank=P.RANK, max_iter=2, runs=2, seed=P.SEED,
+    runs, _ = als.als_runs(fx.ratings(spark, sf).cache(), mode="plain", rank=P.RANK, max_iter=P.ALS_ITERATIONS, runs=2, seed=P.SEED,
                            train_ratio=P.TRAIN_RATIO, num_blocks=P.ALS_BLOCKS)
     return runs.select("run", "n_test", "n_scored")
 
@@ -252,11 +252,20 @@ def q_als_model_table(spark, sf):
     """The trained model table: every training item with its statistics and vector length."""
     r = fx.ratings(spark, sf).cache()
     st = posterior.item_stats(r, P.SEED, P.TRUSTED_MIN, P.SAMPLE_MIN, P.ACCEPTS, P.MAX_ITER, P.NOISE_SD, P.MIN_RATING)
-    _, model = als.als_runs(r, mode="normalized", rank=P.RANK, max_iter=2, runs=1, seed=P.SEED,
+    _, model = als.als_runs(r, mode="normalized", rank=P.RANK, max_iter=P.ALS_ITERATIONS, runs=1, seed=P.SEED,
                             train_ratio=P.TRAIN_RATIO, item_stats=st, num_blocks=P.ALS_BLOCKS)
     return model.select("item_id", F.size("item_vector").alias("n_components"), r6("mean").alias("mean"), r6("std").alias("std"))
 
 
+def q_als_sweep(spark, sf):
+    """User and item factors after two full sweeps from hashed start factors."""
+    users_, items_ = als.als_sweeps(fx.ratings(spark, sf), P.RANK, P.ALS_REG, P.ALS_SWEEPS, P.SEED)
+
+    def side(df, name):
+        return df.select(F.lit(name).alias("side"), "id", F.array(*[r6(f"x{i}") for i in range(P.RANK)]).alias("factors"))
+    return side(users_, "user").unionByName(side(items_, "item"))
+
+
 def vector_queries() -> dict[str, Query]:
     return {
         "ratings_with_vectors": q_ratings_with_vectors,
@@ -276,6 +285,7 @@ def vector_queries() -> dict[str, Query]:
         "zscore_mse": q_zscore_mse,
         "als_plain": _q_als("plain"),
         "als_normalized": _q_als("normalized"),
+        "als_sweep": q_als_sweep,
         "als_cold_start": q_als_cold_start,
         "als_model_table": q_als_model_table,
     }

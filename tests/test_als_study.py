@@ -1,7 +1,8 @@
+import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from rating_rows import SF001
+from rating_rows import SF001, ratings_df
 from ratinglab.operators import als, study
 from ratinglab.sources import fixtures as fx
 
@@ -44,3 +45,43 @@ def test_posterior_beats_sample_mean_on_small_n(spark):
     mse = {(x["n"], x["statistic"], x["estimator"]): x["mse"]
            for x in study.study_mse(study.study_errors(r, 42, trusted_min=20, sizes=(5,), test_ratio=0.3)).collect()}
     assert mse[(5, "mean", "posterior")] < mse[(5, "mean", "sample")]
+
+
+def _hashed(seed, j, i):
+    return (int(hashlib.md5(f"{seed}|als{j}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0 ** 52
+
+
+def test_als_sweeps_equal_dense_solutions(spark):
+    """One user rates everything, one item has one rating; factors equal numpy's, the loss never rises."""
+    rng = np.random.default_rng(2)
+    rows = [(1, i, float(rng.integers(1, 11)) / 2) for i in range(40)]
+    rows += [(u, int(i), float(rng.integers(1, 11)) / 2) for u in range(2, 15) for i in rng.choice(40, 6, replace=False)]
+    rows.append((15, 99, 4.0))
+    df = ratings_df(spark, rows)
+    rank, reg = 3, 0.1
+    items = {i: np.array([_hashed(7, j, i) for j in range(rank)]) for i in {r[1] for r in rows}}
+
+    def half(by, fixed, other):
+        out = {}
+        for k in {r[by] for r in rows}:
+            x = np.stack([fixed[r[other]] for r in rows if r[by] == k])
+            y = np.array([r[2] for r in rows if r[by] == k])
+            out[k] = np.linalg.solve(x.T @ x + reg * len(y) * np.eye(rank), x.T @ y)
+        return out
+    losses = []
+    for sweeps in (1, 2, 3):
+        users = half(0, items, 1)
+        items = half(1, users, 0)
+        u, v = als.als_sweeps(df, rank, reg, sweeps, 7)
+        for frame, want in ((u, users), (v, items)):
+            got = {r["id"]: np.array([r[f"x{i}"] for i in range(rank)]) for r in frame.collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+        row = als.sweep_objective(df, u, v, rank, reg).first()
+        assert row.n == len(rows)
+        losses.append(row.loss)
+    assert losses[0] >= losses[1] >= losses[2]
+
+
+def test_als_sweeps_of_no_ratings(spark):
+    u, v = als.als_sweeps(ratings_df(spark, []), 3, 0.1, 1, 7)
+    assert u.collect() == [] and v.collect() == []
