@@ -235,7 +235,7 @@ class _Join:
         posting = self.nodes.select("id", "n", F.posexplode("prefix").alias("r", "h"))
         tile = posting.groupBy("h").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1")
         self.tiles = written(posting.join(tile, "h"), "tiles")
-        self.links: DataFrame | None = None
+        self.member: DataFrame | None = None  # id, comp of the nodes linked so far
 
     def near_size(self, a: str = "nx", b: str = "ny"):
         return 100 * F.least(a, b) >= SIMILARITY * F.greatest(a, b)
@@ -249,9 +249,11 @@ class _Join:
     def side(self, name: str, t: DataFrame, value: str) -> DataFrame:
         return t.select(F.col("id").alias(name), F.col(value).alias("b" + name))
 
-    def exact(self, may: DataFrame) -> DataFrame:
-        """The linked ones of the pairs x, y."""
+    def exact(self, may: DataFrame) -> DataFrame | None:
+        """The linked ones of the pairs x, y (None if there are no pairs)."""
         may = written(may, "pairs")
+        if not may.count():
+            return None
         full = self.full_sets(may.select(F.col("x").alias("id")).union(may.select("y")).distinct())
         both = may.join(self.side("x", full, "hashes"), "x").join(self.side("y", full, "hashes"), "y")
         return written(both.select("x", "y", "bx", "by").mapInArrow(_exact, "x bigint, y bigint"), "links")
@@ -264,10 +266,25 @@ class _Join:
         return written(full.groupBy("id").agg(F.first("hashes").alias("hashes")), "hashes")
 
     def add(self, may: DataFrame) -> None:
-        """Test pairs x, y and join what is linked."""
+        """Test pairs x, y and join what is linked. New links are contracted to links between the
+        components so far; only those are joined."""
         new = self.exact(may)
-        self.links = new if self.links is None else self.links.unionByName(new)
-        self.member = connected(self.links)
+        if new is None:
+            if self.member is None:
+                self.member = self.spark.createDataFrame([], "id bigint, comp bigint")
+            return
+        if self.member is None:
+            self.member = connected(new)
+            return
+        of = lambda name: self.member.select(F.col("id").alias(name), F.col("comp").alias("c" + name))
+        between = new.join(of("x"), "x", "left").join(of("y"), "y", "left").select(
+            F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y")
+        moved = connected(between)
+        if not moved.count():
+            return
+        grown = self.member.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+        fresh = moved.join(self.member.select("id"), "id", "left_anti")
+        self.member = written(grown.select("id", F.coalesce("to", "comp").alias("comp")).unionByName(fresh), "member")
 
     def open_rows(self, tiles: DataFrame) -> DataFrame:
         """Rows of the tiles that span several components, with the component."""
@@ -340,12 +357,19 @@ class _Join:
         return cell.groupBy("h", "lo", "hi").applyInArrow(_compare, "x bigint, y bigint")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u."""
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("k").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+    return not ends.where("low > 1 OR low = 1 AND top = 1").count()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """id, comp (smallest id) of every node of the links x, y: neighbourhoods are joined to their
-    smallest node, larger and smaller neighbours in turn, until nothing changes."""
+    smallest node, larger and smaller neighbours in turn, until all are stars."""
     edges = written(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while edges.count() and not _stars(edges):
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -354,10 +378,6 @@ def connected(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select("u", "v", "m")
         edges = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                         .union(low.select("u", "m").toDF("u", "v")).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == before:
-            break
-        before = now
     member = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return written(member.union(member.select("comp", "comp")).distinct(), "member")
 
