@@ -6,52 +6,18 @@ block number by a hash of their key, each block is copied to the blocks of the o
 and one cogrouped Arrow step per (block, block) multiplies the two as matrices, emitting only
 partial sums or a partial top-N, which ordinary ``groupBy``/window operators finish. A task
 holds one block of each side whatever the data size, and nothing passes through the driver
-but row counts. ``bounded_chunks`` is for sides with a known bound (top users' vectors).
+but row counts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratinglab.session import scratch_path
 
-DEFAULT_MAX_ROWS = 2_000_000
-
-
-def max_rows_for(row_bytes: int, budget_bytes: int = 256 << 20) -> int:
-    return max(1, budget_bytes // max(1, row_bytes))
-
-
-def bounded_chunks(df: DataFrame, key_cols: list[str], max_rows: int) -> list[pd.DataFrame]:
-    """Collect ``df`` in chunks of at most about ``max_rows`` rows each.
-
-    One bounded probe first (``limit(max_rows + 1)``): if it fits, that is the only
-    chunk and the only job. Otherwise rows are assigned to ``ceil(n / max_rows)``
-    chunks by a hash of ``key_cols`` (every row lands in exactly one chunk) and each
-    chunk is collected separately.
-    """
-    probe = df.limit(max_rows + 1).toPandas()
-    if len(probe) <= max_rows:
-        return [probe]
-    n = df.count()
-    k = math.ceil(n / max_rows)
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(k))
-    tagged = df.withColumn("_chunk", bucket)
-    return [tagged.where(F.col("_chunk") == i).drop("_chunk").toPandas() for i in range(k)]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def row_block(n_other: int, target_cells: int = 1 << 22) -> int:
     """Rows per block so that a block times ``n_other`` stays near ``target_cells``."""
     return max(1, target_cells // max(1, n_other))
@@ -77,15 +43,15 @@ def block_count(spark: SparkSession, n: int, size: int, least: int, others: int
 
 
 def grid(left: DataFrame, right: DataFrame, left_block: Column, right_block: Column, n_left: int, n_right: int,
-         cell: Callable, schema) -> DataFrame:
-    """``cell(left rows, right rows)`` on Arrow tables for every pair of blocks. The columns
-    ``lb`` and ``rb`` hold the block numbers on both sides."""
+         cell: Callable, schema, only: str = "true") -> DataFrame:
+    """``cell(left rows, right rows)`` on Arrow tables for every pair of blocks where ``only`` holds. The
+    columns ``lb`` and ``rb`` hold the block numbers on both sides."""
     n = min(n_left * n_right, MAX_PARTITIONS)
 
     def every(k):
         return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = left.select("*", left_block.cast("int").alias("lb"), every(n_right).alias("rb")).repartition(n, "lb", "rb")
-    b = right.select("*", right_block.cast("int").alias("rb"), every(n_left).alias("lb")).repartition(n, "lb", "rb")
+    a = left.select("*", left_block.cast("int").alias("lb"), every(n_right).alias("rb")).where(only).repartition(n, "lb", "rb")
+    b = right.select("*", right_block.cast("int").alias("rb"), every(n_left).alias("lb")).where(only).repartition(n, "lb", "rb")
     return a.groupBy("lb", "rb").cogroup(b.groupBy("lb", "rb")).applyInArrow(cell, schema)
 
 

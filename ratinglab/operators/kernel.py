@@ -5,12 +5,12 @@
 * ``kde_split``: users split 4/5 (fit) and 1/5 (test) by a seeded hash. Within a fit
   user, a seeded shuffle puts 9/10 of the vectors in the reference set and holds out the
   rest; within a test user the first 4/5 in order are the reference set.
-* ``kde_values``: for every held-out vector y of user u and every polynomial row k,
+* ``kde_arrays``: for every held-out vector y of user u, the array over polynomial rows k of
   ``mean over u's reference vectors x of [dot(x, y) > c_k] * poly_k(dot)``.
-  This is the within-user pairwise step. It is not a self-join emitting every pair:
-  the reference vectors (top users only, each bounded by the item table) are the
-  size-checked broadcast side, the held-out vectors stream through a block kernel,
-  and only one value per (held-out vector, row) leaves the task.
+  This is the within-user pairwise step. It is not a self-join emitting every pair: a user's
+  held-out and reference vectors are cut into blocks, one cogrouped step per (user, held block,
+  reference block) returns one array of sums per held-out vector, and a user's arrays over several
+  reference blocks are added element by element.
 * ``kde_nll``: mean over test users of the mean ``-ln(max(1e-10, f))``.
 * ``fit_kernel`` (re-aimed): the reference solves a cone program on one machine; here a
   kernel is a mixture of monotone Bernstein tail bases, each normalised to unit mass on
@@ -23,13 +23,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ratinglab.functions.rng import hash_uniform
-from ratinglab.operators import blocks, similarity
+from ratinglab.operators import blocks, similarity, splits
 from ratinglab.session import ship_package
 
 FLOOR = 1e-10
@@ -56,13 +55,8 @@ def vector_sets(ratings: DataFrame, item_vectors: DataFrame, n_users: int) -> Da
 
 def kde_split(sets: DataFrame, seed: int) -> DataFrame:
     """Adds ``is_fit_user`` and ``is_ref`` (reference vector vs. held-out vector)."""
-    users = sets.select("user_id").distinct()
-    # one row per top user (a bounded top-k set), so a global order is cheap
-    wu = Window.orderBy(hash_uniform(seed, "kuser", "user_id"), F.col("user_id"))
-    users = (users.withColumn("_r", F.row_number().over(wu))
-             .withColumn("_u", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-             .select("user_id", (F.col("_r") <= F.floor(F.col("_u") * 4 / 5)).alias("is_fit_user")))
-    s = sets.join(F.broadcast(users), "user_id")
+    users, n_users = splits.ranked(sets.select("user_id").distinct(), hash_uniform(seed, "kuser", "user_id"), F.col("user_id"))
+    s = sets.join(users.select("user_id", (F.col("rank") <= n_users * 4 // 5).alias("is_fit_user")), "user_id")
     shuffled = Window.partitionBy("user_id").orderBy(hash_uniform(seed, "kfit", "user_id", "item_id"), "item_id")
     n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
     s = s.withColumn("_spos", F.row_number().over(shuffled)).withColumn("_n", n)
@@ -73,85 +67,68 @@ def kde_split(sets: DataFrame, seed: int) -> DataFrame:
 
 # ------------------------------------------------------------------ pairwise kernel values
 
-def _values_kernel(bc, coeffs: np.ndarray, cutoffs: np.ndarray, shifts: np.ndarray, scales: np.ndarray,
-                   cap: bool, strict: bool):
-    k_rows = len(cutoffs)
-
-    def run(batches):
-        ref = bc.value  # user_id -> matrix of reference unit vectors
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            out_u, out_i, out_v = [], [], []
-            for uid, grp in pdf.groupby("user_id", sort=False):
-                x = ref.get(int(uid))
-                held = np.stack(grp["unit_vector"].to_numpy()).astype(np.float64)
-                vals = np.full((len(grp), k_rows), np.nan)
-                if x is not None and len(x):
-                    acc = np.zeros((len(grp), k_rows))
-                    step = blocks.row_block(len(grp))
-                    for lo in range(0, len(x), step):
-                        d = held @ x[lo:lo + step].T
-                        t = np.minimum(d, 1.0) if cap else d
-                        for k in range(k_rows):
-                            keep = d > cutoffs[k] if strict else d >= cutoffs[k]
-                            z = (t - shifts[k]) / scales[k]
-                            p = np.full_like(z, coeffs[k, -1])
-                            for c in coeffs[k, -2::-1]:
-                                p = p * z + c
-                            acc[:, k] += np.where(keep, p, 0.0).sum(axis=1)
-                    vals = acc / len(x)
-                out_u.append(np.full(len(grp), uid))
-                out_i.append(grp["item_id"].to_numpy())
-                out_v.append(vals)
-            u = np.concatenate(out_u)
-            i = np.concatenate(out_i)
-            v = np.vstack(out_v)
-            yield pd.DataFrame({"user_id": np.repeat(u, k_rows).astype(np.int64),
-                                "item_id": np.repeat(i, k_rows).astype(np.int32),
-                                "row": np.tile(np.arange(k_rows), len(u)).astype(np.int32),
-                                "value": v.reshape(-1),
-                                "value_nan": np.isnan(v.reshape(-1))})
+#: Vectors of a user's held-out block and of a reference block.
+HELD_ROWS, REF_ROWS = 1 << 12, 1 << 13
+_ARRAYS = pa.schema([("user_id", pa.int64()), ("item_id", pa.int32()), ("n_ref", pa.int64()), ("sums", pa.list_(pa.float64()))])
+
+
+def _arrays_cell(coeffs: np.ndarray, cutoffs: np.ndarray, shifts: np.ndarray, scales: np.ndarray, cap: bool, strict: bool):
+    def run(held: pa.Table, ref: pa.Table) -> pa.Table:
+        if not len(held):
+            return _ARRAYS.empty_table()
+        flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        sums = np.zeros((len(held), len(cutoffs)))
+        if len(ref):
+            x, y = flat(ref.sort_by("ref_item"), "ref_vector"), flat(held, "unit_vector")
+            step = blocks.row_block(len(y), 1 << 18)
+            for lo in range(0, len(x), step):
+                d = y @ x[lo:lo + step].T
+                t = np.minimum(d, 1.0) if cap else d
+                for k in range(len(cutoffs)):
+                    z = (t - shifts[k]) / scales[k]
+                    p = np.full_like(z, coeffs[k, -1])
+                    for c in coeffs[k, -2::-1]:
+                        p *= z
+                        p += c
+                    sums[:, k] += np.where(d > cutoffs[k] if strict else d >= cutoffs[k], p, 0.0).sum(axis=1)
+        return pa.table([held.column("user_id").cast(pa.int64()), held.column("item_id"), pa.array(np.full(len(held), len(ref))),
+                         pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), len(cutoffs)).cast(pa.list_(pa.float64()))],
+                        schema=_ARRAYS)
     return run
 
 
-_VALUES = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("item_id", T.IntegerType()),
-                        T.StructField("row", T.IntegerType()), T.StructField("value", T.DoubleType()),
-                        T.StructField("value_nan", T.BooleanType())])
-
-
-def kde_values(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap: bool = True,
-               strict: bool = True, budget_bytes: int = 256 << 20) -> DataFrame:
-    """J12 + A15: ``user_id, item_id (held out), row, value`` where ``value`` is the mean
-    over the user's reference vectors of ``[dot > cutoff] * poly((t - shift) / scale)``,
+def kde_arrays(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap: bool = True, strict: bool = True) -> DataFrame:
+    """J12 + A15: ``user_id, item_id (held out), values`` where element k of ``values`` is the mean
+    over the user's reference vectors of ``[dot > cutoff] * poly((t - shift) / scale)`` of row k,
     ``t = min(dot, 1)`` when ``cap``. NULL when the user has no reference vector."""
     coeffs = np.atleast_2d(np.asarray(coeffs, dtype=np.float64))
     cutoffs = np.asarray(cutoffs, dtype=np.float64)
     shifts = np.zeros(len(cutoffs)) if shifts is None else np.asarray(shifts, dtype=np.float64)
     scales = np.ones(len(cutoffs)) if scales is None else np.asarray(scales, dtype=np.float64)
-    spark = split.sparkSession
-    ship_package(spark)
-    ref = split.where(F.col("is_ref")).select("user_id", "unit_vector")
-    held = split.where(~F.col("is_ref")).select("user_id", "item_id", "unit_vector")
-    # one bounded probe; count and split into user-hash chunks only when over budget
-    most = max(1, budget_bytes // (16 * 8 + 32))
-    probe = ref.limit(most + 1).toPandas()
-    rank = len(probe["unit_vector"].iloc[0]) if len(probe) else 1
-    row_bytes = rank * 8 + 32
-    k = 1 if len(probe) * row_bytes <= budget_bytes and len(probe) <= most else \
-        max(1, -(-(ref.count() * row_bytes) // budget_bytes))
-    parts = []
-    for i in range(k):
-        bucket = F.pmod(F.xxhash64("user_id"), F.lit(k))
-        r_pd = probe if k == 1 else ref.where(bucket == i).toPandas()
-        mats = {int(u): np.stack(g["unit_vector"].to_numpy()).astype(np.float64) for u, g in r_pd.groupby("user_id")}
-        bc = spark.sparkContext.broadcast(mats)
-        h = held if k == 1 else held.where(bucket == i)
-        parts.append(h.mapInPandas(
-            _values_kernel(bc, coeffs, cutoffs, shifts, scales, cap, strict), _VALUES))
-    out = blocks.union_all(parts)
-    return out.select(F.col("user_id").cast(split.schema["user_id"].dataType).alias("user_id"), "item_id", "row",
-                      F.when(F.col("value_nan"), F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"))
+    ship_package(split.sparkSession)
+    count = lambda c, rows: F.greatest(F.lit(1), F.ceil(F.count(F.when(c, 1)) / F.lit(rows))).cast("int")
+    cuts = split.groupBy("user_id").agg(count(~F.col("is_ref"), HELD_ROWS).alias("hbs"), count(F.col("is_ref"), REF_ROWS).alias("rbs"))
+    rows = split.select("user_id", "item_id", "unit_vector", "is_ref").join(cuts, "user_id")
+
+    def side(df, mine, n_mine, other, n_other):
+        return df.select("user_id", "item_id", "unit_vector", F.pmod(F.xxhash64("item_id"), F.col(n_mine)).cast("int").alias(mine),
+                         F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)).alias(other))
+    held = side(rows.where(~F.col("is_ref")), "hb", "hbs", "rb", "rbs")
+    ref = side(rows.where(F.col("is_ref")), "rb", "rbs", "hb", "hbs").toDF("ref_user", "ref_item", "ref_vector", "ref_rb", "ref_hb")
+    parts = held.groupBy("user_id", "hb", "rb").cogroup(ref.groupBy("ref_user", "ref_hb", "ref_rb")).applyInArrow(
+        _arrays_cell(coeffs, cutoffs, shifts, scales, cap, strict), "user_id bigint, item_id int, n_ref bigint, sums array<double>")
+    add = lambda a, b: F.zip_with(a, b, lambda p, q: p + q)
+    whole = parts.groupBy("user_id", "item_id").agg(F.sum("n_ref").alias("n"), F.collect_list("sums").alias("s")).select(
+        "user_id", "item_id", "n", F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(1))), F.get("s", F.lit(0)), add).alias("s"))
+    return whole.select(F.col("user_id").cast(split.schema["user_id"].dataType).alias("user_id"), "item_id",
+                        F.when(F.col("n") > 0, F.transform("s", lambda x: x / F.col("n"))).alias("values"))
+
+
+def kde_values(split: DataFrame, coeffs, cutoffs, shifts=None, scales=None, cap: bool = True, strict: bool = True) -> DataFrame:
+    """``kde_arrays`` as rows ``user_id, item_id, row, value``."""
+    v = kde_arrays(split, coeffs, cutoffs, shifts, scales, cap, strict)
+    return v.select("user_id", "item_id", F.posexplode(
+        F.coalesce("values", F.array_repeat(F.lit(None).cast("double"), len(cutoffs)))).alias("row", "value"))
 
 
 # ------------------------------------------------------------------ losses and features
@@ -176,11 +153,9 @@ def kernel_features(split: DataFrame, cutoffs, degree: int = 5) -> DataFrame:
             cs.append(c)
     fit = split.where(F.col("is_fit_user"))
     v = kde_values(fit, np.array(rows), np.array(cs), cap=False, strict=True)
-    lookup = [(i, float(cs[i]), i % (degree + 1)) for i in range(len(cs))]
-    m = F.create_map(*[x for i, c, _ in lookup for x in (F.lit(i), F.lit(c))])
-    kk = F.create_map(*[x for i, _, k in lookup for x in (F.lit(i), F.lit(k))])
-    return v.select("user_id", "item_id", m[F.col("row")].alias("cutoff"), kk[F.col("row")].alias("k"),
-                    F.col("value").alias("phi"))
+    names = F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.lit(i % (degree + 1)).alias("k")) for i, c in enumerate(cs)])
+    v = v.withColumn("of", F.get(names, F.col("row")))
+    return v.select("user_id", "item_id", "of.cutoff", "of.k", F.col("value").alias("phi"))
 
 
 def kde_nll(split: DataFrame, kernels: list[tuple[float, list[float]]], users: str = "test") -> DataFrame:
@@ -276,27 +251,70 @@ def s_to_t(s_coeffs: np.ndarray, cutoff: float) -> np.ndarray:
     return out
 
 
-def _em_step_kernel(bc, nc: int, m: int, fcols: list[str]):
-    """Partial E/M sums of one task: per cutoff, sum_i w_i * pi_j phi_ij / dens_i
+def _em_step_kernel(pi: np.ndarray):
+    """Partial E/M sums of one task as one array: per cutoff, sum_i w_i * pi_j phi_ij / dens_i
     (live rows only), sum of live w, and the objective sum_i w_i * -ln(max(dens_i, floor))."""
+    nc, m = pi.shape
+
     def run(batches):
-        pi = bc.value
         acc = np.zeros((nc, m + 2))
-        for pdf in batches:
-            if len(pdf) == 0:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            w = pdf["w"].to_numpy(dtype=np.float64)
-            phi = pdf[fcols].to_numpy(dtype=np.float64).reshape(-1, nc, m)
+            w = b.column("w").to_numpy()
+            phi = b.column("phi").flatten().to_numpy(zero_copy_only=False).reshape(-1, nc, m)
             dens = np.einsum("ncm,cm->nc", phi, pi)
             live = dens > 0
             resp = phi * pi[None, :, :] / np.where(live, dens, 1.0)[:, :, None]
             acc[:, :m] += np.einsum("n,ncm->cm", w, resp * live[:, :, None])
             acc[:, m] += (w[:, None] * live).sum(axis=0)
             acc[:, m + 1] += (w[:, None] * -np.log(np.maximum(dens, FLOOR))).sum(axis=0)
-        yield pd.DataFrame([acc.reshape(-1)], columns=[f"a{k}" for k in range(nc * (m + 2))])
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.ravel()], pa.list_(pa.float64()))})
     return run
 
 
+def basis_rows(cutoffs, rank: int, m: int) -> np.ndarray:
+    """Coefficients in s of the m unit-mass basis functions of every cutoff (cutoff by cutoff)."""
+    s_rows = bernstein_tail_coeffs(m)
+    return np.vstack([s_rows / _basis_masses(s_rows, c, rank)[:, None] for c in cutoffs])
+
+
+def em_features(split: DataFrame, cutoffs, rank: int, m: int) -> DataFrame:
+    """``w, phi`` for every held-out vector of fit users: its weight in the objective and the array of
+    the bases' mean values (zeros without a reference vector). Written: every step reads it again."""
+    cutoffs = [float(c) for c in cutoffs]
+    each = lambda f: [f(c) for c in cutoffs for _ in range(m)]
+    fit = split.where(F.col("is_fit_user"))
+    v = kde_arrays(fit, basis_rows(cutoffs, rank, m), each(lambda c: c), each(lambda c: c), each(lambda c: 1.0 - c), cap=True, strict=True)
+    n_held = fit.where(~F.col("is_ref")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_held"))
+    n_users = fit.select("user_id").distinct().count()
+    zeros = F.array_repeat(F.lit(0.0), len(cutoffs) * m)
+    return blocks.written(v.join(n_held, "user_id").select(
+        (F.lit(1.0) / (F.col("n_held") * F.lit(float(max(n_users, 1))))).alias("w"), F.coalesce("values", zeros).alias("phi")), "em-features")
+
+
+def em_step(feats: DataFrame, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One aggregate job: the EM update of the weights ``pi`` (cutoffs x bases) and the objective at ``pi``.
+    Every task adds its rows to one array; the driver adds one array for each task."""
+    nc, m = pi.shape
+    partial = feats.mapInArrow(_em_step_kernel(pi), "sums array<double>").collect()
+    tot = sum((np.array(r.sums) for r in partial), np.zeros(nc * (m + 2))).reshape(nc, m + 2)
+    live = tot[:, m:m + 1]
+    return np.where(live > 0, tot[:, :m] / np.where(live > 0, live, 1.0), pi), tot[:, m + 1]
+
+
+def em_steps(split: DataFrame, cutoffs, rank: int, m: int = 12, steps: int = 2) -> DataFrame:
+    """``step, cutoff, weights, objective``: plain EM from equal weights; the weights after each step and
+    the objective before it."""
+    ship_package(split.sparkSession)
+    feats = em_features(split, cutoffs, rank, m)
+    pi, rows = np.full((len(cutoffs), m), 1.0 / m), []
+    for k in range(1, steps + 1):
+        pi, f = em_step(feats, pi)
+        rows += [(k, float(c), [float(x) for x in pi[i]], float(f[i])) for i, c in enumerate(cutoffs)]
+    return split.sparkSession.createDataFrame(rows, "step int, cutoff double, weights array<double>, objective double")
+
+
 def fit_kernels(split: DataFrame, cutoffs, rank: int, m: int = 12, steps: int = 100,
                 tol: float = 1e-5) -> list[dict]:
     """M9 (re-aimed): EM for the weights of a mixture of unit-mass monotone bases, all
@@ -310,42 +328,13 @@ def fit_kernels(split: DataFrame, cutoffs, rank: int, m: int = 12, steps: int =
     floor in the objective and is left out of the M step."""
     cutoffs = [float(c) for c in cutoffs]
     nc = len(cutoffs)
-    s_rows = bernstein_tail_coeffs(m)
-    rows, cs, shifts, scales = [], [], [], []
-    for c in cutoffs:
-        z = _basis_masses(s_rows, c, rank)
-        rows.append(s_rows / z[:, None])
-        cs += [c] * m
-        shifts += [c] * m
-        scales += [1.0 - c] * m
-    fit = split.where(F.col("is_fit_user"))
-    v = kde_values(fit, np.vstack(rows), cs, shifts=shifts, scales=scales, cap=True, strict=True)
-    wide = v.groupBy("user_id", "item_id").pivot("row", list(range(nc * m))).agg(F.first("value"))
-    n_held = fit.where(~F.col("is_ref")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_held"))
-    n_users = fit.select("user_id").distinct().count()
-    feats = (wide.join(n_held, "user_id")
-             .select((F.lit(1.0) / (F.col("n_held") * F.lit(float(max(n_users, 1))))).alias("w"),
-                     *[F.coalesce(F.col(str(r)), F.lit(0.0)).alias(f"f{r}") for r in range(nc * m)]))
-    feats = feats.checkpoint()
+    rows = basis_rows(cutoffs, rank, m).reshape(nc, m, -1)
+    feats = em_features(split, cutoffs, rank, m)
     # partitions sized by rows: the EM loop runs one job per step over this table
-    n_feats = feats.count()
-    feats = feats.coalesce(max(1, -(-n_feats // 1_000_000))).cache()
-    width = m + 2
-    schema = T.StructType([T.StructField(f"a{k}", T.DoubleType()) for k in range(nc * width)])
-    fcols = [f"f{r}" for r in range(nc * m)]
-    spark = split.sparkSession
+    feats = feats.coalesce(max(1, -(-feats.count() // 1_000_000))).cache()
 
     def em(pi: np.ndarray):
-        """One aggregate job: objective at ``pi`` and the EM update, for every cutoff."""
-        bc = spark.sparkContext.broadcast(pi.copy())
-        # one partial row per task (the table has few, row-sized partitions): add them up
-        # here rather than through a wide single-partition aggregate
-        partial = feats.mapInPandas(_em_step_kernel(bc, nc, m, fcols), schema).collect()
-        bc.unpersist()
-        tot = np.sum([np.array(r, dtype=np.float64) for r in partial], axis=0).reshape(nc, width) \
-            if partial else np.zeros((nc, width))
-        upd = np.where(tot[:, m:m + 1] > 0, tot[:, :m] / np.where(tot[:, m:m + 1] > 0, tot[:, m:m + 1], 1.0), pi)
-        return upd, tot[:, m + 1]
+        return em_step(feats, pi)
 
     # SQUAREM: two EM maps, a squared extrapolation, accepted only when its objective
     # is no worse than the plain EM step's, so the recorded objective never rises.

@@ -6,11 +6,12 @@ approximate equi-join on bucketed random projections, several to a key, that can
 ``similar_items_lsh`` is MLlib's, one projection to a table, which is only selective where
 buckets are narrow against the data.
 
-Exact plan: the left side (for inference: the items rated by the requested users) is
-collected with a size check and broadcast in chunks; the right side stays partitioned
-and each task multiplies its block of vectors with the broadcast matrix, emitting only
-the qualifying pairs. No Cartesian product is planned and no pair below the cutoff
-ever becomes a row.
+Exact plan: both sides are hashed to blocks, one cogrouped step per (block, block). Components are
+put in the order of their energy (sum of squares over both sides); the dot over the first half plus the
+product of the two rests' norms (Cauchy-Schwarz) bounds the whole dot from above, and only pairs whose
+bound reaches the cutoff get a full dot. Joined with itself, a set's pairs are tested once and written in
+both directions. No Cartesian product is planned, no side passes through the driver, and no pair
+below the cutoff ever becomes a row.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import json
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -55,42 +56,91 @@ def rated_item_vectors(item_vectors: DataFrame, rated: DataFrame) -> DataFrame:
     return item_vectors.join(rated.select("item_id").distinct(), "item_id", "left_semi")
 
 
-def _pairs_kernel(bc, cutoff: float, strict: bool):
-    def run(batches):
-        left_ids, left = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            right = np.stack(pdf["unit_vector"].to_numpy())
-            right_ids = pdf["item_id"].to_numpy()
-            step = blocks.row_block(len(pdf))
-            for lo in range(0, len(left_ids), step):
-                d = left[lo:lo + step] @ right.T
+#: Vectors of a block, fewest that are worth one, elements of the matrices a cell works on at once.
+ROWS, SMALL, TILE = 1 << 12, 1 << 7, 1 << 18
+#: Room for rounding between the bound and the dot.
+SLACK = 1e-9
+
+
+def energy_order(*sides: DataFrame) -> list[int]:
+    """Component numbers, the largest sum of squares first (one number for each component)."""
+    total: dict[int, float] = {}
+    for df in sides:
+        e = df.select(F.posexplode("unit_vector").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("e"))
+        for r in e.collect():
+            total[r["i"]] = total.get(r["i"], 0.0) + r["e"]
+    return sorted(total, key=lambda i: (-total[i], i))
+
+
+def _pairs_cell(order: list[int], cutoff: float, strict: bool, same: bool, count: bool):
+    head = max(1, len(order) // 2)
+    kinds = [("left_id", pa.int32()), ("right_id", pa.int32()), ("dot", pa.float64())]
+    schema = pa.schema([("n_pairs", pa.int64()), ("n_full", pa.int64())] if count else kinds)
+
+    def vectors(rows: pa.Table):
+        v = rows.column("unit_vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)[:, order]
+        return rows.column("item_id").to_numpy(), v, np.sqrt((v[:, head:] ** 2).sum(axis=1))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        (a, x, ax), (b, y, ay) = vectors(left), vectors(right)
+        inside = same and left.column("lb")[0].as_py() == right.column("rb")[0].as_py()
+        n_pairs = n_full = 0
+        found = []
+        step = blocks.row_block(len(b), TILE)
+        for lo in range(0, len(a), step):
+            part = x[lo:lo + step, :head] @ y[:, :head].T
+            may = part + ax[lo:lo + step, None] * ay >= cutoff - SLACK
+            if inside:  # each pair once, a vector with itself too
+                once = a[lo:lo + step, None] <= b
+                may &= once
+                n_pairs += int(once.sum())
+            else:
+                n_pairs += may.size
+            i, j = np.nonzero(may)
+            n_full += len(i)
+            for k in range(0, len(i), TILE):
+                p, q = i[k:k + TILE] + lo, j[k:k + TILE]
+                d = part[p - lo, q] + np.einsum("ij,ij->i", x[p, head:], y[q, head:])
                 hit = d > cutoff if strict else d >= cutoff
-                li, ri = np.nonzero(hit)
-                if len(li):
-                    yield pd.DataFrame({"left_id": left_ids[lo + li].astype(np.int32),
-                                        "right_id": right_ids[ri].astype(np.int32), "dot": d[li, ri]})
+                found.append((a[p[hit]], b[q[hit]], d[hit]))
+        if count:
+            return pa.table({"n_pairs": [n_pairs], "n_full": [n_full]}, schema=schema)
+        p, q, d = (np.concatenate(z) for z in zip(*found)) if found else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0))
+        if same:
+            other = p != q
+            p, q, d = np.concatenate([p, q[other]]), np.concatenate([q, p[other]]), np.concatenate([d, d[other]])
+        return pa.table([pa.array(p, pa.int32()), pa.array(q, pa.int32()), pa.array(d)], schema=schema)
     return run
 
 
-def similar_items_exact(left: DataFrame, right: DataFrame, cutoff: float = 0.4, strict: bool = True,
-                        max_rows: int = blocks.DEFAULT_MAX_ROWS) -> DataFrame:
-    """J6 exact: ``left_id, right_id, dot`` for all unit-vector pairs with dot > cutoff
-    (``>=`` when ``strict=False``). Inputs carry ``item_id, unit_vector``."""
-    spark = right.sparkSession
+def _pairs(left: DataFrame, right: DataFrame | None, cutoff: float, strict: bool, count: bool) -> DataFrame:
+    spark = left.sparkSession
     ship_package(spark)
-    parts = []
-    for chunk in blocks.bounded_chunks(left.select("item_id", "unit_vector"), ["item_id"], max_rows):
-        if len(chunk) == 0:
-            continue
-        mat = np.stack(chunk["unit_vector"].to_numpy()).astype(np.float64)
-        bc = spark.sparkContext.broadcast((chunk["item_id"].to_numpy(), mat))
-        parts.append(right.select("item_id", "unit_vector").mapInPandas(_pairs_kernel(bc, cutoff, strict),
-                                                                      PAIR_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], PAIR_SCHEMA)
-    return blocks.union_all(parts)
+    a = blocks.written(left.select("item_id", "unit_vector"), "unit-vectors")
+    b = a if right is None else blocks.written(right.select("item_id", "unit_vector"), "unit-vectors")
+    n = a.count()
+    n_b = max(1, -(-b.count() // ROWS)) if right is not None else 0
+    n_a = blocks.block_count(spark, n, ROWS, SMALL, n_b or 4)
+    n_b = n_b or n_a
+    cell = _pairs_cell(energy_order(*([a] if right is None else [a, b])), cutoff, strict, right is None, count)
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])
+    return blocks.grid(a, b, blocks.hashed(n_a, "item_id"), blocks.hashed(n_b, "item_id"), n_a, n_b, cell,
+                       "n_pairs bigint, n_full bigint" if count else PAIR_SCHEMA, "lb <= rb" if right is None else "true")
+
+
+def similar_items_exact(left: DataFrame, right: DataFrame | None = None, cutoff: float = 0.4, strict: bool = True) -> DataFrame:
+    """J6 exact: ``left_id, right_id, dot`` for all unit-vector pairs with dot > cutoff
+    (``>=`` when ``strict=False``). Inputs carry ``item_id, unit_vector``. Without ``right``, left is
+    joined with itself: both directions of every pair, and every vector with itself."""
+    return _pairs(left, right, cutoff, strict, False)
+
+
+def similarity_work(left: DataFrame, right: DataFrame | None = None, cutoff: float = 0.4) -> DataFrame:
+    """One row ``n_pairs, n_full``: pairs of the join, and those of them that need a full dot."""
+    work = _pairs(left, right, cutoff, True, True)
+    return work.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_full"), F.lit(0)).alias("n_full"))
 
 
 def similar_items_lsh(left: DataFrame, right: DataFrame, all_vectors: DataFrame, cutoff: float = 0.4,

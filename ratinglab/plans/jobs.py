@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratinglab.functions.scoring import (B_DEFAULT, N_DEFAULT, SAMPLE_MIN, STUDY_SIZES, TRUSTED_MIN_JOB,
                                          TRUSTED_MIN_STUDY)
-from ratinglab.operators import als, kernel, posterior, recommend, study
+from ratinglab.operators import als, blocks, kernel, posterior, recommend, study
 from ratinglab.sources import io
 
 
@@ -65,7 +65,7 @@ def kernel_fit_job(spark: SparkSession, vector_sets_path: str, out_path: str, ra
     sets = io.read_vector_sets(spark, vector_sets_path).select(
         F.col("set_id").alias("user_id"), "pos", F.col("pos").cast("int").alias("item_id"),
         "unit_vector")
-    split = kernel.kde_split(sets, seed).cache()
+    split = blocks.written(kernel.kde_split(sets, seed), "kde-split")
     sweep = kernel.kernel_sweep(split, cutoffs, rank, m)
     io.write_kernel(sweep, out_path)
     return sweep

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ratinglab.functions.rng import sql_hash_normal, sql_hash_uniform
 from ratinglab.plans import params as P
+from ratinglab.operators.kernel import basis_rows
 from ratinglab.operators.similarity import lsh_draws, sql_lsh_key
 from ratinglab.sources.fixtures import EMBEDDING_DIM, sql_item_vectors, sql_items, sql_ratings
 
@@ -485,14 +486,51 @@ def kernel_sql() -> dict[str, str]:
     q["kernel_features"] = _with(*ctes) + (
         f"SELECT user_id, item_id, cutoff, CAST(k AS INTEGER) AS k, round(phi, {R6}) AS phi FROM ({sel})")
     g = _g_sql("least(d, 1.0)")
-    q["kde_nll"] = _with(*ctes) + (
-        f"SELECT 0.4 AS cutoff, round(sum(user_nll) / (SELECT count(DISTINCT user_id) FROM sp WHERE NOT is_fit_user), "
+    users = "(SELECT count(DISTINCT user_id) FROM sp WHERE NOT is_fit_user)"
+    q["kde_nll"] = _with(*ctes) + " UNION ALL ".join(
+        f"SELECT {c!r} AS cutoff, round(sum(user_nll) / {users}, "
         f"{R6}) AS nll FROM (SELECT user_id, avg(-ln(greatest(f, 1e-10))) AS user_nll FROM ("
-        f"SELECT user_id, item_id, avg(CASE WHEN d > 0.4 THEN {g} ELSE 0.0 END) AS f FROM kp "
-        "WHERE NOT is_fit_user GROUP BY user_id, item_id) GROUP BY user_id)")
+        f"SELECT user_id, item_id, avg(CASE WHEN d > {c!r} THEN {g} ELSE 0.0 END) AS f FROM kp "
+        "WHERE NOT is_fit_user GROUP BY user_id, item_id) GROUP BY user_id)" for c in P.KDE_CUTOFFS)
+    q["kernel_em_step"] = _em_sql(ctes)
     return q
 
 
+def _em_sql(ctes: list[tuple[str, str]]) -> str:
+    """Two EM steps: every basis at every pair, means per held-out vector, responsibilities."""
+    m, nc = P.EM_BASES, len(P.KDE_CUTOFFS)
+    rows = basis_rows(P.KDE_CUTOFFS, P.RANK, m).reshape(nc, m, -1)
+
+    def horner(coeffs):
+        acc = repr(float(coeffs[-1]))
+        for c in coeffs[-2::-1]:
+            acc = f"({acc} * s + {float(c)!r})"
+        return acc
+    phi = " UNION ALL ".join(
+        f"SELECT {c!r} AS cutoff, user_id, item_id, [" + ", ".join(
+            f"avg(CASE WHEN d > {c!r} THEN {horner(rows[i, j])} ELSE 0.0 END)" for j in range(m)) +
+        f"] AS phi FROM (SELECT *, (least(d, 1.0) - {c!r}) / {1.0 - c!r} AS s FROM kp WHERE is_fit_user) GROUP BY user_id, item_id"
+        for i, c in enumerate(P.KDE_CUTOFFS))
+    # held-out vectors of users without a reference vector have no pair
+    held = ("SELECT h.user_id, h.item_id, 1.0 / (count(*) OVER (PARTITION BY h.user_id) * "
+            "(SELECT count(DISTINCT user_id) FROM sp WHERE is_fit_user)::DOUBLE) AS w FROM sp h WHERE h.is_fit_user AND NOT h.is_ref")
+    zeros = f"list_transform(range({m}), lambda x: 0.0)"
+    feats = ("SELECT c.cutoff, h.w, coalesce(p.phi, " + zeros + ") AS phi FROM held h CROSS JOIN (SELECT unnest(["
+             + ", ".join(repr(c) for c in P.KDE_CUTOFFS) + "]) AS cutoff) c LEFT JOIN phis p ON p.user_id = h.user_id "
+             "AND p.item_id = h.item_id AND p.cutoff = c.cutoff")
+
+    def step(prev):
+        new = ", ".join(f"sum(CASE WHEN dens > 0 THEN w * pi[{j + 1}] * phi[{j + 1}] / dens END) / sum(CASE WHEN dens > 0 THEN w END)"
+                        for j in range(m))
+        return (f"SELECT cutoff, [{new}] AS pi, sum(-w * ln(greatest(dens, 1e-10))) AS objective FROM (SELECT f.cutoff, f.w, f.phi, p.pi, "
+                f"list_dot_product(f.phi, p.pi) AS dens FROM feats f JOIN {prev} p ON p.cutoff = f.cutoff) GROUP BY cutoff")
+    start = f"SELECT DISTINCT cutoff, list_transform(range({m}), lambda x: {1.0 / m!r}) AS pi FROM feats"
+    out = " UNION ALL ".join(
+        f"SELECT {k} AS step, cutoff, list_transform(pi, lambda x: round(x, {R6})) AS weights, round(objective, {R6}) AS objective FROM em{k}"
+        for k in (1, 2))
+    return _with(*ctes, ("phis", phi), ("held", held), ("feats", feats), ("em0", start), ("em1", step("em0")), ("em2", step("em1"))) + out
+
+
 def source_sql() -> dict[str, str]:
     """Round trips through files must give back the relation that was written."""
     base = stats_sql()

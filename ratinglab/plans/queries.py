@@ -124,7 +124,7 @@ def q_ratings_with_vectors(spark, sf):
 def q_similar_items_exact(spark, sf):
     _, iv = _vec_inputs(spark, sf, None)
     unit = similarity.normalized_vectors(iv)
-    pairs = similarity.similar_items_exact(unit, unit, 0.4, strict=True)
+    pairs = similarity.similar_items_exact(unit, None, 0.4, strict=True)
     return pairs.select("left_id", "right_id", r6("dot").alias("dot"))
 
 
@@ -323,7 +323,7 @@ def study_queries() -> dict[str, Query]:
 
 def _split(spark, sf):
     r, iv = _vec_inputs(spark, sf)
-    return kernel.kde_split(kernel.vector_sets(r, iv, P.N_USERS), P.SEED).cache()
+    return blocks.written(kernel.kde_split(kernel.vector_sets(r, iv, P.N_USERS), P.SEED), "kde-split")
 
 
 def q_top_users(spark, sf):
@@ -343,18 +343,24 @@ def q_kernel_features(spark, sf):
 
 
 def q_kde_nll(spark, sf):
-    from ratinglab.functions.scoring import INFERENCE_CUTOFF, INFERENCE_KERNEL
-    n = kernel.kde_nll(_split(spark, sf), [(INFERENCE_CUTOFF, INFERENCE_KERNEL)], users="test")
+    from ratinglab.functions.scoring import INFERENCE_KERNEL
+    n = kernel.kde_nll(_split(spark, sf), [(c, INFERENCE_KERNEL) for c in P.KDE_CUTOFFS], users="test")
     return n.select("cutoff", r6("nll").alias("nll"))
 
 
+def q_kernel_em_step(spark, sf):
+    """Weights and objective of two EM steps at every cutoff."""
+    e = kernel.em_steps(_split(spark, sf), P.KDE_CUTOFFS, P.RANK, P.EM_BASES, 2)
+    return e.select("step", "cutoff", F.transform("weights", lambda x: F.round(x, 6)).alias("weights"), r6("objective").alias("objective"))
+
+
 def q_kernel_sweep(spark, sf):
-    return kernel.kernel_sweep(_split(spark, sf), P.KDE_CUTOFFS, P.RANK, m=12, steps=P.EM_STEPS)
+    return kernel.kernel_sweep(_split(spark, sf), P.KDE_CUTOFFS, P.RANK, m=P.EM_BASES, steps=P.EM_STEPS)
 
 
 def kernel_queries() -> dict[str, Query]:
     return {"top_users": q_top_users, "vector_sets": q_vector_sets, "kernel_features": q_kernel_features,
-            "kde_nll": q_kde_nll, "kernel_sweep": q_kernel_sweep}
+            "kde_nll": q_kde_nll, "kernel_em_step": q_kernel_em_step, "kernel_sweep": q_kernel_sweep}
 
 
 def q_read_ratings(spark, sf):

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from rating_rows import SF001
 from ratinglab.functions.scoring import INFERENCE_KERNEL
@@ -87,3 +88,46 @@ def test_losses_study_and_kernel_sinks(spark):
     io.write_kernel(sweep, pk)
     k = io.read_kernel(spark, pk).collect()
     assert len(k) == 1 and k[0]["cutoff"] == 0.4 and k[0]["coeffs"] == [1.0, 2.0]
+
+
+def test_blocks_of_vectors_add_up(spark, monkeypatch):
+    """Held-out and reference vectors in blocks of three: the same arrays as in one block each."""
+    sp, _ = _split(spark)
+    args = (sp, [INFERENCE_KERNEL, [0.0, 1.0] + [0.0] * 4], [0.4, 0.0])
+    key = ["user_id", "item_id", "row"]
+    whole = kernel.kde_values(*args).toPandas().sort_values(key).reset_index(drop=True)
+    monkeypatch.setattr(kernel, "HELD_ROWS", 3)
+    monkeypatch.setattr(kernel, "REF_ROWS", 3)
+    parts = kernel.kde_values(*args).toPandas().sort_values(key).reset_index(drop=True)
+    assert len(whole) and parts[key].equals(whole[key]) and np.allclose(parts.value, whole.value, atol=1e-9)
+
+
+def test_split_needs_no_window_without_partitions(spark):
+    r = fx.ratings(spark, SF001)
+    sets = kernel.vector_sets(r, fx.item_vectors(spark, SF001, 6, r), 40).cache()
+    plan = kernel.kde_split(sets, 42)._jdf.queryExecution().toString()
+    assert "Window" in plan and "SinglePartition" not in plan.split("== Physical Plan ==")[1].split("InMemoryRelation")[0]
+
+
+def test_ranks_over_ranges(spark):
+    from ratinglab.operators import splits
+    rng = np.random.default_rng(6)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 5, 997), rng.permutation(997))]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(9)
+    out, n = splits.ranked(df, F.col("a").desc(), F.col("b"))
+    want = {r: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
+    assert n == 997 and {(r.a, r.b): r["rank"] for r in out.collect()} == want
+    empty, n = splits.ranked(df.limit(0), F.col("b"))
+    assert n == 0 and empty.collect() == []
+
+
+def test_em_steps_lower_the_objective(spark):
+    sp, _ = _split(spark)
+    rows = kernel.em_steps(sp, (0.0, 0.3), 6, 8, 4).orderBy("cutoff", "step").collect()
+    for c in (0.0, 0.3):
+        mine = [r for r in rows if r.cutoff == c]
+        assert [r.step for r in mine] == [1, 2, 3, 4]
+        assert all(abs(sum(r.weights) - 1.0) < 1e-9 and min(r.weights) >= 0 for r in mine)
+        assert all(a.objective >= b.objective - 1e-12 for a, b in zip(mine, mine[1:]))
+    fit = kernel.fit_kernel(sp, 0.3, 6, m=8, steps=4)
+    assert abs(fit["history"][0] - [r for r in rows if r.cutoff == 0.3][0].objective) < 1e-9

@@ -48,3 +48,33 @@ def test_key_join_recall_without_self_pairs(spark, sf):
                   for df in (similarity.similar_items_exact(unit, unit, P.CUTOFF), keys))
     print(sf, len(got), "of", len(exact))
     assert len(exact) > 100 and got <= exact and len(got) >= 0.95 * len(exact)
+
+
+@pytest.mark.parametrize("dim", [3, 24])
+def test_block_join_equals_brute_force(spark, monkeypatch, dim):
+    """Small blocks; the self-join tests each pair once and skips full dots, and gives both directions."""
+    rng = np.random.default_rng(dim)
+    centres = rng.normal(size=(8, dim)) * np.linspace(3.0, 0.1, dim)  # energy falls with the component
+    v = centres[rng.integers(0, 8, 240)] + rng.normal(size=(240, dim)) * 0.05
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] = v[3]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id int, unit_vector array<double>")
+    monkeypatch.setattr(similarity, "ROWS", 50)
+    monkeypatch.setattr(similarity, "TILE", 300)
+    d = v @ v.T
+    want = {(i, j) for i, j in zip(*np.nonzero(d > 0.8))}
+    for got in (similarity.similar_items_exact(df, None, 0.8).collect(), similarity.similar_items_exact(df, df, 0.8).collect()):
+        assert len(got) == len(want) and {(r.left_id, r.right_id) for r in got} == want
+        assert all(abs(r.dot - d[r.left_id, r.right_id]) < 1e-12 for r in got)
+    part = similarity.similar_items_exact(df.where("item_id < 40"), df, 0.8).collect()
+    assert {(r.left_id, r.right_id) for r in part} == {p for p in want if p[0] < 40}
+    work = similarity.similarity_work(df, None, 0.8).first()
+    assert work.n_pairs == 240 * 241 // 2 and len(want) // 2 <= work.n_full < work.n_pairs // 2
+
+
+def test_block_join_of_empty_sides(spark):
+    none = spark.createDataFrame([], "item_id int, unit_vector array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], none.schema)
+    assert similarity.similar_items_exact(none).collect() == []
+    assert similarity.similar_items_exact(one, none).collect() == [] == similarity.similar_items_exact(none, one).collect()
+    assert [(r.left_id, r.right_id) for r in similarity.similar_items_exact(one).collect()] == [(1, 1)]
