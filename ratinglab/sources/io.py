@@ -7,12 +7,14 @@ range-partitioned and sorted within partitions, so part files concatenate in ord
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratinglab.functions.vectors import l2_normalize
+from ratinglab.session import ship_package
 
 # Input CSV layouts (ratings: userId,movieId,rating,timestamp; items: movieId,title,genres).
 RATINGS_CSV = T.StructType([T.StructField("userId", T.IntegerType()), T.StructField("movieId", T.IntegerType()),
@@ -100,19 +102,58 @@ def write_vector_sets(sets: DataFrame, path: str, vector_col: str = "item_vector
      .select("line").write.mode(mode).text(path))
 
 
+MARKER = "***"
+_LINES = "file string, block bigint, at bigint, sets bigint, pos bigint, line string"
+
+
+def _numbered(batches):
+    """Lines with their place in the split, the markers up to them in it, and the vectors since the
+    last of those (or since the split's start). A task reads splits one after the other."""
+    key, at, sets, pos = None, 0, 0, 0
+    for b in batches:
+        out = []
+        for file, block, line in zip(*(c.to_pylist() for c in b.columns)):
+            if (file, block) != key:
+                key, at, sets, pos = (file, block), 0, 0, 0
+            at += 1
+            if line == MARKER:
+                sets, pos = sets + 1, 0
+            elif line.strip():
+                pos += 1
+                out.append((file, block, at, sets, pos, line))
+                continue
+            out.append((file, block, at, sets, pos, None))
+        yield pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(
+            ("file", "block", "at", "sets", "pos", "line"), zip(*out) if out else [[]] * 6)},
+            schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("sets", pa.int64()),
+                              ("pos", pa.int64()), ("line", pa.string())]))
+
+
 def read_vector_sets(spark: SparkSession, path: str) -> DataFrame:
     """``set_id, pos, unit_vector``; every vector is L2-normalised while reading.
 
-    One record per set (``***`` is the record separator). A set is one user's rated
-    items, so it is bounded by the item table."""
-    raw = spark.read.option("lineSep", "***\n").text(path).where(F.length(F.trim("value")) > 0)
-    # the id follows the set's content (and its number among equal ones), not the file splits
-    number = F.row_number().over(Window.partitionBy("value").orderBy(F.lit(1)))
-    sets = raw.withColumn("_n", number).select(
-        F.xxhash64("value", "_n").alias("set_id"), F.split(F.trim("value"), "\n").alias("lines"))
-    rows = sets.select("set_id", F.posexplode("lines").alias("p", "line")).where(F.length("line") > 0)
-    vec = F.transform(F.split("line", " "), lambda x: x.cast("double"))
-    return rows.select("set_id", (F.col("p") + 1).alias("pos"), l2_normalize(vec).alias("unit_vector"))
+    Files are read by lines, in splits of any size: a set may begin in one split and go on in the next
+    ones, and no set is ever one record. Each split counts its own markers and vectors; sums over the
+    splits before it (one row for a split) give a set's number, counted over the files in the order of
+    their paths, and a vector's place in its set. So ids follow the files, not the cut."""
+    ship_package(spark)
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
+                                       F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = raw.mapInArrow(_numbered, _LINES)
+    # the last line of a split has its totals
+    ends = lines.groupBy("file", "block").agg(F.max(F.struct("at", "sets", "pos")).alias("last")).select("file", "block", "last.sets", "last.pos")
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    # in a run of splits without a marker, vectors add up from the one that opened the run
+    ends = ends.withColumn("sets_before", F.coalesce(F.sum("sets").over(before), F.lit(0)))
+    ends = ends.withColumn("run", F.col("sets_before") + F.col("sets"))
+    within = Window.partitionBy("run").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("open", F.sum("pos").over(within))
+    ends = ends.withColumn("pos_before", F.coalesce(F.lag("open").over(Window.orderBy("file", "block")), F.lit(0)))
+    carried = ends.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "sets_before", "pos_before")
+    rows = lines.where("line IS NOT NULL").join(carried, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    pos = F.col("pos") + F.when(F.col("sets") == 0, F.col("pos_before")).otherwise(0)
+    vec = F.transform(F.split(F.trim("line"), " +"), lambda x: x.cast("double"))
+    return rows.select((F.col("sets_before") + F.col("sets")).alias("set_id"), pos.cast("int").alias("pos"), l2_normalize(vec).alias("unit_vector"))
 
 
 def write_kernel(sweep: DataFrame, path: str, mode: str = "errorifexists") -> None:
