@@ -12,6 +12,9 @@
   reference block) returns one array of sums per held-out vector, and a user's arrays over several
   reference blocks are added element by element.
 * ``kde_nll``: mean over test users of the mean ``-ln(max(1e-10, f))``.
+* ``fit_polynomials``: the reference's family, a degree-5 polynomial above the cutoff that rises from
+  ``AT_CUTOFF`` with a slope of at least ``SLOPE`` and has unit mass, by Newton steps on a log barrier;
+  gradient and Hessian are one distributed aggregate, the system it solves has six unknowns.
 * ``fit_kernel`` (re-aimed): the reference solves a cone program on one machine; here a
   kernel is a mixture of monotone Bernstein tail bases, each normalised to unit mass on
   the sphere, and EM fits the mixture weights. Each EM step is one aggregate over a
@@ -286,9 +289,13 @@ def em_features(split: DataFrame, cutoffs, rank: int, m: int) -> DataFrame:
     each = lambda f: [f(c) for c in cutoffs for _ in range(m)]
     fit = split.where(F.col("is_fit_user"))
     v = kde_arrays(fit, basis_rows(cutoffs, rank, m), each(lambda c: c), each(lambda c: c), each(lambda c: 1.0 - c), cap=True, strict=True)
+    return _weighted(fit, v, len(cutoffs) * m)
+
+
+def _weighted(fit: DataFrame, v: DataFrame, width: int) -> DataFrame:
     n_held = fit.where(~F.col("is_ref")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_held"))
     n_users = fit.select("user_id").distinct().count()
-    zeros = F.array_repeat(F.lit(0.0), len(cutoffs) * m)
+    zeros = F.array_repeat(F.lit(0.0), width)
     return blocks.written(v.join(n_held, "user_id").select(
         (F.lit(1.0) / (F.col("n_held") * F.lit(float(max(n_users, 1))))).alias("w"), F.coalesce("values", zeros).alias("phi")), "em-features")
 
@@ -386,6 +393,146 @@ def fit_kernel(split: DataFrame, cutoff: float, rank: int, m: int = 12, steps: i
     return fit_kernels(split, [cutoff], rank, m, steps, tol)[0]
 
 
+# ------------------------------------------------------------------ polynomial fit (barrier)
+
+# Fixed values that define results: value at the cutoff, least slope.
+AT_CUTOFF, SLOPE = 1e-5, 1e-4
+#: Points of [c, 1] where the barrier holds the slope, and the weights the barrier falls through.
+BARRIER_POINTS = 1024
+BARRIER = tuple(10.0 ** -k for k in range(2, 10))
+
+
+def _newton_sums(a: np.ndarray):
+    """One array per task: for each cutoff the objective at ``a``, its gradient and Hessian."""
+    nc, k = a.shape
+
+    def run(batches):
+        acc = np.zeros((nc, 1 + k + k * k))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = b.column("w").to_numpy()
+            phi = b.column("phi").flatten().to_numpy(zero_copy_only=False).reshape(-1, nc, k)
+            dens = np.einsum("nck,ck->nc", phi, a)
+            live = dens > FLOOR
+            r = phi / np.where(live, dens, 1.0)[:, :, None] * live[:, :, None]
+            acc[:, 0] += (w[:, None] * -np.log(np.maximum(dens, FLOOR))).sum(axis=0)
+            acc[:, 1:1 + k] -= np.einsum("n,nck->ck", w, r)
+            acc[:, 1 + k:] += np.einsum("n,nck,ncl->ckl", w, r, r).reshape(nc, -1)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.ravel()], pa.list_(pa.float64()))})
+    return run
+
+
+def _objectives(candidates: np.ndarray):
+    """One array per task: the objective of every (cutoff, candidate)."""
+    nc, n, k = candidates.shape
+
+    def run(batches):
+        acc = np.zeros((nc, n))
+        for b in batches:
+            if b.num_rows:
+                w = b.column("w").to_numpy()
+                phi = b.column("phi").flatten().to_numpy(zero_copy_only=False).reshape(-1, nc, k)
+                dens = np.einsum("nck,cjk->ncj", phi, candidates)
+                acc += (w[:, None, None] * -np.log(np.maximum(dens, FLOOR))).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.ravel()], pa.list_(pa.float64()))})
+    return run
+
+
+def _added(feats: DataFrame, kernel, shape) -> np.ndarray:
+    return sum((np.array(r.sums) for r in feats.mapInArrow(kernel, "sums array<double>").collect()), np.zeros(int(np.prod(shape)))).reshape(shape)
+
+
+class _Polynomials:
+    """Constraints of one cutoff, in Chebyshev coefficients: value at the cutoff and mass (equalities),
+    slopes at the barrier's points."""
+
+    def __init__(self, cutoff: float, rank: int, degree: int, points: int = 20_000):
+        cheb = np.polynomial.chebyshev
+        h = (1.0 - cutoff) / points
+        t = cutoff + (np.arange(points) + 0.5) * h
+        mass = ((1.0 - t * t) ** ((rank - 3) / 2.0) * h * sphere_area(rank - 1)) @ cheb.chebvander(t, degree)
+        self.equal = np.stack([cheb.chebvander(np.array([cutoff]), degree)[0], mass])
+        grid = cutoff + (1.0 - cutoff) * (1.0 - np.cos(np.pi * np.arange(BARRIER_POINTS) / (BARRIER_POINTS - 1))) / 2.0
+        self.slope = np.stack([cheb.chebval(grid, cheb.chebder(np.eye(degree + 1)[k])) for k in range(degree + 1)], axis=1)
+        self.free = np.linalg.svd(self.equal)[2][2:].T  # directions that keep the equalities
+        # the straight line of unit mass: strictly inside
+        beta = (1.0 - AT_CUTOFF * mass[0]) / (mass[1] - cutoff * mass[0])
+        self.start = np.zeros(degree + 1)
+        self.start[:2] = AT_CUTOFF - beta * cutoff, beta
+
+    def room(self, a: np.ndarray) -> np.ndarray:
+        return self.slope @ a - SLOPE
+
+
+def fit_polynomials(split: DataFrame, cutoffs, rank: int, degree: int = 5, steps: int = 80, tol: float = 1e-7) -> list[dict]:
+    """M9 in the reference's family, all cutoffs at once: per cutoff ``cutoff, coeffs`` (monomial, low order
+    first), ``train_nll, min_slope, converged``. A Newton step takes two aggregate jobs: sums at the point,
+    and the objective along the step; a step is taken only as far as the slopes stay inside and the barrier
+    function falls. ``converged``: the last barrier's Newton decrement is below ``tol`` within ``steps``."""
+    ship_package(split.sparkSession)
+    cutoffs = [float(c) for c in cutoffs]
+    nc, k = len(cutoffs), degree + 1
+    fit = split.where(F.col("is_fit_user"))
+    rows, cs = np.tile(chebyshev_coeffs(degree), (nc, 1)), [c for c in cutoffs for _ in range(k)]
+    feats = _weighted(fit, kde_arrays(fit, rows, cs, cap=True, strict=True), nc * k)
+    feats = feats.coalesce(max(1, -(-feats.count() // 1_000_000))).cache()
+    poly = [_Polynomials(c, rank, degree) for c in cutoffs]
+    a = np.stack([p.start for p in poly])
+    level, settled, taken = np.zeros(nc, int), np.zeros(nc, bool), 0
+    sizes = 0.5 ** np.arange(12)
+    while taken < steps and not settled.all():
+        taken += 1
+        sums = _added(feats, _newton_sums(a), (nc, 1 + k + k * k))
+        moves, slopes, now = np.zeros((nc, k)), np.zeros(nc), np.zeros(nc)
+        for i, p in enumerate(poly):
+            mu, room = BARRIER[level[i]], p.room(a[i])
+            grad = p.free.T @ (sums[i, 1:1 + k] - mu * (p.slope / room[:, None]).sum(axis=0))
+            s = p.slope @ p.free / room[:, None]
+            hess = p.free.T @ sums[i, 1 + k:].reshape(k, k) @ p.free + mu * s.T @ s
+            z = -np.linalg.solve(hess + 1e-12 * np.trace(hess) * np.eye(len(hess)), grad)
+            moves[i], slopes[i], now[i] = p.free @ z, grad @ z, sums[i, 0] - mu * np.log(room).sum()
+        tried = a[:, None, :] + sizes[None, :, None] * moves[:, None, :]
+        values = _added(feats, _objectives(tried), (nc, len(sizes)))
+        for i, p in enumerate(poly):
+            room = np.stack([p.room(x) for x in tried[i]])
+            inside = (room > 0).all(axis=1)
+            merit = values[i] - BARRIER[level[i]] * np.log(np.where(room > 0, room, 1.0)).sum(axis=1)
+            good = np.flatnonzero(inside & (merit <= now[i] + 1e-4 * sizes * slopes[i]))
+            if len(good) and not settled[i]:
+                a[i] = tried[i, good[0]]
+            if -slopes[i] < (tol if level[i] == len(BARRIER) - 1 else 1e-3 * max(1.0, abs(now[i]))) or not len(good):
+                if level[i] < len(BARRIER) - 1:
+                    level[i] += 1
+                else:
+                    settled[i] = -slopes[i] < 100 * tol or settled[i]
+                    if not settled[i]:
+                        break
+    nll = _added(feats, _objectives(a[:, None, :]), (nc, 1))[:, 0]
+    feats.unpersist()
+    cheb, out = np.polynomial.chebyshev, []
+    for i, c in enumerate(cutoffs):
+        slope = np.polynomial.Polynomial(cheb.cheb2poly(cheb.chebder(a[i])))
+        turns = [x.real for x in slope.deriv().roots() if abs(x.imag) < 1e-9 and c < x.real < 1.0]
+        out.append({"cutoff": c, "coeffs": [float(x) for x in cheb.cheb2poly(a[i])], "train_nll": float(nll[i]),
+                    "min_slope": float(min(slope(x) for x in (c, 1.0, *turns))), "converged": bool(settled[i])})
+    return out
+
+
+def polynomial_sweep(split: DataFrame, cutoffs, rank: int, degree: int = 5) -> DataFrame:
+    """M12 over ``fit_polynomials``: ``cutoff, coeffs, train_nll, test_nll, mass, min_slope, converged, accepted``.
+    The least slope is found at its stationary points."""
+    spark = split.sparkSession
+    fits = fit_polynomials(split, cutoffs, rank, degree)
+    kernels = [(f["cutoff"], f["coeffs"]) for f in fits]
+    test = {r["cutoff"]: r["nll"] for r in kde_nll(split, kernels, users="test").collect()}
+    mass = {r["cutoff"]: r["mass"] for r in kernel_mass(spark, kernels, rank).collect()}
+    rows = [(f["cutoff"], f["coeffs"], f["train_nll"], test.get(f["cutoff"]), mass[f["cutoff"]], f["min_slope"], f["converged"],
+             abs(mass[f["cutoff"]] - 1.0) <= 0.1 and f["min_slope"] >= 0.0) for f in fits]
+    return spark.createDataFrame(rows, "cutoff double, coeffs array<double>, train_nll double, test_nll double, mass double, "
+                                       "min_slope double, converged boolean, accepted boolean")
+
+
 def kernel_sweep(split: DataFrame, cutoffs, rank: int, m: int = 12, steps: int = 100) -> DataFrame:
     """Per cutoff fit, check (mass, minimum) and train / test loss:
     ``cutoff, coeffs, train_nll, test_nll, mass, min_g, accepted``."""

@@ -131,3 +131,22 @@ def test_em_steps_lower_the_objective(spark):
         assert all(a.objective >= b.objective - 1e-12 for a, b in zip(mine, mine[1:]))
     fit = kernel.fit_kernel(sp, 0.3, 6, m=8, steps=4)
     assert abs(fit["history"][0] - [r for r in rows if r.cutoff == 0.3][0].objective) < 1e-9
+
+
+def test_polynomial_fit_is_in_the_family_and_no_worse(spark):
+    """Degree 5, value 1e-5 at the cutoff, rising, unit mass, converged; no worse than the mixture fits."""
+    sp, _ = _split(spark)
+    cutoffs = (0.0, 0.2, 0.4)
+    fits = kernel.fit_polynomials(sp, cutoffs, 6)
+    same_degree, wide = (kernel.fit_kernels(sp, cutoffs, 6, m=m, steps=60) for m in (5, 12))
+    mass = {r["cutoff"]: r["mass"] for r in kernel.kernel_mass(spark, [(f["cutoff"], f["coeffs"]) for f in fits], 6).collect()}
+    nll = {r["cutoff"]: r["nll"] for r in kernel.kde_nll(sp, [(f["cutoff"], f["coeffs"]) for f in fits], users="fit").collect()}
+    for f, a, b in zip(fits, same_degree, wide):
+        c, p = f["cutoff"], np.polynomial.Polynomial(f["coeffs"])
+        assert f["converged"] and len(f["coeffs"]) == 6
+        assert abs(p(c) - 1e-5) < 1e-9 and abs(mass[c] - 1.0) < 1e-6
+        assert f["min_slope"] >= 0.0 and (p.deriv()(np.linspace(c, 1.0, 5001)) > -1e-9).all()
+        assert abs(nll[c] - f["train_nll"]) < 1e-6
+        assert f["train_nll"] <= a["train_nll"] + 1e-6 and f["train_nll"] <= b["train_nll"] + 1e-3
+    sweep = kernel.polynomial_sweep(sp, (0.3,), 6).first()
+    assert sweep.accepted and sweep.converged and sweep.test_nll is not None
