@@ -399,48 +399,36 @@ def fit_kernel(split: DataFrame, cutoff: float, rank: int, m: int = 12, steps: i
 AT_CUTOFF, SLOPE = 1e-5, 1e-4
 #: Points of [c, 1] where the barrier holds the slope, and the weights the barrier falls through.
 BARRIER_POINTS = 1024
-BARRIER = tuple(10.0 ** -k for k in range(2, 10))
+BARRIER = tuple(10.0 ** -k for k in range(2, 8))
 
 
-def _newton_sums(a: np.ndarray):
-    """One array per task: for each cutoff the objective at ``a``, its gradient and Hessian."""
-    nc, k = a.shape
+def _newton_sums(points: np.ndarray):
+    """One array per task: for each (cutoff, point) the objective, its gradient and Hessian."""
+    nc, n, k = points.shape
 
     def run(batches):
-        acc = np.zeros((nc, 1 + k + k * k))
+        acc = np.zeros((nc, n, 1 + k + k * k))
         for b in batches:
             if not b.num_rows:
                 continue
             w = b.column("w").to_numpy()
             phi = b.column("phi").flatten().to_numpy(zero_copy_only=False).reshape(-1, nc, k)
-            dens = np.einsum("nck,ck->nc", phi, a)
-            live = dens > FLOOR
-            r = phi / np.where(live, dens, 1.0)[:, :, None] * live[:, :, None]
-            acc[:, 0] += (w[:, None] * -np.log(np.maximum(dens, FLOOR))).sum(axis=0)
-            acc[:, 1:1 + k] -= np.einsum("n,nck->ck", w, r)
-            acc[:, 1 + k:] += np.einsum("n,nck,ncl->ckl", w, r, r).reshape(nc, -1)
+            for j in range(n):
+                dens = np.einsum("nck,ck->nc", phi, points[:, j])
+                live = dens > FLOOR
+                r = phi / np.where(live, dens, 1.0)[:, :, None] * live[:, :, None]
+                acc[:, j, 0] += (w[:, None] * -np.log(np.maximum(dens, FLOOR))).sum(axis=0)
+                acc[:, j, 1:1 + k] -= np.einsum("n,nck->ck", w, r)
+                acc[:, j, 1 + k:] += np.einsum("nck,ncl->ckl", r * w[:, None, None], r).reshape(nc, -1)
         yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.ravel()], pa.list_(pa.float64()))})
     return run
 
 
-def _objectives(candidates: np.ndarray):
-    """One array per task: the objective of every (cutoff, candidate)."""
-    nc, n, k = candidates.shape
-
-    def run(batches):
-        acc = np.zeros((nc, n))
-        for b in batches:
-            if b.num_rows:
-                w = b.column("w").to_numpy()
-                phi = b.column("phi").flatten().to_numpy(zero_copy_only=False).reshape(-1, nc, k)
-                dens = np.einsum("nck,cjk->ncj", phi, candidates)
-                acc += (w[:, None, None] * -np.log(np.maximum(dens, FLOOR))).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([acc.ravel()], pa.list_(pa.float64()))})
-    return run
-
-
-def _added(feats: DataFrame, kernel, shape) -> np.ndarray:
-    return sum((np.array(r.sums) for r in feats.mapInArrow(kernel, "sums array<double>").collect()), np.zeros(int(np.prod(shape)))).reshape(shape)
+def newton_sums(feats: DataFrame, points: np.ndarray) -> np.ndarray:
+    """``_newton_sums`` added over the tasks (one array for each)."""
+    nc, n, k = points.shape
+    partial = feats.mapInArrow(_newton_sums(points), "sums array<double>").collect()
+    return sum((np.array(r.sums) for r in partial), np.zeros(nc * n * (1 + k + k * k))).reshape(nc, n, -1)
 
 
 class _Polynomials:
@@ -467,9 +455,10 @@ class _Polynomials:
 
 def fit_polynomials(split: DataFrame, cutoffs, rank: int, degree: int = 5, steps: int = 80, tol: float = 1e-7) -> list[dict]:
     """M9 in the reference's family, all cutoffs at once: per cutoff ``cutoff, coeffs`` (monomial, low order
-    first), ``train_nll, min_slope, converged``. A Newton step takes two aggregate jobs: sums at the point,
-    and the objective along the step; a step is taken only as far as the slopes stay inside and the barrier
-    function falls. ``converged``: the last barrier's Newton decrement is below ``tol`` within ``steps``."""
+    first), ``train_nll, min_slope, converged``. A Newton step takes one aggregate job, with the sums at
+    several points along the step; the farthest is taken at which the slopes stay inside and the barrier
+    function falls enough. ``converged``: the last barrier's Newton decrement is below ``tol`` (or below 100 ``tol``
+    where no step along it lowers the sum any more) within ``steps``."""
     ship_package(split.sparkSession)
     cutoffs = [float(c) for c in cutoffs]
     nc, k = len(cutoffs), degree + 1
@@ -480,35 +469,34 @@ def fit_polynomials(split: DataFrame, cutoffs, rank: int, degree: int = 5, steps
     poly = [_Polynomials(c, rank, degree) for c in cutoffs]
     a = np.stack([p.start for p in poly])
     level, settled, taken = np.zeros(nc, int), np.zeros(nc, bool), 0
-    sizes = 0.5 ** np.arange(12)
+    sizes = 0.4 ** np.arange(9)
+    sums = newton_sums(feats, a[:, None, :])[:, 0]
     while taken < steps and not settled.all():
         taken += 1
-        sums = _added(feats, _newton_sums(a), (nc, 1 + k + k * k))
-        moves, slopes, now = np.zeros((nc, k)), np.zeros(nc), np.zeros(nc)
+        moves, falls, now = np.zeros((nc, k)), np.zeros(nc), np.zeros(nc)
         for i, p in enumerate(poly):
             mu, room = BARRIER[level[i]], p.room(a[i])
             grad = p.free.T @ (sums[i, 1:1 + k] - mu * (p.slope / room[:, None]).sum(axis=0))
             s = p.slope @ p.free / room[:, None]
             hess = p.free.T @ sums[i, 1 + k:].reshape(k, k) @ p.free + mu * s.T @ s
             z = -np.linalg.solve(hess + 1e-12 * np.trace(hess) * np.eye(len(hess)), grad)
-            moves[i], slopes[i], now[i] = p.free @ z, grad @ z, sums[i, 0] - mu * np.log(room).sum()
+            moves[i], falls[i], now[i] = p.free @ z, -grad @ z, sums[i, 0] - mu * np.log(room).sum()
         tried = a[:, None, :] + sizes[None, :, None] * moves[:, None, :]
-        values = _added(feats, _objectives(tried), (nc, len(sizes)))
+        found = newton_sums(feats, tried)
         for i, p in enumerate(poly):
+            if settled[i]:
+                continue
             room = np.stack([p.room(x) for x in tried[i]])
-            inside = (room > 0).all(axis=1)
-            merit = values[i] - BARRIER[level[i]] * np.log(np.where(room > 0, room, 1.0)).sum(axis=1)
-            good = np.flatnonzero(inside & (merit <= now[i] + 1e-4 * sizes * slopes[i]))
-            if len(good) and not settled[i]:
-                a[i] = tried[i, good[0]]
-            if -slopes[i] < (tol if level[i] == len(BARRIER) - 1 else 1e-3 * max(1.0, abs(now[i]))) or not len(good):
-                if level[i] < len(BARRIER) - 1:
-                    level[i] += 1
-                else:
-                    settled[i] = -slopes[i] < 100 * tol or settled[i]
-                    if not settled[i]:
-                        break
-    nll = _added(feats, _objectives(a[:, None, :]), (nc, 1))[:, 0]
+            merit = found[i, :, 0] - BARRIER[level[i]] * np.log(np.where(room > 0, room, 1.0)).sum(axis=1)
+            good = np.flatnonzero((room > 0).all(axis=1) & (merit <= now[i] - 1e-4 * sizes * falls[i]))
+            if len(good):
+                a[i], sums[i] = tried[i, good[0]], found[i, good[0]]
+            last = level[i] == len(BARRIER) - 1
+            if last:
+                settled[i] = falls[i] < tol or (not len(good) and falls[i] < 100 * tol)  # no step that rounding shows
+            elif falls[i] < 1e-3 or not len(good):
+                level[i] += 1
+    nll = sums[:, 0]
     feats.unpersist()
     cheb, out = np.polynomial.chebyshev, []
     for i, c in enumerate(cutoffs):
@@ -520,17 +508,18 @@ def fit_polynomials(split: DataFrame, cutoffs, rank: int, degree: int = 5, steps
 
 
 def polynomial_sweep(split: DataFrame, cutoffs, rank: int, degree: int = 5) -> DataFrame:
-    """M12 over ``fit_polynomials``: ``cutoff, coeffs, train_nll, test_nll, mass, min_slope, converged, accepted``.
-    The least slope is found at its stationary points."""
+    """M12 over ``fit_polynomials``: ``cutoff, coeffs, train_nll, test_nll, mass, min_g, min_slope, converged,
+    accepted``. The least slope is found at its stationary points."""
     spark = split.sparkSession
     fits = fit_polynomials(split, cutoffs, rank, degree)
     kernels = [(f["cutoff"], f["coeffs"]) for f in fits]
     test = {r["cutoff"]: r["nll"] for r in kde_nll(split, kernels, users="test").collect()}
     mass = {r["cutoff"]: r["mass"] for r in kernel_mass(spark, kernels, rank).collect()}
-    rows = [(f["cutoff"], f["coeffs"], f["train_nll"], test.get(f["cutoff"]), mass[f["cutoff"]], f["min_slope"], f["converged"],
-             abs(mass[f["cutoff"]] - 1.0) <= 0.1 and f["min_slope"] >= 0.0) for f in fits]
+    mins = {r["cutoff"]: r["min_g"] for r in kernel_min(spark, kernels).collect()}
+    rows = [(f["cutoff"], f["coeffs"], f["train_nll"], test.get(f["cutoff"]), mass[f["cutoff"]], mins[f["cutoff"]], f["min_slope"],
+             f["converged"], abs(mass[f["cutoff"]] - 1.0) <= 0.1 and f["min_slope"] >= 0.0) for f in fits]
     return spark.createDataFrame(rows, "cutoff double, coeffs array<double>, train_nll double, test_nll double, mass double, "
-                                       "min_slope double, converged boolean, accepted boolean")
+                                       "min_g double, min_slope double, converged boolean, accepted boolean")
 
 
 def kernel_sweep(split: DataFrame, cutoffs, rank: int, m: int = 12, steps: int = 100) -> DataFrame:
