@@ -21,7 +21,6 @@ B = 0.5
 N_PICKS = 5
 RIDGE_REG = 0.2
 KDE_CUTOFFS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5)
-EM_STEPS = 100
 EM_BASES = 12
 ALS_BLOCKS = 8  # a constant: the block count changes the result
 ALS_ITERATIONS = 25

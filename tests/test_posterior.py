@@ -1,7 +1,6 @@
 import hashlib
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from ratinglab.operators import posterior, stats
 
