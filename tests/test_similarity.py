@@ -93,3 +93,26 @@ def test_dense_tiles_give_the_same_pairs(spark, monkeypatch):
         got = similarity.similar_items_exact(df, None, 0.4).collect()
         assert {(r.left_id, r.right_id) for r in got} == want and len(got) == len(want)
         assert all(abs(r.dot - d[r.left_id, r.right_id]) < 1e-12 for r in got)
+
+
+def test_key_join_tests_buckets_as_blocks(spark, monkeypatch):
+    """No row for a candidate pair, and large buckets in slices: the same pairs as equal keys and an exact filter."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4, 8))[rng.integers(0, 4, 200)] + rng.normal(size=(200, 8)) * 0.4
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id int, unit_vector array<double>")
+    d = v @ v.T
+    same = np.zeros(d.shape, bool)
+    for table in similarity.lsh_draws(8, 3):
+        key = np.stack([np.floor(v @ np.array(signs) / 2.5 + shift) for signs, shift in table], axis=1)
+        same |= (key[:, None] == key[None]).all(axis=2)
+    want = {(i, j) for i, j in zip(*np.nonzero(same & (d > 0.4)))}
+    for rows in (1 << 15, 7):
+        monkeypatch.setattr(similarity, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(similarity, "ROWS", rows)
+        for right in (df, df.select("*")):
+            pairs = similarity.similar_items_keys(df, right, 0.4, 8, 3, 2.5)
+            got = pairs.collect()
+            assert {(r.left_id, r.right_id) for r in got} == want and len(got) == len(want)
+    part = similarity.similar_items_keys(df.where("item_id < 30"), df, 0.4, 8, 3, 2.5).collect()
+    assert {(r.left_id, r.right_id) for r in part} == {p for p in want if p[0] < 30}
