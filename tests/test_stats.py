@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from rating_rows import ratings_df
+from rating_rows import SF001, ratings_df
 from ratinglab.operators import posterior, stats
+from ratinglab.sources import fixtures as fx
 
 
 def test_only_half_star_ratings_empty_histogram(spark):
@@ -46,3 +47,12 @@ def test_item_stats_sources(spark):
     assert st[1]["source"] == "plain" and abs(st[1]["mean"] - 3.0) < 0.05
     assert st[2]["source"] == "posterior" and st[3]["source"] == "posterior"
     assert abs(st[3]["mean"] - st[1]["mean"]) < 0.05  # one prior: its moments
+
+
+def test_tasks_of_the_rating_pairs_grow_with_the_rows(spark):
+    """No task groups more than TASK_ROWS pairs, and none holds a table of pairs before the shuffle."""
+    assert [fx.pair_tasks(n, 24) for n in (0, 1, 60_000, 600_000, 36_000_000, 216_000_000)] == [1, 1, 3, 24, 90, 540]
+    plan = fx.ratings(spark, SF001)._jdf.queryExecution().sparkPlan().toString()
+    groups = [k for k, line in enumerate(plan.splitlines()) if "HashAggregate(keys=[o_custkey" in line]
+    exchange = next(k for k, line in enumerate(plan.splitlines()) if "REPARTITION_BY_NUM" in line)
+    assert groups and max(groups) < exchange  # nearer the root than the shuffle
