@@ -4,7 +4,9 @@ A text is coded as its tokens in lower case (A-Z), each word's bytes and a space
 symbol. A byte is a path of binary decisions in a prefix code fitted to the training bytes that
 follow the same two bytes (or the same one, where two are rare), so likely bytes take few. Four
 predictors look at hashed contexts: the last four bytes of the word and all of the word so far,
-each in all training texts and in those of one language. Each holds, per context and tree node,
+each in all training texts and in those of one language. In a word's first ``HEAD`` symbols the
+second one (all of the word, all texts) looks past the word's start, too: at the last ``BEFORE``
+bytes of the word before, counted in the training texts themselves. Each holds, per context and tree node,
 how often either branch was taken; its input is the log odds. Which language's predictors are
 read follows the text's tokens so far: the language under which its frequent words were likeliest.
 A mixer adds the inputs by weights of a gate, how often the word's beginning was seen in that
@@ -16,7 +18,8 @@ Weights and maps start anew every ``LANE_BITS`` coded bits at most, so a text of
 scored whole, in lanes of equal length side by side in numpy.
 
 Corpus side: word counts are one pre-aggregated shuffle, whatever the corpus; tables are summed
-from the distinct words, so training costs follow the vocabulary. Tables have a fixed number of
+from the distinct words, and what a word's start owes to the word before it from every slice's
+distinct neighbours, added up in each task. Tables have a fixed number of
 slots (``SLOT_BITS``), a broadcast of known size. The base score needs exact counts: words of at
 least one in ``HOT_SHARE`` of all tokens (so at most that many) are broadcast, the others joined.
 
@@ -46,10 +49,11 @@ GROUPS = LANGUAGES + 1
 SLOT_BITS = (19, 21, 20, 21)  # of each predictor
 PRIOR = (0.05, 0.02, 0.05, 0.02)  # added to both branches' counts
 GATES = 4
+HEAD, BEFORE = 4, 3  # a word's first symbols see so many last bytes of the word before
 CODE_SHARE = 512  # two bytes have a code of their own from one in so many symbols on
 LANE_BITS = 4096
 SCORE_BYTES = 5 << 19  # texts scored side by side
-PAIRS_AT_ONCE = 1 << 14  # words whose bits are laid out at once
+PAIRS_AT_ONCE, HEADS_AT_ONCE = 1 << 12, 1 << 11  # words and heads whose bits are laid out at once
 RATE, MAP_RATE, MAP_CELLS, MAP_STEP = 0.02, 0.02, 25, 0.5
 PROBABILITY_FLOOR = 1e-5
 #: Weights that the mixer starts from, by gate: unseen beginnings lean on short contexts.
@@ -187,46 +191,83 @@ class Code:
         self.node = np.array([n for n, _ in flat], np.int64)
         self.branch = np.array([b for _, b in flat], np.uint8)
 
-    def events(self, words: pa.Array, group: np.ndarray, tables=(0, 1, 2, 3)):
-        """Every coded bit of words: (word sizes in bits, branches, slots of each predictor for the
-        words' groups)."""
+    def events(self, words: pa.Array, group: np.ndarray, tables=(0, 1, 2, 3), part: str = "whole"):
+        """Every coded bit of words, or of their first ``HEAD`` symbols (part "head") or the others ("tail"): (sizes
+        in bits, branches, hashes of each predictor's contexts for the words' groups)."""
         symbols, pos, first, size = _symbols(words)
         code = self.code_of[_before(symbols, pos, 2) << 8 | _before(symbols, pos, 1)]
         value = H._BYTES[symbols]
         total = np.concatenate([np.zeros(1, _U), np.cumsum(value * H.powers(int(pos.max(initial=0)) + 1)[pos])])
-        at = np.arange(len(symbols))
-        back = lambda k: np.where(pos >= k, value[np.maximum(at - k, 0)], _U(k))
+        some = np.flatnonzero({"whole": pos >= 0, "head": pos < HEAD, "tail": pos >= HEAD}[part])
+        of = np.repeat(np.arange(len(words)), size)[some]
+        back = lambda k: np.where(pos[some] >= k, value[np.maximum(some - k, 0)], _U(k))
         four = ((back(1) * H.BASE + back(2)) * H.BASE + back(3)) * H.BASE + back(4)
-        whole = total[at] - np.repeat(total[first], size)
-        spoken = np.repeat(H.mix(group.astype(_U) + _U(1)), size)
+        whole = total[some] - total[first[of]]
+        spoken = H.mix(group.astype(_U) + _U(1))[of]
         contexts = {0: lambda: four, 1: lambda: whole, 2: lambda: four + spoken, 3: lambda: whole + spoken}
+        code, symbols = code[some], symbols[some]
         bits = self.size[code, symbols]
-        which = np.repeat(self.start[code, symbols] - (np.cumsum(bits) - bits), bits) + np.arange(int(bits.sum()))
+        which = _spread(self.start[code, symbols], bits)
         node = (self.node[which] + 1).astype(_U) * _SALT[7]
-        slots = [((np.repeat(contexts[k]() + _SALT[k], bits) + node) * H.BASE >> _U(64 - SLOT_BITS[k])).astype(np.int32) for k in tables]
-        word_bits = np.add.reduceat(bits, first) if len(words) else np.empty(0, np.int64)
-        return word_bits, self.branch[which], slots
+        keys = [np.repeat(contexts[k]() + _SALT[k], bits) + node for k in tables]
+        return np.bincount(of, weights=bits, minlength=len(words)).astype(np.int64), self.branch[which], keys
 
 
-BLOCK_BITS = 16
+def _slot(key: np.ndarray, table: int) -> np.ndarray:
+    return (key * H.BASE >> _U(64 - SLOT_BITS[table])).view(np.int64)
 
 
-def _count_bits(batches, held):
-    """Branch counts of the distinct words' contexts, as blocks of slots that are not empty."""
-    code = held.value
-    tables = [np.zeros(2 << b, np.int64) for b in SLOT_BITS]
+def _endings(words: pa.Array) -> np.ndarray:
+    """The last ``BEFORE`` bytes of each word (fewer in a shorter one) as one number; never 0."""
+    raw, off = _raw(words)
+    out = np.zeros(len(words), np.int64)
+    for k in range(1, BEFORE + 1):
+        there = np.flatnonzero(off[1:] - off[:-1] >= k)
+        out[there] |= (raw[off[1:][there] - k].astype(np.int64) + 1) << (9 * (k - 1))
+    return out
 
-    def add(which, words, group, train):
-        word_bits, branch, slots = code.events(words, group, which)
-        weight = np.repeat(train, word_bits)
-        for k, s in zip(which, slots):
-            np.add.at(tables[k], s + (branch.astype(np.int64) << SLOT_BITS[k]), weight)
-    for b in batches:
-        words, train = b.column(0), np.stack([b.column(g + 1).to_numpy() for g in range(GROUPS)], 1)
-        add((0, 1), words, np.zeros(len(words), np.int64), train.sum(axis=1))
-        at, group = np.nonzero(train)
-        add((2, 3), words.take(pa.array(at)), group, train[at, group])
-    for k, t in enumerate(tables):
+
+def _after(ending: np.ndarray) -> np.ndarray:
+    """What predictor 1's context hashes are raised by behind a word of this ending; 0: none before."""
+    return H.mix(ending.astype(_U) + _SALT[6])
+
+
+def _tokens(words: pa.Array, inverse: np.ndarray, owner: np.ndarray, n: int):
+    """The tokens of n texts, an end symbol (word number len(words)) behind each: (tokens but the ends in each
+    text, places of the ends, word numbers, distinct endings, which of them the word before has)."""
+    size = np.bincount(owner, minlength=n)
+    ends = np.cumsum(size + 1) - 1
+    token = np.full(len(inverse) + n, len(words), np.int64)
+    body = np.ones(len(token), bool)
+    body[ends] = False
+    token[body] = inverse
+    endings, which = np.unique(np.append(_endings(words), 0), return_inverse=True)  # 0: none before a text's first token
+    before = np.zeros(len(token), np.int64)
+    before[1:] = which[token[:-1]]
+    return size, ends, token, endings, before
+
+
+def _heads(words: pa.Array):
+    """(place of a word for each distinct run of first ``HEAD`` symbols, which of these runs each word has)."""
+    symbols, pos, first, size = _symbols(words)
+    packed = np.zeros(len(words), np.int64)
+    for k in range(HEAD):
+        there = np.flatnonzero(size > k)
+        packed[there] |= (symbols[first[there] + k].astype(np.int64) + 1) << (9 * k)
+    return np.unique(packed, return_index=True, return_inverse=True)[1:]
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... size times, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+BLOCK_BITS = 16
+
+
+def _blocks(tables: dict):
+    """Branch counts by table, as blocks of slots that are not empty."""
+    for k, t in tables.items():
         t = t.reshape(2, -1)
         for block in range(t.shape[1] >> BLOCK_BITS):
             part = t[:, block << BLOCK_BITS:(block + 1) << BLOCK_BITS]
@@ -238,6 +279,50 @@ def _count_bits(batches, held):
                     "counts": pa.array([part[:, used].astype("<i8").tobytes()], pa.binary())})
 
 
+def _count_heads(batches, held):
+    """(text) of training rows: branch counts of predictor 1 in the words' first symbols, where its contexts
+    hold the word before."""
+    code = held.value
+    table = np.zeros(2 << SLOT_BITS[1], np.int64)
+    for part in (p for b in batches for p in H.parts(b, limit=H.SLICE_BYTES)):
+        words, inverse, owner = _distinct(part.column("text"))
+        _, _, token, endings, before = _tokens(words, inverse, owner, len(part))
+        every = pa.concat_arrays([words.cast(pa.large_binary()), pa.array([b"\n"], pa.large_binary())])
+        sample, head = _heads(every)
+        pair, number = np.unique(head[token] * len(endings) + before, return_counts=True)
+        after, head = _after(endings)[pair % len(endings)], pair // len(endings)
+        for k in range(0, len(sample), HEADS_AT_ONCE):
+            at = slice(*np.searchsorted(head, [k, k + HEADS_AT_ONCE]))
+            some = every.take(pa.array(sample[k:k + HEADS_AT_ONCE]))
+            size, branch, (key,) = code.events(some, np.zeros(len(some), np.int64), (1,), "head")
+            n = size[head[at] - k]
+            event = _spread((np.cumsum(size) - size)[head[at] - k], n)
+            slot = _slot(key.take(event) + np.repeat(after[at], n), 1)
+            np.add.at(table, slot + (branch.astype(np.int64) << SLOT_BITS[1]).take(event), np.repeat(number[at], n))
+    yield from _blocks({1: table})
+
+
+def _count_bits(batches, held):
+    """Branch counts of the distinct words' contexts, as blocks of slots that are not empty; predictor 1's
+    from behind the words' first symbols."""
+    code = held.value
+    tables = {k: np.zeros(2 << b, np.int64) for k, b in enumerate(SLOT_BITS)}
+
+    def add(which, words, group, train, part="whole"):
+        word_bits, branch, keys = code.events(words, group, which, part)
+        weight = np.repeat(train, word_bits)
+        for k, key in zip(which, keys):
+            np.add.at(tables[k], _slot(key, k) + (branch.astype(np.int64) << SLOT_BITS[k]), weight)
+    for b in batches:
+        words, train = b.column(0), np.stack([b.column(g + 1).to_numpy() for g in range(GROUPS)], 1)
+        none = np.zeros(len(words), np.int64)
+        add((0,), words, none, train.sum(axis=1))
+        add((1,), words, none, train.sum(axis=1), "tail")
+        at, group = np.nonzero(train)
+        add((2, 3), words.take(pa.array(at)), group, train[at, group])
+    yield from _blocks(tables)
+
+
 def _sum_blocks(table: pa.Table) -> pa.Table:
     """One block: log odds in units of 1/256 (int16), and for the gate how often it was seen."""
     k = table.column("table")[0].as_py()
@@ -344,11 +429,23 @@ class Model:
         out[order] = total
         return out
 
-    def inputs(self, words: pa.Array, pair: np.ndarray):
-        """Of (word, language) pairs: sizes in bits, and of every bit the four log odds and the mark."""
-        word_bits, branch, slots = self.code.events(words.take(pa.array(pair // GROUPS)), pair % GROUPS)
-        odds = np.stack([self.odds[k][s] for k, s in enumerate(slots)], 1).reshape(-1).view(np.int64)
-        return word_bits, odds, self.seen[slots[3]] << 1 | branch
+    def inputs(self, words: pa.Array, group: np.ndarray, part: str, before=None, of=None):
+        """Of the head or the tail of (word, language) pairs: sizes in bits, and of every bit the four log odds and
+        the mark. Heads are behind words whose endings raise predictor 1's hashes by ``before``, of pair number ``of``."""
+        size, branch, keys = self.code.events(words, group, part=part)
+        odds = np.empty((len(branch), 4), np.int16)
+        for k in (0, 1, 2, 3) if before is None else (0, 2, 3):
+            slot = _slot(keys[k], k)
+            odds[:, k] = self.odds[k].take(slot)
+        marks = self.seen.take(slot) << 1 | branch
+        odds = odds.reshape(-1).view(np.int64)
+        if before is None:
+            return size, odds, marks
+        n = size[of]
+        event = _spread((np.cumsum(size) - size)[of], n)
+        odds = odds.take(event)
+        odds.view(np.int16)[1::4] = self.odds[1].take(_slot(keys[1].take(event) + np.repeat(before, n), 1))
+        return n, odds, marks.take(event)
 
     def score(self, array: pa.Array):
         """(n_tokens, base of hot words, known hot tokens, score, rare words of each text)."""
@@ -359,13 +456,7 @@ class Model:
         by_group = np.zeros((len(every), GROUPS))
         by_group[hot] = self.hot_counts[place]
         count = by_group.sum(axis=1)
-        # tokens of every text with the end symbol behind
-        tokens = np.bincount(owner, minlength=n)
-        ends = np.cumsum(tokens + 1) - 1
-        token = np.full(len(inverse) + n, len(words), np.int64)
-        body = np.ones(len(token), bool)
-        body[ends] = False
-        token[body] = inverse
+        tokens, ends, token, endings, before = _tokens(words, inverse, owner, n)
         text_of = np.repeat(np.arange(n), tokens + 1)
         # the likeliest language before every token
         share = (self.group_tokens + 1) / (self.tokens + GROUPS)
@@ -379,17 +470,40 @@ class Model:
             better = run > best
             best[better] = run[better]
             group[better] = g
-        # coded bits of the distinct (word, language) pairs, and the texts' bits one after another
-        token_pair = token * GROUPS + group
-        pair = np.flatnonzero(np.bincount(token_pair, minlength=len(every) * GROUPS))
-        number = np.zeros(len(every) * GROUPS, np.int64)
-        number[pair] = np.arange(len(pair))
-        token_pair = number[token_pair]
-        parts = [self.inputs(every, pair[k:k + PAIRS_AT_ONCE]) for k in range(0, len(pair), PAIRS_AT_ONCE)]
-        word_bits, inputs, marks = (np.concatenate(x) for x in zip(*parts))
-        first = np.cumsum(word_bits) - word_bits
-        size = word_bits[token_pair]
-        stream = np.repeat((first[token_pair] - (np.cumsum(size) - size)).astype(np.int32), size)
+        # coded bits of the distinct (word's tail, language) pairs and (word's head, language, ending before), and
+        # the texts' bits one after another
+        def distinct(key, kinds):
+            used = np.flatnonzero(np.bincount(key, minlength=kinds))
+            number = np.zeros(kinds, np.int64)
+            number[used] = np.arange(len(used))
+            return used, number[key]
+        pair, token_tail = distinct(token * GROUPS + group, len(every) * GROUPS)
+        parts = [self.inputs(every.take(pa.array(p // GROUPS)), p % GROUPS, "tail")
+                 for p in (pair[k:k + PAIRS_AT_ONCE] for k in range(0, len(pair), PAIRS_AT_ONCE))]
+        tail_size = np.concatenate([p[0] for p in parts])
+        sample, head = _heads(every)
+        pair, token_head = distinct(head[token] * GROUPS + group, len(sample) * GROUPS)
+        coded = pa.array(token_head * len(endings) + before).dictionary_encode()
+        key = coded.dictionary.to_numpy()
+        order = np.argsort(key)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        token_head = place[coded.indices.to_numpy()]
+        after, of = _after(endings)[key[order] % len(endings)], key[order] // len(endings)
+        n_tails = len(parts)
+        for k in range(0, len(pair), HEADS_AT_ONCE):
+            p, at = pair[k:k + HEADS_AT_ONCE], slice(*np.searchsorted(of, [k, k + HEADS_AT_ONCE]))
+            parts.append(self.inputs(every.take(pa.array(sample[p // GROUPS])), p % GROUPS, "head", after[at], of[at] - k))
+        head_size = np.concatenate([p[0] for p in parts[n_tails:]])
+        inputs, marks = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        del parts, coded, key, order, place
+        # a token's bits: its head's, then its tail's
+        run = np.stack([head_size[token_head], tail_size[token_tail]], 1).reshape(-1)
+        tail_first = np.cumsum(tail_size) - tail_size
+        head_first = int(tail_size.sum()) + np.cumsum(head_size) - head_size
+        first = np.stack([head_first[token_head], tail_first[token_tail]], 1).reshape(-1)
+        size = run[0::2] + run[1::2]
+        stream = np.repeat((first - (np.cumsum(run) - run)).astype(np.int32), run)
         stream += np.arange(len(stream), dtype=np.int32)
         stop = np.cumsum(size)[ends]
         bits = np.diff(np.append(0, stop))
@@ -441,9 +555,10 @@ def fit(docs: DataFrame):
     pairs = seen.mapInArrow(_count_symbols, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** 24
     code = Code(pairs.column("key").to_numpy().astype(np.int64), pairs.column("n").to_numpy())
     code_held = spark.sparkContext.broadcast(code)
-    bits = vocabulary.where("train > 0").select("word", *group).mapInArrow(
-        lambda b: _count_bits(b, code_held), "table int, block int, slots binary, counts binary")
-    blocks = bits.groupBy("table", "block").applyInArrow(_sum_blocks, "table int, block int, odds binary, seen binary")
+    schema = "table int, block int, slots binary, counts binary"
+    bits = vocabulary.where("train > 0").select("word", *group).mapInArrow(lambda b: _count_bits(b, code_held), schema)
+    heads = docs.where("NOT held").select("text").mapInArrow(lambda b: _count_heads(b, code_held), schema)
+    blocks = bits.unionByName(heads).groupBy("table", "block").applyInArrow(_sum_blocks, "table int, block int, odds binary, seen binary")
     odds = [np.zeros(1 << b, np.int16) for b in SLOT_BITS]
     gate = np.zeros(1 << SLOT_BITS[3], np.uint8)
     for r in blocks.toLocalIterator():  # tables of fixed size
@@ -458,7 +573,7 @@ def fit(docs: DataFrame):
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, coded_bits (binary decisions)."""
     spark = docs.sparkSession
     ship_package(spark)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")

@@ -189,6 +189,53 @@ def test_context_mixing_learns(spark):
     assert out["sum(score)"] > out["sum(base_score)"]
 
 
+def test_context_mixing_uses_word_order(spark):
+    """Every word is followed by its partner; the same words in other orders are less likely."""
+    rng = random.Random(11)
+    firsts = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(30)]
+    partner = {w: "".join(rng.choices("klmnopqrst", k=5)) for w in firsts}
+    text = lambda n: [w for f in rng.choices(firsts, k=n) for w in (f, partner[f])]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:20]
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:300]
+    rows = [(i, " ".join(text(50))) for i in train]
+    for i in held:
+        words = text(50)
+        rows += [(i, " ".join(words)), (i, " ".join(words[0::2] + words[1::2]))]
+    out = mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    for i in held:
+        low, high = sorted(r.score for r in out if r.doc_id == i)
+        assert high > 0.8 * low  # both below 0
+    ordered = {t: i for i, t in rows[len(train)::2]}
+    again = mixing.score(spark.createDataFrame([r for r in rows[:len(train)]] + [(i, t) for t, i in ordered.items()], "doc_id long, text string"))
+    best = {i: max(r.score for r in out if r.doc_id == i) for i in held}
+    assert all(abs(r.score - best[r.doc_id]) < 1e-3 * -r.score for r in again.where("held_out").collect())
+
+
+def test_context_mixing_head_counts(monkeypatch):
+    """Bits of the words' first symbols behind each ending, against a loop over the tokens, however texts are cut."""
+    texts = ["the cat sat on the mat", None, "", "a ca the ca", "the cat", "ça va ça"]
+    code = small_model(monkeypatch, [t or "" for t in texts]).code
+    held = type("Held", (), {"value": code})
+    want = np.zeros((2, 1 << 16), np.int64)
+    for t in texts:
+        before = 0
+        for w in [*(t or "").encode().split(), b"\n"]:
+            symbols = list(w + b" " * (w != b"\n"))
+            _, branch, (key,) = code.events(pa.array([w], pa.large_binary()), np.zeros(1, np.int64), (1,))
+            n = sum(int(code.size[code.code_of[a << 8 | b], c]) for a, b, c in zip([32, 32, *symbols], [32, *symbols], symbols[:4]))
+            at = mixing._slot(key[:n] + mixing._after(np.array([before])), 1)
+            np.add.at(want, (branch[:n], at), 1)
+            before = sum((b + 1) << (9 * k) for k, b in enumerate(w[:-4:-1]))
+    for cut in (1, 2, 6):
+        got = np.zeros_like(want)
+        batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k:k + cut], pa.string())}) for k in range(0, 6, cut)]
+        for b in mixing._count_heads(batches, held):
+            slots = np.frombuffer(b.column("slots")[0].as_py(), "<u2").astype(np.int64)
+            assert b.column("table")[0].as_py() == 1 and b.column("block")[0].as_py() == 0
+            got[:, slots] += np.frombuffer(b.column("counts")[0].as_py(), "<i8").reshape(2, -1)
+        assert (got == want).all() and want.sum() > 0
+
+
 ROLES = ["user", "assistant", "system", "", None, "a: b#<", "assistant"]
 TEXTS = ["hello", "", None, r"\### Assistant: </turn> ok", "</turn>\n### user: x", "\\", "\\\\l\\h", "é😀\n", "#<", "x" * 5000]
 
