@@ -82,6 +82,54 @@ def test_als_sweeps_equal_dense_solutions(spark):
     assert losses[0] >= losses[1] >= losses[2]
 
 
+def test_als_sweeps_with_hot_ids_nulls_and_repeats(spark, monkeypatch):
+    """Blocks, slices and ids without a block change no factor; null keys and ratings go as in half_sweep."""
+    rng = np.random.default_rng(4)
+    rows = [(1, i, float(rng.integers(1, 11)) / 2) for i in range(30)]
+    rows += [(u, int(i), float(rng.integers(1, 11)) / 2) for u in range(2, 20) for i in rng.choice(30, 5)]
+    rows += [(3, 7, 2.0), (3, 7, 2.0), (None, 4, 3.0), (None, 5, 1.0), (6, None, 1.0), (7, 8, None), (22, None, 2.0)]
+    df = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+    items = als.start_factors(df.select(F.col("item_id").alias("id")).distinct(), 3, 7)
+    users = als.half_sweep(df, "user_id", "item_id", items, 3, 0.1)
+    items = als.half_sweep(df, "item_id", "user_id", users, 3, 0.1)
+
+    def found(frame):
+        out = {r["id"]: np.array([r[f"x{i}"] for i in range(3)]) for r in frame.collect()}
+        assert len(out) == frame.count()
+        return out
+    want = found(users), found(items)
+    for hot, size in ((1 << 20, 1 << 17), (10, 16), (0, 16)):
+        monkeypatch.setattr(als, "HOT_ROWS", hot)
+        monkeypatch.setattr(als, "SLICE_ROWS", size)
+        monkeypatch.setattr(als, "BLOCK_ROWS", 40)
+        for frame, w in zip(als.als_sweeps(df, 3, 0.1, 1, 7), want):
+            got = found(frame)
+            assert got.keys() == w.keys() and all(np.allclose(got[k], w[k], equal_nan=True) for k in w)
+
+
+def test_als_sweeps_send_a_factor_once_to_a_block(spark):
+    df = ratings_df(spark, [(u, i, 3.0) for u in range(60) for i in range(50)])
+    rows, needs, hot = als.packed(df, "item_id", "user_id", 4)
+    assert hot is None and rows.count() == 50
+    factors = als.start_factors(needs.select("id"), 2, 7)
+    assert als.sent(factors, needs).groupBy("id", "block").count().agg(F.max("count"), F.count("*")).first() == (1, 200)
+
+
+def test_item_statistics_are_worked_out_once(spark):
+    """A row function counts how often the statistics are read from their source."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    r = ratings_df(spark, [(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(10)])
+    st = spark.createDataFrame([(i, 3.0, 1.0) for i in range(10)], "item_id int, mean double, std double").mapInArrow(
+        read, "item_id int, mean double, std double")
+    _, table = als.als_runs(r, mode="normalized", rank=2, max_iter=2, runs=1, item_stats=st)
+    assert table.count() == 10 and seen.value == 10
+
+
 def test_als_sweeps_of_no_ratings(spark):
     u, v = als.als_sweeps(ratings_df(spark, []), 3, 0.1, 1, 7)
     assert u.collect() == [] and v.collect() == []
