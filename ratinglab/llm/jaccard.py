@@ -67,6 +67,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SLOT_BITS)).astype(np.int64)
 
 
+@H.lean
 def _count_slots(batches):
     table = np.zeros(1 << SLOT_BITS, np.int32)
     for b in batches:
@@ -136,6 +137,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
         np.ascontiguousarray(rows))]).cast(pa.binary())
 
 
+@H.lean
 def _sets(batches, held):
     classes = held.value
     for b in batches:
@@ -152,6 +154,7 @@ def _sets(batches, held):
                 "bitmap": _binary(_bitmaps(h, owner, y - x))})
 
 
+@H.lean
 def _full_sets(batches):
     """(id, d1, d2, text) -> the sorted hashes of texts whose digests are those of the node."""
     for b in batches:
@@ -166,6 +169,7 @@ def _full_sets(batches):
                 "hashes": pa.array([h[first[k]:first[k] + size[k]].view(np.int64) for k in t], pa.list_(pa.int64()))})
 
 
+@H.lean
 def _bound(batches):
     """Pairs whose bitmaps allow the overlap they need. x, y, nx, ny, bx, by -> x, y."""
     for b in batches:
@@ -207,6 +211,7 @@ def _compare(cell: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
 
+@H.lean
 def _exact(batches):
     for b in batches:
         keep = []

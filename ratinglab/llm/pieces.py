@@ -29,6 +29,7 @@ from ratinglab.llm import hashing as H
 from ratinglab.session import ship_package
 
 SHORT = 48
+TEXT_BYTES = 2 << 20  # texts encoded at once
 SPACE = 0x20
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
@@ -284,9 +285,10 @@ class PieceModel:
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
 
+@H.lean
 def _batches(batches, path: str, check: bool, want: str):
     model = PieceModel.load(path)
-    for part in (part for batch in batches for part in H.parts(batch)):
+    for part in (part for batch in batches for part in H.parts(batch, limit=TEXT_BYTES)):
         table = pa.Table.from_batches([part])
         flat, n = model.encode(table.column("text").to_pylist(), check)
         ends = np.cumsum(n)

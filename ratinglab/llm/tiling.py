@@ -140,6 +140,7 @@ def _blocks(bench: DataFrame):
             yield bench.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
 
+@H.lean
 def _found(batches, held):
     block = Block(*held.value)
     for b in batches:
@@ -165,6 +166,7 @@ def contaminations(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], OUT)
 
 
+@H.lean
 def _kept(batches, held, text_at: int):
     block = Block(*held.value)
     for b in batches:
