@@ -52,7 +52,8 @@ GATES = 4
 HEAD, BEFORE = 4, 3  # a word's first symbols see so many last bytes of the word before
 CODE_SHARE = 512  # two bytes have a code of their own from one in so many symbols on
 LANE_BITS = 4096
-SCORE_BYTES = 5 << 19  # texts scored side by side
+SCORE_BYTES = 15 << 18  # texts scored side by side
+STEPS_AT_ONCE = 16  # steps of the lanes that are laid out at once
 PAIRS_AT_ONCE, HEADS_AT_ONCE = 1 << 12, 1 << 11  # words and heads whose bits are laid out at once
 RATE, MAP_RATE, MAP_CELLS, MAP_STEP = 0.02, 0.02, 25, 0.5
 PROBABILITY_FLOOR = 1e-5
@@ -71,14 +72,13 @@ def _distinct(array: pa.Array):
     """Distinct words (binary, lower case), word number of every token, text number of every token."""
     data, off = H.texts(pc.ascii_lower(array))
     s, e, owner = H.word_spans(data, off)
-    size = e - s
-    at = np.arange(int(size.sum())) + np.repeat(s - (np.cumsum(size) - size), size)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(
-        np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data[at])])
+        np.concatenate([[0], np.cumsum(e - s)]).astype(np.int64)), pa.py_buffer(data[H.NOT_SPACE[data]])])
     coded = words.dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), owner
 
 
+@H.lean
 def _count_words(batches):
     """(text, held out, group) -> word, training tokens by group, all tokens; once for each batch."""
     names = [f"t{g}" for g in range(GROUPS)] + ["every"]
@@ -94,7 +94,6 @@ def _count_words(batches):
         both = pa.concat_tables(tables).group_by("word").aggregate([(c, "sum") for c in names])
         yield from both.select(["word"] + [c + "_sum" for c in names]).rename_columns(["word"] + names).to_batches()
         del tables, both
-        pa.default_memory_pool().release_unused()  # the worker lives on for the next stages
 
 
 def _raw(words: pa.Array):
@@ -132,6 +131,7 @@ def _before(symbols: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
     return np.where(pos >= k, symbols[np.maximum(np.arange(len(symbols)) - k, 0)], SPACE).astype(np.int64)
 
 
+@H.lean
 def _count_symbols(batches):
     """Training counts of (two symbols before, symbol), as key and number."""
     for b in batches:
@@ -279,6 +279,7 @@ def _blocks(tables: dict):
                     "counts": pa.array([part[:, used].astype("<i8").tobytes()], pa.binary())})
 
 
+@H.lean
 def _count_heads(batches, held):
     """(text) of training rows: branch counts of predictor 1 in the words' first symbols, where its contexts
     hold the word before."""
@@ -302,6 +303,7 @@ def _count_heads(batches, held):
     yield from _blocks({1: table})
 
 
+@H.lean
 def _count_bits(batches, held):
     """Branch counts of the distinct words' contexts, as blocks of slots that are not empty; predictor 1's
     from behind the words' first symbols."""
@@ -369,64 +371,68 @@ class Model:
         order = np.argsort(-size, kind="stable")
         at, size = start[order], size[order]
         n, steps = len(size), int(size.max(initial=0))
-        alive = np.searchsorted(-size, -np.arange(steps), side="left")
+        alive = np.searchsorted(-size, -np.arange(-(-steps // STEPS_AT_ONCE) * STEPS_AT_ONCE), side="left")
         # 16 bytes hold the four weights of a lane and gate
-        weights = np.repeat(START[:, None] / np.float32(256), n, 1).reshape(-1).view(np.complex128)
+        weights = np.tile((START / np.float32(256)).reshape(-1), n).view(np.complex128)
         step = np.float32(RATE / 65536)
         half = MAP_CELLS // 2
         cells = (np.arange(MAP_CELLS) - half).astype(np.float32) * np.float32(MAP_STEP)
         maps = np.tile(1 / (1 + np.exp(-cells)), n).astype(np.float32)
-        total, product = np.zeros(n), np.ones(n)
-        own, place, four = np.arange(n), np.arange(n) * MAP_CELLS, np.arange(4 * n) // 4
-        branch_of = (np.arange(2 * GATES) & 1).astype(np.float32)
-        gate_of = (np.arange(2 * GATES) >> 1) * n
+        sums = total = np.zeros(n)
+        own, place = np.arange(n) * GATES, np.arange(n) * MAP_CELLS
         low, high = np.float32(PROBABILITY_FLOOR), np.float32(1 - PROBABILITY_FLOOR)
         one, scale, middle, top = np.float32(1), np.float32(1 / MAP_STEP), np.float32(half + 0.5), np.float32(MAP_CELLS - 0.5)
         rate, blend = np.float32(MAP_RATE), np.float32(0.5)
-        for t in range(steps):
+        for t in range(0, steps, STEPS_AT_ONCE):
+            # what does not depend on the weights and maps is laid out for some steps at once; for lanes that end
+            # among them it is not used
             m = alive[t]
-            if m < len(at):
-                at, own, place = at[:m], own[:m], place[:m]
-            event = stream.take(at).astype(np.int64)
-            at += 1
-            x = inputs.take(event).view(np.int16).astype(np.float32)
+            at, own, place, total = at[:m], own[:m], place[:m], total[:m]
+            event = stream.take(at + np.arange(t, t + STEPS_AT_ONCE)[:, None], mode="clip").astype(np.int64)
+            xs = inputs.take(event).view(np.int16).astype(np.float32)
             mark = marks.take(event)
-            y = branch_of.take(mark)
-            cell = gate_of.take(mark)
-            cell += own
-            w = weights.take(cell).view(np.float32)
-            each = w * x
-            dot = each[0::4] + each[1::4]
-            dot += each[2::4]
-            dot += each[3::4]
-            p = np.exp(-dot)
-            p += one
-            np.reciprocal(p, out=p)
-            x *= ((y - p) * step).take(four[:4 * m])
-            w += x
-            weights[cell] = w.view(np.complex128)
-            dot *= scale
-            dot += middle
-            np.maximum(dot, blend, out=dot)
-            np.minimum(dot, top, out=dot)
-            cell = dot.astype(np.int64)
-            cell += place
-            refined = maps.take(cell)
-            p += refined
-            p *= blend
-            np.minimum(p, high, out=p)
-            np.maximum(p, low, out=p)
-            maps[cell] = refined + (y - refined) * rate
-            p += y
-            p -= one
-            np.abs(p, out=p)  # p for branch 1, 1 - p for branch 0
-            product[:m] *= p
-            if t % 16 == 15:
-                total += np.log(product)
-                product.fill(1)
-        total += np.log(product)
+            ys = (mark & 1).astype(np.float32)
+            cells_of = (mark >> 1).astype(np.int64)
+            cells_of += own
+            ps = np.ones((STEPS_AT_ONCE, m), np.float32)
+            for j, m in enumerate(alive[t:t + STEPS_AT_ONCE].tolist()):
+                x, y, cell = xs[j, :4 * m], ys[j, :m], cells_of[j, :m]
+                w = weights.take(cell).view(np.float32)
+                each = w * x
+                dot = each[0::4] + each[1::4]
+                dot += each[2::4]
+                dot += each[3::4]
+                p = np.exp(-dot)
+                p += one
+                np.reciprocal(p, out=p)
+                gap = y - p
+                gap *= step
+                x *= gap.repeat(4)
+                w += x
+                weights[cell] = w.view(np.complex128)
+                dot *= scale
+                dot += middle
+                np.maximum(dot, blend, out=dot)
+                np.minimum(dot, top, out=dot)
+                cell = dot.astype(np.int64)
+                cell += place[:m]
+                refined = maps.take(cell)
+                np.add(p, refined, out=ps[j, :m])
+                np.subtract(y, refined, out=p)
+                p *= rate
+                refined += p
+                maps[cell] = refined
+            ps *= blend
+            np.minimum(ps, high, out=ps)
+            np.maximum(ps, low, out=ps)
+            ps += ys
+            ps -= one
+            np.abs(ps, out=ps)  # p for branch 1, 1 - p for branch 0
+            for j, m in enumerate(alive[t:t + STEPS_AT_ONCE].tolist()):
+                ps[j, m:] = one
+            total += np.log(np.multiply.reduce(ps.astype(np.float64), axis=0))
         out = np.empty(n)
-        out[order] = total
+        out[order] = sums
         return out
 
     def inputs(self, words: pa.Array, group: np.ndarray, part: str, before=None, of=None):
@@ -504,7 +510,10 @@ class Model:
         first = np.stack([head_first[token_head], tail_first[token_tail]], 1).reshape(-1)
         size = run[0::2] + run[1::2]
         stream = np.repeat((first - (np.cumsum(run) - run)).astype(np.int32), run)
-        stream += np.arange(len(stream), dtype=np.int32)
+        for k in range(0, len(stream), 1 << 20):
+            part = stream[k:k + (1 << 20)]
+            part += np.arange(k, k + len(part), dtype=np.int32)
+        del run, first
         stop = np.cumsum(size)[ends]
         bits = np.diff(np.append(0, stop))
         pieces = -(-bits // LANE_BITS)
@@ -527,6 +536,7 @@ class Model:
         return tokens + 1, base_sum, known, score, bits, lists
 
 
+@H.lean
 def _score(batches, held):
     model = held.value
     for part in (p for b in batches for p in H.parts(b, limit=SCORE_BYTES)):

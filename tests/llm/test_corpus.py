@@ -183,6 +183,30 @@ def test_context_mixing_lanes_equal_one_at_a_time(monkeypatch):
     assert abs(total - got) < 1e-3 * abs(total)
 
 
+def test_context_mixing_lays_out_steps_together(monkeypatch):
+    """Events are fetched once for ``STEPS_AT_ONCE`` steps of all lanes; lanes that end between, and the cut of the
+    texts into slices, change nothing."""
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog"] * 20
+    model = small_model(monkeypatch, texts)
+    calls = []
+
+    class Counted(np.ndarray):
+        def take(self, *args, **kinds):
+            calls.append(1)
+            return np.asarray(self).take(*args, **kinds)
+    lanes, steps = mixing.Model.lanes, []
+
+    def counted(self, inputs, marks, stream, begin, size):
+        steps.append(int(size.max()))
+        return lanes(self, inputs, marks, stream.view(Counted), begin, size)
+    monkeypatch.setattr(mixing.Model, "lanes", counted)
+    probe = ["the cat " * n for n in range(41)] + [None, "", "the mat"]
+    together = model.score(pa.array(probe))[3]
+    assert len(calls) <= -(-steps[0] // 16) and steps[0] % 16
+    parts = np.concatenate([model.score(pa.array(probe[k:k + 7]))[3] for k in range(0, len(probe), 7)])
+    np.testing.assert_array_equal(together, parts)
+
+
 def test_context_mixing_learns(spark):
     out = mixing.score(spark.read.parquet(SF001 + "/documents.parquet")).where("NOT held_out").agg(
         {"score": "sum", "base_score": "sum"}).first()

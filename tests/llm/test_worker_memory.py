@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from ratinglab.llm import hashing as H
-from ratinglab.llm import jaccard, pieces, tiling
+from ratinglab.llm import jaccard, mixing, pieces, tiling
 
 
 def held_mb():
@@ -28,8 +28,8 @@ def test_free_memory_goes_back_when_a_task_ends():
     assert len(kept) == 1
 
 
-def test_stages_of_the_pipeline_give_memory_back():
-    for f in (jaccard._count_slots, jaccard._sets, jaccard._full_sets, jaccard._bound, jaccard._exact, tiling._found, tiling._kept, pieces._batches):
+def test_row_functions_give_memory_back():
+    for f in (jaccard._count_slots, jaccard._sets, jaccard._full_sets, jaccard._bound, jaccard._exact, tiling._found, tiling._kept, pieces._batches, mixing._count_words, mixing._score):
         assert hasattr(f, "__wrapped__")
 
 
