@@ -190,6 +190,7 @@ class Code:
         self.start = np.array(starts)[:, None] + np.cumsum(self.size, axis=1) - self.size
         self.node = np.array([n for n, _ in flat], np.int64)
         self.branch = np.array([b for _, b in flat], np.uint8)
+        self.node_hash = (self.node + 1).astype(_U) * _SALT[7]
 
     def events(self, words: pa.Array, group: np.ndarray, tables=(0, 1, 2, 3), part: str = "whole"):
         """Every coded bit of words, or of their first ``HEAD`` symbols (part "head") or the others ("tail"): (sizes
@@ -207,10 +208,14 @@ class Code:
         contexts = {0: lambda: four, 1: lambda: whole, 2: lambda: four + spoken, 3: lambda: whole + spoken}
         code, symbols = code[some], symbols[some]
         bits = self.size[code, symbols]
-        which = _spread(self.start[code, symbols], bits)
-        node = (self.node[which] + 1).astype(_U) * _SALT[7]
-        keys = [np.repeat(contexts[k]() + _SALT[k], bits) + node for k in tables]
-        return np.bincount(of, weights=bits, minlength=len(words)).astype(np.int64), self.branch[which], keys
+        at = np.repeat(np.arange(len(bits)), bits)  # the symbol of every bit
+        which = (self.start[code, symbols] - (np.cumsum(bits) - bits)).take(at)
+        which += np.arange(len(which))
+        node = self.node_hash.take(which)
+        keys = [(contexts[k]() + _SALT[k]).take(at) for k in tables]
+        for key in keys:
+            key += node
+        return np.bincount(of, weights=bits, minlength=len(words)).astype(np.int64), self.branch.take(which), keys
 
 
 def _slot(key: np.ndarray, table: int) -> np.ndarray:
