@@ -130,6 +130,25 @@ def test_item_statistics_are_worked_out_once(spark):
     assert table.count() == 10 and seen.value == 10
 
 
+def test_item_blocks_change_no_result(spark, monkeypatch):
+    """The users' blocks choose the start; the items' are fewer in the queries and choose nothing."""
+    from ratinglab.plans import params, queries
+    rows = [(u, i, float((u * 7 + i * 3) % 5 + 1)) for u in range(60) for i in range(40) if (u + i) % 3]
+    df = spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+    got = [als.als_runs(df, rank=3, max_iter=6, seed=5, num_blocks=8, item_blocks=n)[0].first() for n in (None, 3, 1)]
+    for r in got[1:]:
+        assert (r.n_scored, r.n_test) == (got[0].n_scored, got[0].n_test)
+        assert abs(r.mse - got[0].mse) < 1e-6 * got[0].mse
+    made, fitted = [], als._als
+    monkeypatch.setattr(als, "_als", lambda *a: made.append(fitted(*a)) or made[-1])
+    monkeypatch.setattr(params, "ALS_ITERATIONS", 1)
+    found = queries.queries()
+    for name in ("als_plain", "als_normalized", "als_cold_start", "als_model_table"):
+        found[name](spark, SF001)
+    assert len(made) == 5
+    assert all(a.getNumUserBlocks() == params.ALS_BLOCKS == 8 and a.getNumItemBlocks() <= 3 for a in made)
+
+
 def test_als_sweeps_of_no_ratings(spark):
     u, v = als.als_sweeps(ratings_df(spark, []), 3, 0.1, 1, 7)
     assert u.collect() == [] and v.collect() == []
