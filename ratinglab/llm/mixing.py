@@ -20,8 +20,9 @@ scored whole, in lanes of equal length side by side in numpy.
 Corpus side: word counts are one pre-aggregated shuffle, whatever the corpus; tables are summed
 from the distinct words, and what a word's start owes to the word before it from every slice's
 distinct neighbours, added up in each task. Tables have a fixed number of
-slots (``SLOT_BITS``), a broadcast of known size. The base score needs exact counts: words of at
-least one in ``HOT_SHARE`` of all tokens (so at most that many) are broadcast, the others joined.
+slots (``SLOT_BITS``), a broadcast of known size. Hot words, of at least one in ``HOT_SHARE`` of all
+tokens (so at most that many), tell the language. The base score needs exact counts: those of hot and
+of other frequent words (``LISTED`` in all, if fewer are hot) are broadcast, the others joined.
 
 Defined cases: null and empty texts are the end symbol alone; a null doc_id is the text '' in the
 hash; null and rarer languages are one group; repeated rows are scored alike; without training
@@ -44,6 +45,7 @@ from ratinglab.session import ship_package
 
 FOLDS, HELD_OUT = 7, 2
 HOT_SHARE = 1_000_000
+LISTED = 1 << 19  # most words whose counts every task holds, unless more are hot
 LANGUAGES = 4  # the most frequent ones; all others are one more group
 GROUPS = LANGUAGES + 1
 SLOT_BITS = (19, 21, 20, 21)  # of each predictor
@@ -53,7 +55,7 @@ HEAD, BEFORE = 4, 3  # a word's first symbols see so many last bytes of the word
 CODE_SHARE = 512  # two bytes have a code of their own from one in so many symbols on
 LANE_BITS = 4096
 SCORE_BYTES = 15 << 18  # texts scored side by side
-STEPS_AT_ONCE = 16  # steps of the lanes that are laid out at once
+STEPS_AT_ONCE = 32  # steps of the lanes that are laid out at once
 PAIRS_AT_ONCE, HEADS_AT_ONCE = 1 << 12, 1 << 11  # words and heads whose bits are laid out at once
 RATE, MAP_RATE, MAP_CELLS, MAP_STEP = 0.02, 0.02, 25, 0.5
 PROBABILITY_FLOOR = 1e-5
@@ -346,28 +348,31 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
 
 
 class Model:
-    """What the scorer needs, all of bounded size: code, tables, hot words and the two totals."""
+    """What the scorer needs, all of bounded size: code, tables, frequent words and the two totals."""
 
-    def __init__(self, code, odds, seen, hot, hot_counts, group_tokens, kinds):
+    def __init__(self, code, odds, seen, hot, hot_counts, group_tokens, kinds, others=None, other_counts=()):
         self.code, self.odds, self.seen, self.kinds = code, odds, seen, kinds
-        self.hot, self.hot_counts = hot, hot_counts  # words, and a row of counts by group for each
+        self.hot_counts = hot_counts  # a row of counts by group for each hot word
+        # hot words, then other frequent ones, and the training tokens of each
+        self.listed = hot if others is None else pa.concat_arrays([hot, others])
+        self.counts = np.concatenate([hot_counts.sum(axis=1), np.asarray(other_counts, np.int64)])
         self.group_tokens, self.tokens = group_tokens, int(group_tokens.sum())
-        h = _word_hash(hot)
-        self.hot_order = np.argsort(h, kind="stable")
-        self.hot_hash = h[self.hot_order]
+        h = _word_hash(self.listed)
+        self.order = np.argsort(h, kind="stable").astype(np.int32)
+        self.hash = h[self.order]
+        if (self.hash[1:] == self.hash[:-1]).any():
+            raise ValueError("two frequent words have one hash")
 
     def find(self, words: pa.Array):
-        """Which words are hot (boolean array), and the places of those in the list."""
-        if not len(self.hot):
+        """Which words are listed (boolean array), and the places of those in the list."""
+        if not len(self.listed):
             return np.zeros(len(words), bool), np.empty(0, np.int64)
         h = _word_hash(words)
-        at = np.minimum(np.searchsorted(self.hot_hash, h), len(self.hot) - 1)
-        found = self.hot_hash[at] == h
-        if (self.hot_hash[1:] == self.hot_hash[:-1]).any():
-            raise ValueError("two frequent words have one hash")
-        place = self.hot_order[at]
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.listed) - 1)
+        found = self.hash[at] == h
+        place = self.order[at]
         i = np.flatnonzero(found)
-        found[i] = pc.equal(words.take(pa.array(i)), self.hot.take(pa.array(place[i]))).to_numpy(zero_copy_only=False)
+        found[i] = pc.equal(words.take(pa.array(i)), self.listed.take(pa.array(place[i]))).to_numpy(zero_copy_only=False)
         return found, place[found]
 
     def lanes(self, inputs, marks, stream, start, size) -> np.ndarray:
@@ -377,8 +382,8 @@ class Model:
         at, size = start[order], size[order]
         n, steps = len(size), int(size.max(initial=0))
         alive = np.searchsorted(-size, -np.arange(-(-steps // STEPS_AT_ONCE) * STEPS_AT_ONCE), side="left")
-        # 16 bytes hold the four weights of a lane and gate
-        weights = np.tile((START / np.float32(256)).reshape(-1), n).view(np.complex128)
+        # 16 bytes hold the four weights of a lane and gate, with their signs turned
+        weights = np.tile((START / np.float32(-256)).reshape(-1), n).view(np.complex128)
         step = np.float32(RATE / 65536)
         half = MAP_CELLS // 2
         cells = (np.arange(MAP_CELLS) - half).astype(np.float32) * np.float32(MAP_STEP)
@@ -386,7 +391,7 @@ class Model:
         sums = total = np.zeros(n)
         own, place = np.arange(n) * GATES, np.arange(n) * MAP_CELLS
         low, high = np.float32(PROBABILITY_FLOOR), np.float32(1 - PROBABILITY_FLOOR)
-        one, scale, middle, top = np.float32(1), np.float32(1 / MAP_STEP), np.float32(half + 0.5), np.float32(MAP_CELLS - 0.5)
+        one, scale, middle, top = np.float32(1), np.float32(-1 / MAP_STEP), np.float32(half + 0.5), np.float32(MAP_CELLS - 0.5)
         rate, blend = np.float32(MAP_RATE), np.float32(0.5)
         for t in range(0, steps, STEPS_AT_ONCE):
             # what does not depend on the weights and maps is laid out for some steps at once; for lanes that end
@@ -399,41 +404,45 @@ class Model:
             ys = (mark & 1).astype(np.float32)
             cells_of = (mark >> 1).astype(np.int64)
             cells_of += own
-            ps = np.ones((STEPS_AT_ONCE, m), np.float32)
-            for j, m in enumerate(alive[t:t + STEPS_AT_ONCE].tolist()):
-                x, y, cell = xs[j, :4 * m], ys[j, :m], cells_of[j, :m]
+            dots, ps = np.zeros((STEPS_AT_ONCE, m), np.float32), np.ones((STEPS_AT_ONCE, m), np.float32)
+            left = alive[t:t + STEPS_AT_ONCE].tolist()
+            for j, m in enumerate(left):
+                x, cell, dot, p = xs[j, :4 * m], cells_of[j, :m], dots[j, :m], ps[j, :m]
                 w = weights.take(cell).view(np.float32)
                 each = w * x
-                dot = each[0::4] + each[1::4]
+                np.add(each[0::4], each[1::4], out=dot)
                 dot += each[2::4]
                 dot += each[3::4]
-                p = np.exp(-dot)
+                np.exp(dot, out=p)
                 p += one
                 np.reciprocal(p, out=p)
-                gap = y - p
+                gap = p - ys[j, :m]
                 gap *= step
                 x *= gap.repeat(4)
                 w += x
                 weights[cell] = w.view(np.complex128)
-                dot *= scale
-                dot += middle
-                np.maximum(dot, blend, out=dot)
-                np.minimum(dot, top, out=dot)
-                cell = dot.astype(np.int64)
-                cell += place[:m]
+            # the weights do not depend on the maps
+            dots *= scale
+            dots += middle
+            np.maximum(dots, blend, out=dots)
+            np.minimum(dots, top, out=dots)
+            cells_of = dots.astype(np.int64)
+            cells_of += place
+            for j, m in enumerate(left):
+                cell = cells_of[j, :m]
                 refined = maps.take(cell)
-                np.add(p, refined, out=ps[j, :m])
-                np.subtract(y, refined, out=p)
-                p *= rate
-                refined += p
-                maps[cell] = refined
+                ps[j, :m] += refined
+                gap = ys[j, :m] - refined
+                gap *= rate
+                gap += refined
+                maps[cell] = gap
             ps *= blend
             np.minimum(ps, high, out=ps)
             np.maximum(ps, low, out=ps)
             ps += ys
             ps -= one
             np.abs(ps, out=ps)  # p for branch 1, 1 - p for branch 0
-            for j, m in enumerate(alive[t:t + STEPS_AT_ONCE].tolist()):
+            for j, m in enumerate(left):
                 ps[j, m:] = one
             total += np.log(np.multiply.reduce(ps.astype(np.float64), axis=0))
         out = np.empty(n)
@@ -459,20 +468,21 @@ class Model:
         return n, odds, marks.take(event)
 
     def score(self, array: pa.Array):
-        """(n_tokens, base of hot words, known hot tokens, score, rare words of each text)."""
+        """(n_tokens, base of listed words, known listed tokens, score, bits, other words of each text)."""
         words, inverse, owner = _distinct(array)
         n = len(array)
         every = pa.concat_arrays([words.cast(pa.large_binary()), pa.array([b"\n"], pa.large_binary())])
-        hot, place = self.find(every)
-        by_group = np.zeros((len(every), GROUPS))
-        by_group[hot] = self.hot_counts[place]
-        count = by_group.sum(axis=1)
+        listed, place = self.find(every)
+        count = np.zeros(len(every))
+        count[listed] = self.counts[place]
+        is_hot = place < len(self.hot_counts)
+        hot, by_group = np.flatnonzero(listed)[is_hot], self.hot_counts[place[is_hot]]
         tokens, ends, token, endings, before = _tokens(words, inverse, owner, n)
         text_of = np.repeat(np.arange(n), tokens + 1)
         # the likeliest language before every token
         share = (self.group_tokens + 1) / (self.tokens + GROUPS)
         signal = np.zeros((GROUPS, len(every)))
-        signal[:, hot] = np.log((by_group[hot] + share) / (count[hot, None] + 1) / share).T
+        signal[:, hot] = np.log((by_group + share) / (count[hot, None] + 1) / share).T
         best, group = np.full(len(token), -np.inf), np.zeros(len(token), np.int64)
         for g in range(GROUPS):
             one = signal[g].take(token)
@@ -528,11 +538,11 @@ class Model:
         until = (stop - bits)[text] + (k + 1) * bits[text] // pieces[text]
         log_p = self.lanes(inputs, marks, stream, begin, until - begin)
         score = np.bincount(text, weights=log_p, minlength=n) / math.log(10)
-        base = np.where(hot, np.log10((count + 1) / (self.tokens + self.kinds + 1)), 0.0)
+        base = np.where(listed, np.log10((count + 1) / (self.tokens + self.kinds + 1)), 0.0)
         base_sum = np.bincount(text_of, weights=base[token], minlength=n)
         known = np.bincount(text_of, weights=(count > 0)[token], minlength=n).astype(np.int64)
         # the others: distinct (text, word) with their number
-        rare = ~hot[token]
+        rare = ~listed[token]
         pair, number = np.unique(text_of[rare] * len(every) + token[rare], return_counts=True)
         of, word = pair // len(every), pair % len(every)
         lists = pa.ListArray.from_arrays(
@@ -563,9 +573,15 @@ def fit(docs: DataFrame):
         F.lit(b"\n").alias("word"), *[F.when(F.col("grp") == g, F.col("n")).otherwise(0).alias(t) for g, t in enumerate(group)], "every")
     vocabulary = counted.unionByName(ends).groupBy("word").agg(*[F.sum(c).alias(c) for c in (*group, "every")])
     vocabulary = written(vocabulary.withColumn("train", sum((F.col(t) for t in group[1:]), F.col(group[0]))), "vocabulary")
-    total = vocabulary.agg(*[F.sum(t) for t in group], F.count_if(F.col("train") > 0), F.sum("every")).first()
-    *tokens, kinds, every = [int(v or 0) for v in total]
-    hot = vocabulary.where(F.col("every") * HOT_SHARE >= every).select("word", *group).toArrow()  # at most HOT_SHARE rows
+    totals = [F.sum(t) for t in group] + [F.count_if(F.col("train") > 0), F.sum("every"), F.count("*")]
+    power = F.length(F.bin("every")) - 1
+    by_power = vocabulary.groupBy(power.alias("power")).agg(*totals).orderBy(F.desc("power")).collect()  # a row for each power of two
+    *tokens, kinds, every, _ = [sum(v) for v in zip(*(r[1:] for r in by_power))] or [0] * (GROUPS + 3)
+    listed = np.cumsum([r[-1] for r in by_power]) <= LISTED
+    least = 1 << by_power[int(listed.sum()) - 1].power if listed.any() else every + 1
+    is_hot = F.col("every") * HOT_SHARE >= every
+    frequent = vocabulary.where(is_hot | (F.col("every") >= least)).select("word", "train", *[
+        F.when(is_hot, F.col(t)).alias(t) for t in group]).toArrow()  # at most LISTED rows, or HOT_SHARE
     seen = vocabulary.where("train > 0").select("word", "train")
     pairs = seen.mapInArrow(_count_symbols, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** 24
     code = Code(pairs.column("key").to_numpy().astype(np.int64), pairs.column("n").to_numpy())
@@ -581,9 +597,11 @@ def fit(docs: DataFrame):
         odds[r.table][at] = np.frombuffer(r.odds, "<i2")
         if r.table == 3:
             gate[at] = np.frombuffer(r.seen, np.uint8)
-    words = hot.column("word").combine_chunks().cast(pa.large_binary())
+    known = pc.is_valid(frequent.column("t0"))
+    hot, others = frequent.filter(known), frequent.filter(pc.invert(known))
+    words = lambda t: t.column("word").cast(pa.large_binary()).combine_chunks()
     by_group = np.stack([hot.column(t).to_numpy() for t in group], 1)
-    model = Model(code, odds, gate, words, by_group, np.array(tokens), kinds)
+    model = Model(code, odds, gate, words(hot), by_group, np.array(tokens), kinds, words(others), others.column("train").to_numpy())
     return model, vocabulary
 
 

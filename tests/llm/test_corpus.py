@@ -207,6 +207,36 @@ def test_context_mixing_lays_out_steps_together(monkeypatch):
     np.testing.assert_array_equal(together, parts)
 
 
+def test_context_mixing_lists_frequent_words(spark, monkeypatch):
+    """Words that are frequent but not hot are counted where the texts are scored; how many changes no result."""
+    rows = [(i, f"the cat sat on mat {i % 9} of {i % 30} by x{i}", "en" if i % 2 else "de") for i in range(90)] + [(90, None, "en"), (91, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(mixing, "HOT_SHARE", 20)
+    found, rare = {}, {}
+    fit = mixing.fit
+
+    def spy(docs):
+        model, vocabulary = fit(docs)
+        words = [w.decode() for w in model.listed.to_pylist()]
+        assert set(words[:len(model.hot_counts)]) == {"the", "cat", "sat", "on", "mat", "of", "by", "\n"}
+        train = {r.word.decode(): r.train for r in vocabulary.collect()}
+        assert len(set(words)) == len(words) and model.counts.tolist() == [train[w] for w in words]
+        rare[mixing.LISTED] = model.score(pa.array([r[1] for r in rows]))[-1].flatten().field("word").to_pylist()
+        found[mixing.LISTED] = len(words)
+        return model, vocabulary
+    monkeypatch.setattr(mixing, "fit", spy)
+    out = []
+    for listed in (0, 30, 1 << 19):
+        monkeypatch.setattr(mixing, "LISTED", listed)
+        out.append(sorted(mixing.score(df).collect(), key=lambda r: r.doc_id))
+    assert found[0] == 8 and 8 < found[30] <= 30 and found[1 << 19] == 8 + 30 + 90
+    assert len(rare[0]) > len(rare[30]) > len(rare[1 << 19]) == 0
+    for a, b in ((out[0], out[1]), (out[0], out[2])):
+        assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in a] == [
+            (r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in b]
+        np.testing.assert_allclose([r.base_score for r in a], [r.base_score for r in b], rtol=1e-12)
+
+
 def test_context_mixing_learns(spark):
     out = mixing.score(spark.read.parquet(SF001 + "/documents.parquet")).where("NOT held_out").agg(
         {"score": "sum", "base_score": "sum"}).first()
