@@ -152,3 +152,27 @@ def test_item_blocks_change_no_result(spark, monkeypatch):
 def test_als_sweeps_of_no_ratings(spark):
     u, v = als.als_sweeps(ratings_df(spark, []), 3, 0.1, 1, 7)
     assert u.collect() == [] and v.collect() == []
+
+
+def test_als_leaves_executors_room_for_blocks_of_ratings(spark, monkeypatch):
+    """No table stays in executors' memory, blocks of ratings are on disk, and large inputs get more item blocks, which change
+    no result."""
+    from ratinglab.plans import queries
+    real, made = als._als, []
+
+    def seen(*args):
+        made.append((real(*args), args))
+        return made[-1][0]
+    monkeypatch.setattr(als, "_als", seen)
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    first = queries.q_als_cold_start(spark, SF001).collect()
+    mse = queries.queries()["als_normalized"](spark, SF001).first()["mse"]
+    spark._jvm.System.gc()
+    before = kept()
+    assert queries.q_als_cold_start(spark, SF001).collect() == first and queries.q_als_model_table(spark, SF001).count()
+    assert kept() <= before + 2  # the last model's factors
+    assert {x[0].getIntermediateStorageLevel() for x in made} == {"DISK_ONLY"} and {x[0].getNumItemBlocks() for x in made} == {3}
+    made.clear()
+    monkeypatch.setattr(als, "ITEM_BLOCK_RATINGS", 1000)
+    again = queries.queries()["als_normalized"](spark, SF001).first()["mse"]
+    assert made[0][0].getNumItemBlocks() == 5 and made[0][0].getNumUserBlocks() == 8 and abs(again - mse) < 1e-6
